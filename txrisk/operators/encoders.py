@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from txrisk.functions.scale import attach, exact_quantile_row, hash_unit
 from txrisk.operators.windows import Running, category_values, over_key
-from txrisk.schema import DEFAULT, Columns, micros
+from txrisk.schema import DEFAULT, HOUR_US, Columns, micros
 
 
 def category_table(df: DataFrame, names: list[str], label: str | None = None, order: list[Column] | None = None) -> DataFrame:
@@ -71,11 +71,16 @@ def count_encoder(df: DataFrame, names: list[str], suffix: str = "_count") -> Ta
 def ordinal_table(df: DataFrame, names: list[str], cols: Columns = DEFAULT) -> DataFrame:
     """(column, category, ordinal): 1-based rank of first appearance in (time, id) order.
 
-    The rank runs over the categories of a column, not over rows.
+    A column may have very many categories, so they are ranked hour by hour of their first appearance.
     """
     t = category_table(df, names, order=[micros(cols.ts).alias("us"), F.col(cols.id).alias("id")])
-    w = W.partitionBy("column").orderBy("first")
-    return t.select("column", "category", F.row_number().over(w).alias("ordinal"))
+    t = t.withColumn("__h", F.floor(F.col("first.us") / HOUR_US))
+    hours = t.groupBy("column", "__h").agg(F.count("*").alias("__n"))
+    before = W.partitionBy("column").orderBy("__h").rowsBetween(W.unboundedPreceding, -1)   # hours of the period
+    hours = hours.select("column", "__h", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = W.partitionBy("column", "__h").orderBy("first")
+    return attach(t, hours, ["column", "__h"]).select(
+        "column", "category", (F.col("__off") + F.row_number().over(inside)).cast("int").alias("ordinal"))
 
 
 def digits_needed(n: int, base: int) -> int:
@@ -220,9 +225,10 @@ def similarity_encoder(df: DataFrame, name: str, vectors: DataFrame | None = Non
     else:
         v = vectors.select(F.col("category").cast("string").alias("category"), "vector")
         own = attach(spark.createDataFrame([(x,) for x in values], "category string"), v, "category")
-        all_v = v.withColumn("__g", F.lit(1)).join(  # known categories against the fitted ones
-            F.broadcast(own.select(F.col("category").alias("other"), F.col("vector").alias("w"), F.lit(1).alias("__g"))), "__g")
-        pairs = all_v.select("category", "other", F.coalesce(cosine(F.col("vector"), F.col("w")), F.lit(0.0)).alias("v"))
+        # the fitted vectors (their number was checked) travel as one row
+        fitted = own.agg(F.collect_list(F.struct(F.col("category").alias("other"), F.col("vector").alias("w"))).alias("fitted"))
+        all_v = v.crossJoin(F.broadcast(fitted)).select("category", "vector", F.explode("fitted").alias("x"))
+        pairs = all_v.select("category", "x.other", F.coalesce(cosine(F.col("vector"), F.col("x.w")), F.lit(0.0)).alias("v"))
         missing = attach(own.select("category"), v, "category").where("vector IS NULL").select("category")
         pairs = pairs.unionByName(missing.select("category", F.explode(F.array(*[F.lit(x) for x in values])).alias("other"),
                                                  F.lit(0.0).alias("v")))
