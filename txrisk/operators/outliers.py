@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -95,7 +97,7 @@ def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, sam
                        vector(features).alias("vec"))
     limit = max(1, math.ceil(math.log2(max(2, size))))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         x = np.stack([np.asarray(v, dtype=float) for v in pdf.sort_values("h")["vec"].iloc[:size]])
         out: list = []
@@ -112,7 +114,7 @@ def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, sam
 
 @dataclass
 class HistogramScore:
-    """Per-feature densities: HBOS on the features, LODA on random projections."""
+    """Densities of equal-width bins per feature."""
 
     exprs: dict[str, Column]
     limits: dict[str, tuple[float, float]]
@@ -120,7 +122,6 @@ class HistogramScore:
     bins: int
     alpha: float
     tol: float
-    mean: bool
 
     def transform(self, df: DataFrame, name: str) -> DataFrame:
         terms = []
@@ -136,10 +137,10 @@ class HistogramScore:
         total = terms[0]
         for t in terms[1:]:
             total = total + t
-        return df.withColumn(name, total / len(terms) if self.mean else total)
+        return df.withColumn(name, total)
 
 
-def _histograms(df: DataFrame, exprs: dict[str, Column], bins: int, alpha: float, tol: float, mean: bool) -> HistogramScore:
+def _histograms(df: DataFrame, exprs: dict[str, Column], bins: int, alpha: float, tol: float) -> HistogramScore:
     x = df.select(*[e.alias(c) for c, e in exprs.items()])
     r = x.agg(*[e for c in exprs for e in (F.min(c).alias(f"a_{c}"), F.max(c).alias(f"b_{c}"))], F.count("*").alias("n")).first()
     limits = {c: (r[f"a_{c}"], r[f"b_{c}"]) for c in exprs}
@@ -151,28 +152,84 @@ def _histograms(df: DataFrame, exprs: dict[str, Column], bins: int, alpha: float
         width = (hi - lo) / bins or 1.0
         raw = [counts.get((c, b), 0) / (r["n"] * width) for b in range(1, bins + 1)]
         density[c] = raw
-    return HistogramScore(exprs, limits, density, bins, alpha, tol, mean)
+    return HistogramScore(exprs, limits, density, bins, alpha, tol)
 
 
 def hbos(df: DataFrame, features: list[str], bins: int = 10, alpha: float = 0.1, tol: float = 0.5) -> HistogramScore:
     """Sum over features of ``-log2(density + alpha)``."""
-    return _histograms(df, {c: F.col(c).cast("double") for c in features}, bins, alpha, tol, False)
+    return _histograms(df, {c: F.col(c).cast("double") for c in features}, bins, alpha, tol)
 
 
-def loda(df: DataFrame, features: list[str], bins: int = 10, n_projections: int = 100, seed: int = 0) -> HistogramScore:
-    """Mean negative log density over sparse random projections with sqrt(p) non-zero weights."""
+def loda_weights(p: int, n_projections: int = 100, seed: int = 0) -> np.ndarray:
+    """Sparse random projections (one column each) with sqrt(p) standard normal weights."""
     rng = np.random.default_rng(seed)
-    p = len(features)
     k = max(1, int(round(math.sqrt(p))))
-    exprs = {}
+    w = np.zeros((p, n_projections))
     for i in range(n_projections):
-        chosen = rng.choice(p, k, replace=False)
-        weights = rng.standard_normal(k)
-        e = F.lit(0.0)
-        for j, w in zip(chosen, weights):
-            e = e + F.col(features[j]).cast("double") * float(w)
-        exprs[f"p{i}"] = e
-    return _histograms(df, exprs, bins, 1e-12, 0.0, True)
+        w[rng.choice(p, k, replace=False), i] = rng.standard_normal(k)
+    return w
+
+
+@dataclass
+class LodaModel:
+    features: list[str]
+    weights: np.ndarray
+    low: np.ndarray
+    width: np.ndarray
+    score: np.ndarray      # projections x bins, minus log2 density
+
+    def transform(self, df: DataFrame, name: str = "loda") -> DataFrame:
+        weights, low, width, table = self.weights, self.low, self.width, self.score
+        n = len(low)
+
+        @F.pandas_udf("double")
+        def score(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype=float)
+            b = _bin_index(np.stack([np.asarray(a, dtype=float) for a in v]) @ weights, low, width, table.shape[1])
+            return pd.Series(table[np.arange(n)[None, :], b].mean(axis=1))
+
+        return df.withColumn(name, score(vector(self.features)))
+
+
+def _bin_index(z: np.ndarray, low: np.ndarray, width: np.ndarray, bins: int) -> np.ndarray:
+    return np.clip(np.floor((z - low) / width).astype(int), 0, bins - 1)
+
+
+def loda(df: DataFrame, features: list[str], bins: int = 10, n_projections: int = 100, seed: int = 0,
+         alpha: float = 1e-12) -> LodaModel:
+    """Mean negative log density over one-dimensional histograms of random projections.
+
+    Tasks reduce their rows to limits and bin counts; only projections x bins numbers are merged.
+    """
+    weights = loda_weights(len(features), n_projections, seed)
+    x = df.select(vector(features).alias("v"))
+
+    def limits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                z = np.stack([np.asarray(a, dtype=float) for a in b["v"]]) @ weights
+                yield pd.DataFrame({"i": range(z.shape[1]), "a": z.min(axis=0), "b": z.max(axis=0), "n": len(z)})
+
+    r = x.mapInPandas(limits, "i int, a double, b double, n long").groupBy("i").agg(
+        F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).orderBy("i").collect()
+    low = np.array([q["a"] for q in r])
+    width = np.array([(q["b"] - q["a"]) / bins or 1.0 for q in r])
+    n = r[0]["n"]
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                z = np.stack([np.asarray(a, dtype=float) for a in b["v"]]) @ weights
+                k = _bin_index(z, low, width, bins) + bins * np.arange(z.shape[1])[None, :]
+                c = np.bincount(k.ravel(), minlength=bins * z.shape[1])
+                yield pd.DataFrame({"k": range(len(c)), "c": c})
+
+    c = np.zeros(bins * n_projections)
+    for q in x.mapInPandas(counts, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
+        c[q["k"]] = q["c"]
+    density = c.reshape(n_projections, bins) / (n * width[:, None])
+    return LodaModel(features, weights, low, width, -np.log2(density + alpha))
 
 
 # ------------------------------------------------------------------ neighbours
