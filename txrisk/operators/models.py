@@ -360,7 +360,7 @@ class ClusterwiseModel(Model):
 
 def calibrate(scored: DataFrame, score: str = "predictions", cols: Columns = DEFAULT):
     """Sigmoid calibration: a logistic fit of the label on held-out scores; returns ``f(df) -> df``."""
-    x = assemble(scored, [score], "__cal")
+    x = assemble(scored.select(score, cols.label), [score], "__cal")
     m = LogisticRegression(featuresCol="__cal", labelCol=cols.label, regParam=0.0).fit(x)
     a, b = float(m.coefficients[0]), float(m.intercept)
     return lambda df, name="calibrated": df.withColumn(name, 1 / (1 + F.exp(-(F.col(score) * a + b))))

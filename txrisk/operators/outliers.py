@@ -116,7 +116,7 @@ def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, sam
 class HistogramScore:
     """Densities of equal-width bins per feature."""
 
-    exprs: dict[str, Column]
+    features: list[str]
     limits: dict[str, tuple[float, float]]
     density: dict[str, list[float]]
     bins: int
@@ -125,7 +125,8 @@ class HistogramScore:
 
     def transform(self, df: DataFrame, name: str) -> DataFrame:
         terms = []
-        for c, e in self.exprs.items():
+        for c in self.features:
+            e = F.col(c).cast("double")
             lo, hi = self.limits[c]
             width = (hi - lo) / self.bins
             values = F.array(*[F.lit(-math.log2(d + self.alpha)) for d in self.density[c]])
@@ -140,24 +141,19 @@ class HistogramScore:
         return df.withColumn(name, total)
 
 
-def _histograms(df: DataFrame, exprs: dict[str, Column], bins: int, alpha: float, tol: float) -> HistogramScore:
-    x = df.select(*[e.alias(c) for c, e in exprs.items()])
-    r = x.agg(*[e for c in exprs for e in (F.min(c).alias(f"a_{c}"), F.max(c).alias(f"b_{c}"))], F.count("*").alias("n")).first()
-    limits = {c: (r[f"a_{c}"], r[f"b_{c}"]) for c in exprs}
+def hbos(df: DataFrame, features: list[str], bins: int = 10, alpha: float = 0.1, tol: float = 0.5) -> HistogramScore:
+    """Sum over features of ``-log2(density + alpha)`` on equal-width bins."""
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    r = x.agg(*[e for c in features for e in (F.min(c).alias(f"a_{c}"), F.max(c).alias(f"b_{c}"))], F.count("*").alias("n")).first()
+    limits = {c: (r[f"a_{c}"], r[f"b_{c}"]) for c in features}
     long = x.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), equal_width_bin(F.col(c), *limits[c], bins).alias("b"))
-                                        for c in exprs])).alias("x")).select("x.*")
+                                        for c in features])).alias("x")).select("x.*")
     counts = {(q["c"], q["b"]): q["count"] for q in long.groupBy("c", "b").count().collect()}   # features x bins
     density = {}
     for c, (lo, hi) in limits.items():
         width = (hi - lo) / bins or 1.0
-        raw = [counts.get((c, b), 0) / (r["n"] * width) for b in range(1, bins + 1)]
-        density[c] = raw
-    return HistogramScore(exprs, limits, density, bins, alpha, tol)
-
-
-def hbos(df: DataFrame, features: list[str], bins: int = 10, alpha: float = 0.1, tol: float = 0.5) -> HistogramScore:
-    """Sum over features of ``-log2(density + alpha)``."""
-    return _histograms(df, {c: F.col(c).cast("double") for c in features}, bins, alpha, tol)
+        density[c] = [counts.get((c, b), 0) / (r["n"] * width) for b in range(1, bins + 1)]
+    return HistogramScore(list(features), limits, density, bins, alpha, tol)
 
 
 def loda_weights(p: int, n_projections: int = 100, seed: int = 0) -> np.ndarray:
@@ -380,6 +376,13 @@ def mcd(df: DataFrame, features: list[str], support: float | None = None, max_st
 DETECTORS = ("iforest", "hbos", "loda", "cblof", "mcd", "knn", "abod")
 
 
+def fit_detector(df: DataFrame, features: list[str], name: str, cols: Columns = DEFAULT, **params):
+    """A fitted detector that scores any table; ``knn`` and ``abod`` have no such form."""
+    if name == "iforest":
+        return isolation_forest(df, features, cols=cols, **params)
+    return {"hbos": hbos, "loda": loda, "cblof": cblof, "mcd": mcd}[name](df, features, **params)
+
+
 def add_scores(df: DataFrame, features: list[str], detectors: list[str], params: dict[str, dict] | None = None,
                fit_on: DataFrame | None = None, cols: Columns = DEFAULT) -> DataFrame:
     """Append one score column per detector, learnt on ``fit_on`` (default: the table itself)."""
@@ -388,21 +391,47 @@ def add_scores(df: DataFrame, features: list[str], detectors: list[str], params:
     out = df
     for name in detectors:
         p = params.get(name, {})
-        if name == "iforest":
-            out = isolation_forest(fit, features, cols=cols, **p).transform(out, name)
-        elif name in ("hbos", "loda"):
-            out = {"hbos": hbos, "loda": loda}[name](fit, features, **p).transform(out, name)
-        elif name in ("cblof", "mcd"):
-            out = {"cblof": cblof, "mcd": mcd}[name](fit, features, **p).transform(out, name)
-        elif name == "knn":
+        if name == "knn":
             out = attach(out, knn_distance(df, features, refs=fit_on, cols=cols, **p), cols.id)
         elif name == "abod":
             out = attach(out, abod(df, features, cols=cols, **p), cols.id)
+        elif name in DETECTORS:
+            out = fit_detector(fit, features, name, cols, **p).transform(out, name)
         else:
             raise ValueError(f"unknown detector {name}; known are {DETECTORS}")
     return out
 
 
+_STATES = {c.__name__: c for c in (IsolationForest, HistogramScore, LodaModel, CblofModel, McdModel)}
+
+
+def detector_state(model) -> dict:
+    """Plain JSON values of a fitted detector."""
+    def plain(v):
+        if isinstance(v, np.ndarray):
+            return {"array": v.tolist()}
+        if isinstance(v, set):
+            return {"set": sorted(v)}
+        if isinstance(v, dict):
+            return {"items": [[k, plain(x)] for k, x in v.items()]}
+        if isinstance(v, (list, tuple)):
+            return [plain(x) for x in v]
+        return v
+    return {"kind": type(model).__name__, **{k: plain(v) for k, v in vars(model).items()}}
+
+
+def detector_from_state(state: dict):
+    def back(v):
+        if isinstance(v, dict):
+            if "array" in v:
+                return np.array(v["array"], dtype=float)
+            if "set" in v:
+                return set(v["set"])
+            return {k: back(x) for k, x in v["items"]}
+        return [back(x) for x in v] if isinstance(v, list) else v
+    return _STATES[state["kind"]](**{k: back(v) for k, v in state.items() if k != "kind"})
+
+
 def contamination_flag(df: DataFrame, score: str, contamination: float = 0.1, name: str | None = None) -> DataFrame:
     """1 for rows whose score exceeds the exact ``1 - contamination`` quantile."""
     cut = top_share_cut(df, score, contamination)
