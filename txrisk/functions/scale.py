@@ -42,19 +42,26 @@ class HotSplit:
     hot: DataFrame | None
 
 
-def split_hot(df: DataFrame, keys: list[str], max_rows: int | None = None) -> HotSplit:
-    """Separate the rows of keys that own more than ``max_rows`` rows.
+def heavy_keys(df: DataFrame, keys: list[str], max_rows: int | None = None) -> DataFrame | None:
+    """Keys that own more than ``max_rows`` rows, or None when there are none.
 
-    One narrow aggregate (combined map-side) finds the keys. At most ``MAX_BROADCAST_KEYS`` of them
-    are held on the driver and broadcast; a longer list stays a DataFrame and is shuffle-joined.
+    One narrow aggregate (combined map-side) finds them. At most ``MAX_BROADCAST_KEYS`` keys are held on the
+    driver and broadcast; a longer list stays a DataFrame and is shuffle-joined.
     """
     limit = HOT_ROWS if max_rows is None else max_rows
     heavy = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
     rows = heavy.limit(MAX_BROADCAST_KEYS + 1).collect()
     if not rows:
-        return HotSplit(df, None)
+        return None
     if len(rows) <= MAX_BROADCAST_KEYS:
-        heavy = F.broadcast(df.sparkSession.createDataFrame(rows, heavy.schema))
+        return F.broadcast(df.sparkSession.createDataFrame(rows, heavy.schema))
+    return heavy
+
+
+def split_hot(df: DataFrame, keys: list[str], heavy: DataFrame | None) -> HotSplit:
+    """Separate the rows of the ``heavy`` keys from the others."""
+    if heavy is None:
+        return HotSplit(df, None)
     heavy = heavy.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)])
     cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(heavy[f"__h{i}"]) for i, k in enumerate(keys)])
     return HotSplit(df.join(heavy, cond, "left_anti"), df.join(heavy, cond, "left_semi"))

@@ -46,21 +46,27 @@ def target_rate(df: DataFrame, category: str, cols: Columns = DEFAULT) -> DataFr
     return df.groupBy(category).agg(F.avg(cols.label).alias(f"{category}_FraudRate"))
 
 
-def lookup_with_fallback(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """Left join of learnt statistics; rows of unseen keys get the mean of the joined column."""
+def lookup_with_fallback(df: DataFrame, stats: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
+    """Left join of learnt statistics; rows of unseen keys get the mean of the joined column.
+
+    ``source`` is a cheaper table with the same rows, used for that mean.
+    """
     names = [c for c in stats.columns if c != key]
-    joined = attach(df, stats, key)
-    means = joined.agg(*[F.avg(c).alias(f"__m_{c}") for c in names])   # one row
-    out = joined.crossJoin(F.broadcast(means))
+    counts = (df if source is None else source).groupBy(key).agg(F.count("*").alias("__n"))
+    known = attach(counts, stats, key)
+    means = known.agg(*[(F.sum(F.col(c) * F.col("__n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("__n")))).alias(f"__m_{c}")
+                        for c in names])   # one row
+    out = attach(df, stats, key).crossJoin(F.broadcast(means))
     return out.select(*df.columns, *[F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) for c in names])
 
 
-def daily_count(df: DataFrame, key: str, name: str | None = None, cols: Columns = DEFAULT) -> DataFrame:
-    """Rows of the key on the row's calendar date."""
+def daily_count(df: DataFrame, key: str, name: str | None = None, cols: Columns = DEFAULT,
+                source: DataFrame | None = None) -> DataFrame:
+    """Rows of the key on the row's calendar date, counted on ``source`` (default: the table itself)."""
     name = name or f"Daily_{key}_TxnCount"
-    dated = df.withColumn("__date", F.to_date(cols.ts))
-    counts = dated.groupBy(key, "__date").agg(F.count("*").alias(name))
-    return attach(dated, counts, [key, "__date"]).drop("__date")
+    date = F.to_date(cols.ts).alias("__date")
+    counts = (df if source is None else source).select(key, date).groupBy(key, "__date").agg(F.count("*").alias(name))
+    return attach(df.select("*", date), counts, [key, "__date"]).drop("__date")
 
 
 def batch_table(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
@@ -80,8 +86,8 @@ def batch_table(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
         F.coalesce((F.col("__start") - prev) / MINUTE_US, F.lit(0.0)).alias("TimeBetweenBatches"))
 
 
-def batch_features(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
-    return attach(df, batch_table(df, cols), cols.batch)
+def batch_features(df: DataFrame, cols: Columns = DEFAULT, source: DataFrame | None = None) -> DataFrame:
+    return attach(df, batch_table(df if source is None else source, cols), cols.batch)
 
 
 SESSION_MODES = {"SessionChannel": "channel", "SessionMainProductCategory": "category", "SessionMainProductId": "product",

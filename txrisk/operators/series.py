@@ -45,9 +45,10 @@ def seasonal_table(df: DataFrame, key: str, value: str | None = None, period: in
                               F.var_pop(resid).alias("residual_variance"))
 
 
-def seasonal_features(df: DataFrame, key: str, value: str | None = None, period: int = 7, cols: Columns = DEFAULT) -> DataFrame:
+def seasonal_features(df: DataFrame, key: str, value: str | None = None, period: int = 7, cols: Columns = DEFAULT,
+                      source: DataFrame | None = None) -> DataFrame:
     """Seasonal summaries on every row, 0 for keys with short series."""
-    t = seasonal_table(df, key, value, period, cols)
+    t = seasonal_table(df if source is None else source, key, value, period, cols)
     return attach(df, t, key).na.fill(0.0, [c for c in t.columns if c != key])
 
 
@@ -65,8 +66,9 @@ def fft_table(df: DataFrame, key: str, values: list[str] | None = None, top_n: i
     return d.groupBy(key).agg(*aggs)
 
 
-def fft_features(df: DataFrame, key: str, values: list[str] | None = None, top_n: int = 5, cols: Columns = DEFAULT) -> DataFrame:
-    t = fft_table(df, key, values, top_n, cols)
+def fft_features(df: DataFrame, key: str, values: list[str] | None = None, top_n: int = 5, cols: Columns = DEFAULT,
+                 source: DataFrame | None = None) -> DataFrame:
+    t = fft_table(df if source is None else source, key, values, top_n, cols)
     return attach(df, t, key).na.fill(0.0, [c for c in t.columns if c != key])
 
 
@@ -103,5 +105,6 @@ def lomb_scargle(df: DataFrame, key: str, value: str | None = None, min_period:
         F.max(F.when(F.col("i") == i, F.col("p"))).alias(f"{value}_LombScargle_{i}") for i in range(n_freqs)])
 
 
-def lomb_scargle_features(df: DataFrame, key: str, value: str | None = None, cols: Columns = DEFAULT, **params) -> DataFrame:
-    return attach(df, lomb_scargle(df, key, value, cols=cols, **params), key)
+def lomb_scargle_features(df: DataFrame, key: str, value: str | None = None, cols: Columns = DEFAULT,
+                          source: DataFrame | None = None, **params) -> DataFrame:
+    return attach(df, lomb_scargle(df if source is None else source, key, value, cols=cols, **params), key)

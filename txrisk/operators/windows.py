@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from txrisk.functions.scale import attach, split_hot
+from txrisk.functions.scale import attach, heavy_keys, split_hot
 from txrisk.schema import DAY_US, DEFAULT, HOUR_US, MINUTE_US, Columns, micros
 
 SCALE = 4          # decimals kept by the exact sums of the sliced route
@@ -75,11 +75,14 @@ def _agg(fn: str, col: str | None) -> Column:
 
 
 def over_key(df: DataFrame, key: str, features: list, cols: Columns = DEFAULT, *,
-             hot_rows: int | None = None) -> DataFrame:
-    """Add all ``features`` of one key; ``hot_rows`` is the row count above which a key is sliced."""
+             hot_rows: int | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Add all ``features`` of one key; keys with more than ``hot_rows`` rows are sliced.
+
+    ``source`` is a cheaper table with the same rows (such as the raw scan behind ``df``) to count keys on.
+    """
     names = [f.name for f in features]
-    base = df.withColumn("__us", micros(cols.ts))
-    parts = split_hot(base, [key], hot_rows)
+    heavy = heavy_keys(df if source is None else source, [key], hot_rows)
+    parts = split_hot(df.withColumn("__us", micros(cols.ts)), [key], heavy)
     out = _native(parts.cold, key, features, cols)
     if parts.hot is not None:
         sliced = _sliced(parts.hot, key, features, cols)
@@ -236,8 +239,8 @@ def label_us(width_us: int) -> str:
 
 def time_since_last(df: DataFrame, key: str, cols: Columns = DEFAULT, hot_rows: int | None = None) -> DataFrame:
     """Minutes since the key's previous transaction, 0 on the first."""
-    df = df.withColumn("__now", micros(cols.ts))
-    out = over_key(df, key, [Prev("__prev", "__now")], cols, hot_rows=hot_rows)
+    now = df.withColumn("__now", micros(cols.ts))
+    out = over_key(now, key, [Prev("__prev", "__now")], cols, hot_rows=hot_rows, source=df)
     return out.withColumn(f"{key}_TimeSinceLast",
                           F.coalesce((F.col("__now") - F.col("__prev")) / MINUTE_US, F.lit(0.0))).drop("__now", "__prev")
 
@@ -296,7 +299,7 @@ def cumulative(df: DataFrame, key: str, cols: Columns = DEFAULT, hot_rows: int |
     """Running sums of amount and value, and hours since the key's first row."""
     df2 = df.withColumn("__now", micros(cols.ts))
     feats = [Running(f"{key}_CumAmount", cols.amount), Running(f"{key}_CumValue", cols.value), KeyStat("__first", "min", "__now")]
-    out = over_key(df2, key, feats, cols, hot_rows=hot_rows)
+    out = over_key(df2, key, feats, cols, hot_rows=hot_rows, source=df)
     # the running sum of the gaps to the previous row telescopes to the time since the first row
     return out.withColumn(f"{key}_CumHours", (F.col("__now") - F.col("__first")) / HOUR_US).drop("__now", "__first")
 
@@ -310,11 +313,14 @@ def delta_to_last(df: DataFrame, key: str, cols: Columns = DEFAULT, hot_rows: in
 
 
 def sessionize(df: DataFrame, key: str, gap_minutes: float = 30, cols: Columns = DEFAULT,
-               hot_rows: int | None = None) -> DataFrame:
+               hot_rows: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """Session number per key: a new session starts when the gap exceeds ``gap_minutes``."""
-    gaps = time_since_last(df, key, cols, hot_rows)
-    gaps = gaps.withColumn("__start", (F.col(f"{key}_TimeSinceLast") > gap_minutes).cast("long"))
-    out = over_key(gaps, key, [Running("SessionId", "__start")], cols, hot_rows=hot_rows)
+    source = df if source is None else source
+    now = df.withColumn("__now", micros(cols.ts))
+    gaps = over_key(now, key, [Prev("__prev", "__now")], cols, hot_rows=hot_rows, source=source)
+    minutes = F.coalesce((F.col("__now") - F.col("__prev")) / MINUTE_US, F.lit(0.0))
+    gaps = gaps.withColumn("__start", (minutes > gap_minutes).cast("long"))
+    out = over_key(gaps, key, [Running("SessionId", "__start")], cols, hot_rows=hot_rows, source=source)
     return out.select(*df.columns, "SessionId")
 
 

@@ -82,10 +82,12 @@ def key_features(key: str, o: FeatureOptions, cols: Columns) -> list:
     return out
 
 
-def add_key_block(df: DataFrame, key: str, o: FeatureOptions, cols: Columns, hot_rows: int | None = None) -> DataFrame:
+def add_key_block(df: DataFrame, key: str, o: FeatureOptions, cols: Columns, hot_rows: int | None = None,
+                  source: DataFrame | None = None) -> DataFrame:
     """All windows of one key: one shuffle for ordinary keys."""
     feats = key_features(key, o, cols)
-    raw = Wn.over_key(df.withColumn("__now", micros(cols.ts)), key, feats, cols, hot_rows=hot_rows)
+    raw = Wn.over_key(df.withColumn("__now", micros(cols.ts)), key, feats, cols, hot_rows=hot_rows,
+                      source=df if source is None else source)
     keep = [F.col(f.name) for f in feats if not f.name.startswith("__") and not f.name.endswith("_Std")]
     mean, moving = F.col(f"{key}_{cols.amount}_Mean"), F.col(f"{key}_MovingAvg_{o.moving_rows}")
     new = [F.coalesce((F.col("__now") - F.col(f"__prev_{key}")) / MINUTE_US, F.lit(0.0)).alias(f"{key}_TimeSinceLast"),
@@ -100,39 +102,42 @@ def add_key_block(df: DataFrame, key: str, o: FeatureOptions, cols: Columns, hot
 
 
 def build_features(df: DataFrame, state: FeatureState, o: FeatureOptions = FeatureOptions(), cols: Columns = DEFAULT,
-                   hot_rows: int | None = None, cut_lineage: bool = False) -> DataFrame:
+                   hot_rows: int | None = None) -> DataFrame:
     """The feature table of ``df``; the label, if present, is carried along and never used."""
     spark = df.sparkSession
-    out = R.add_client_key(df, cols) if o.use_client else df
     keys = [cols.account, cols.customer, *([cols.client] if o.use_client else [])]
     group_key = cols.client if o.use_client else cols.account
-    base = R.calendar_features(out, cols)
-    out = base
+    # tables of statistics are computed from the narrow source, never from the growing feature table
+    source = R.add_client_key(df, cols) if o.use_client else df
+    out = R.calendar_features(source, cols)
     for key in keys:
-        out = add_key_block(out, key, o, cols, hot_rows)
-        if cut_lineage:
-            out = checkpoint(out)
-        out = A.daily_count(out, key, cols=cols) if key != cols.customer else out
-    out = A.batch_features(out, cols)
+        out = add_key_block(out, key, o, cols, hot_rows, source)
+        if key != cols.customer:
+            out = A.daily_count(out, key, cols=cols, source=source)
+    out = A.batch_features(out, cols, source)
+    for c in o.rate_columns:
+        table = spark.createDataFrame(list(state.rates[c].items()), f"{c} string, {c}_FraudRate double")
+        out = A.lookup_with_fallback(out, table, c, source)
+    if o.seasonal:
+        out = S.seasonal_features(out, group_key, cols=cols, source=source)
+    if o.fft:
+        out = S.fft_features(out, group_key, cols=cols, source=source)
+    if o.lomb_scargle:
+        out = S.lomb_scargle_features(out, group_key, cols=cols, source=source)
+    if o.session_gap_minutes is not None:
+        out = Wn.sessionize(out, group_key, o.session_gap_minutes, cols, hot_rows, source)
+        sessions = A.session_stats(Wn.sessionize(source, group_key, o.session_gap_minutes, cols, hot_rows), group_key, cols=cols)
+        out = attach(out, sessions, [group_key, "SessionId"])
     if o.crosses:
         out = R.temporal_identity_crosses(R.cross_features(out, cols=cols), cols)
     if o.cycles:
         out = R.cyclical_sincos(out)
     if o.splines:
         out = R.periodic_spline(out, list(o.spline_columns), {c: tuple(v) for c, v in state.ranges.items()})
-    for c in o.rate_columns:
-        table = spark.createDataFrame(list(state.rates[c].items()), f"{c} string, {c}_FraudRate double")
-        out = A.lookup_with_fallback(out, table, c)
-    if o.seasonal:
-        out = S.seasonal_features(out, group_key, cols=cols)
-    if o.fft:
-        out = S.fft_features(out, group_key, cols=cols)
-    if o.session_gap_minutes is not None:
-        s = Wn.sessionize(out, group_key, o.session_gap_minutes, cols, hot_rows)
-        out = attach(s, A.session_stats(s, group_key, cols=cols), [group_key, "SessionId"])
     if o.cumulative:
         out = R.night_weekend_crosses(R.debit_and_ratio(out, cols), cols)
     if o.n_clusters > 0:
+        out = checkpoint(out)   # read twice below
         from txrisk.operators.models import client_clusters
         means = [cols.amount, cols.value, f"{group_key}_TimeSinceLast", "IsWeekend", "IsNight", "IsMonthEnd", "IsMonthStart",
                  *[f"{group_key}_Count_{Wn.label_us(w)}" for w in o.count_windows_us], f"{group_key}_MovingAvg_{o.moving_rows}",
@@ -141,6 +146,4 @@ def build_features(df: DataFrame, state: FeatureState, o: FeatureOptions = Featu
         numeric = [f"cluster_{c}" for c in [*means, "Hour", "DayOfWeek", "DayOfMonth"]]
         labels = client_clusters(profile, group_key, numeric, [f"cluster_{c}" for c in cols.categoricals], o.n_clusters)
         out = attach(out, attach(profile, labels, group_key), group_key)
-    if o.lomb_scargle:
-        out = S.lomb_scargle_features(out, group_key, cols=cols)
     return R.finalise_features(out, list(o.drop))
