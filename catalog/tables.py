@@ -47,11 +47,11 @@ def _(spark, d):
     return io.clean(x, drop_all_na=True)
 
 
-@query("align_predictions", f"""WITH {TX} SELECT t.TRANSACTION_ID, p.TX_FRAUD FROM tx t LEFT JOIN
+@query("align_predictions", f"""WITH {TX} SELECT t.TRANSACTION_ID, coalesce(p.TX_FRAUD, -1) AS TX_FRAUD FROM tx t LEFT JOIN
  (SELECT TRANSACTION_ID, TX_FRAUD FROM tx WHERE TX_TIME_DAYS < 20) p USING (TRANSACTION_ID)""")
 def _(spark, d):
     x = txd(spark, d)
-    return io.align_predictions(x.select(ID), x.where("TX_TIME_DAYS < 20"), ID, "TX_FRAUD")
+    return io.align_predictions(x.select(ID), x.where("TX_TIME_DAYS < 20"), ID, "TX_FRAUD").na.fill(-1)
 
 
 @query("explore_sample", f"WITH {TX} SELECT AccountId, ProductCategory, {s6('Value')} AS Value FROM tx WHERE {unit('TRANSACTION_ID', 3)} < 0.25")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
@@ -67,21 +68,26 @@ def split_hot(df: DataFrame, keys: list[str], heavy: DataFrame | None) -> HotSpl
     return HotSplit(df.join(heavy, cond, "left_anti"), df.join(heavy, cond, "left_semi"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names the shared folder; only where it is unset (tests, local runs)
-    a folder of this process is used.
+    Only where it is unset and the session is local (tests) a temporary folder takes its place.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:
-            import tempfile
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="txrisk-checkpoint-")
-        sc.setCheckpointDir(shared)
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="txrisk-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -37,7 +37,8 @@ def near_miss(df: DataFrame, features: list[str], ratio: float = 0.1, k: int = 3
     pts = _points(df, features, cols)
     pos, neg = class_sizes(df, cols)
     nn = knn_join(pts.where("y = 0"), pts.where("y = 1"), k, "id", "id")
-    mean = nn.groupBy(F.col("qid").alias(cols.id)).agg(F.avg("distance").alias("__md"))
+    # rounded, so that equal averages tie and the id decides
+    mean = nn.groupBy(F.col("qid").alias(cols.id)).agg(F.round(F.avg("distance"), 9).alias("__md"))
     kept = row_positions(mean, "__md", cols.id, "__pos").where(F.col("__pos") < int(pos / ratio)).select(cols.id)
     return df.where(F.col(cols.label) == 1).unionByName(df.where(F.col(cols.label) == 0).join(kept, cols.id, "left_semi"))
 
