@@ -77,14 +77,15 @@ def test_velocity_block_shuffles_once_per_key(tx, spark):
     assert len(re.findall(r"Exchange hashpartitioning", plan(out))) == 1
 
 
-def test_no_single_partition_window_over_rows(tx):
+def test_no_single_partition_window_over_rows(spark):
     """Global orders only ever collect bucket totals in one task."""
     from txrisk.functions.scale import row_positions
-    from txrisk.schema import micros
-    out = row_positions(tx.withColumn("us", micros("TX_DATETIME")), "us", "TRANSACTION_ID")
-    text = plan(out)
-    before = text.split("Exchange SinglePartition")
-    assert len(before) == 2 and "HashAggregate" in before[1][:400]
+    from txrisk.schema import micros, transaction_view
+    from tests.conftest import SF
+    out = row_positions(transaction_view(spark, SF).withColumn("us", micros("TX_DATETIME")), "us", "TRANSACTION_ID")
+    lines = plan(out).splitlines()
+    above = [lines[i + 1] for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    assert len(above) == 1 and "HashAggregate" in above[0]
 
 
 def test_scan_reads_only_needed_columns(spark):

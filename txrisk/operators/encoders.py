@@ -146,7 +146,8 @@ class OrderedTargetEncoder:
     def transform_train(self, df: DataFrame, hot_rows: int | None = None) -> DataFrame:
         out = df.withColumn("__one", F.lit(1).cast("long")).withColumn("__y", F.col(self.cols.label).cast("double"))
         for c in self.names:
-            got = over_key(out, c, [Running("__n", "__one"), Running("__s", "__y")], self.cols, hot_rows=hot_rows)
+            got = over_key(out, c, [Running("__n", "__one"), Running("__s", "__y")], self.cols, hot_rows=hot_rows,
+                           source=df)
             value = (F.col("__s") - F.col("__y") + self.prior) / F.col("__n")
             out = got.withColumn(f"{c}{self.suffix}", value).drop("__n", "__s")
         return out.drop("__one", "__y")

@@ -39,13 +39,14 @@ def knn_impute(df: DataFrame, names: list[str], k: int = 5, weights: str = "dist
             if not common or not filled:
                 continue
             scale = math.sqrt(p / len(common))
-            vec = F.array(*[F.col(c).cast("double") * scale for c in common]).alias("vec")
+            vec = F.array(*[F.col(c).cast("double") for c in common]).alias("vec")
             rows = q.where(F.col("__m") == qm).select(cols.id, vec)
             refs = d.where(F.col("__m") == dm)
             nn = knn_join(rows, refs.select(cols.id, vec), k, cols.id, cols.id)
             values = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in filled]))
             donor = refs.select(F.col(cols.id).alias("neighbour"), values.alias("x")).select("neighbour", "x.*")
-            part = nn.select("qid", "neighbour", "distance").join(donor, "neighbour")
+            # rounded, so that equal distances tie and the id decides
+            part = nn.select("qid", "neighbour", F.round(F.col("distance") * scale, 9).alias("distance")).join(donor, "neighbour")
             found = part if found is None else found.unionByName(part)
     if found is None:
         return df.na.fill({c: means[c] for c in names if means[c] is not None})

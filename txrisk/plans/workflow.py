@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from txrisk.functions import rows as R
-from txrisk.functions.scale import keep
+from txrisk.functions.scale import checkpoint, keep
 from txrisk.operators import encoders as E, models as M, outliers as O, resample as X, selection as Sel
 from txrisk.plans.features import FeatureOptions, FeatureState, build_features, fit_features
 from txrisk.schema import DEFAULT, Columns
@@ -52,7 +52,7 @@ class Workflow:
         f = FittedWorkflow(o, cols, train.sparkSession)
         if o.engineer:
             f.state = fit_features(train, o.features, cols)
-        x = keep(f.feature_table(train))
+        x = checkpoint(f.feature_table(train))   # read by every later stage
         numeric, ids, cats = f.route(x)
         f.constant = R.constant_columns(x, names=[*numeric, *cats])
         rest = x.select(*[c for c in [*numeric, *cats] if c not in f.constant])
@@ -61,7 +61,7 @@ class Workflow:
         cats = [c for c in cats if c not in f.constant and c not in f.duplicate]
         f.numeric, f.ids, f.cats = numeric, ids, cats
         f.fit_encoders(x)
-        x = f.encode(x, train=True)
+        x = checkpoint(f.encode(x, train=True))
         if o.scaler != "none" and numeric:
             fit = {"robust": E.robust_scaler, "standard": E.standard_scaler, "minmax": E.minmax_scaler}[o.scaler]
             f.scaling = {c: list(v) for c, v in fit(x, numeric).params.items()}
