@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from txrisk.functions.scale import attach, hash_u32, keep
+from txrisk.functions.scale import attach, hash_u32, keep, num_partitions
 
 MAX_BROADCAST_REFS = 20_000
 MAX_BROADCAST_CELLS = 4_000_000   # rows x dimensions of a broadcast matrix
@@ -39,41 +39,40 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 
 def _distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    out = np.empty((len(q), len(r)))
-    step = max(1, 2_000_000 // max(1, r.size))
-    for a in range(0, len(q), step):
-        d = q[a:a + step, None, :] - r[None, :, :]
-        out[a:a + step] = np.sqrt((d * d).sum(axis=2))
-    return out
+    out = np.zeros((len(q), len(r)))
+    for j in range(r.shape[1]):
+        d = q[:, j, None] - r[None, :, j]
+        d *= d
+        out += d
+    return np.sqrt(out, out=out)
 
 
 def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column indices of the k smallest (distance, id) per row."""
+    """Column indices of the k smallest (distance, id) per row; columns must be in id order."""
     k = min(k, d.shape[1])
-    if d.shape[1] > 4 * k:
-        # keep everything not above the k-th distance, so ties are still decided by id
-        cut = np.partition(d, k - 1, axis=1)[:, k - 1]
-        picks = np.empty((len(d), k), dtype=int)
-        for i in range(len(d)):
-            c = np.flatnonzero(d[i] <= cut[i])
-            picks[i] = c[np.lexsort((ids[c], d[i][c]))[:k]]
-        return picks
-    rank = np.argsort(ids, kind="stable")
-    order = np.argsort(d[:, rank], axis=1, kind="stable")[:, :k]
-    return rank[order]
+    if d.shape[1] <= 4 * k:
+        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    picks = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+    near = np.take_along_axis(d, picks, axis=1)
+    picks = np.take_along_axis(picks, np.argsort(near, axis=1, kind="stable"), axis=1)
+    # ties across the cut are decided by id
+    for i in np.flatnonzero((d <= near.max(axis=1)[:, None]).sum(axis=1) > k):
+        c = np.flatnonzero(d[i] <= near[i].max())
+        picks[i] = c[np.argsort(d[i][c], kind="stable")[:k]]
+    return picks
 
 
 def _pairs(q: np.ndarray, qvec: pd.Series, r: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    step = max(1, 4_000_000 // max(1, len(r)))
-    parts = []
+    by_id = np.argsort(ids, kind="stable")
+    r, ids = r[by_id], ids[by_id]
+    step = max(1, 2_000_000 // max(1, len(r)))
+    near_ids, near = [], []
     for a in range(0, len(q), step):
         d = _distances(q[a:a + step], r)
         p = _smallest(d, ids, k)
-        n = p.shape[1]
-        parts.append(pd.DataFrame({
-            "__v": np.repeat(np.asarray(qvec.iloc[a:a + step], dtype=object), n),
-            "rid": ids[p].ravel(), "distance": np.take_along_axis(d, p, axis=1).ravel()}))
-    return pd.concat(parts, ignore_index=True)
+        near_ids += list(ids[p])
+        near += list(np.take_along_axis(d, p, axis=1))
+    return pd.DataFrame({"__v": qvec.to_numpy(dtype=object), "rid": near_ids, "distance": near})
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str, rid: str, vec: str = "vec",
@@ -87,19 +86,21 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str, rid: str, ve
     r = refs.select(F.col(rid).alias("rid"), F.col(vec).alias("__v"))
     w = W.partitionBy("__v").orderBy("rid")
     r = r.withColumn("__c", F.row_number().over(w)).where(F.col("__c") <= need).drop("__c")
-    q = queries.select(F.col(vec).alias("__v")).distinct()
+    # an explicit count keeps the compute-heavy search spread out even when the rows are small
+    q = queries.select(F.col(vec).alias("__v")).repartition(num_partitions(queries.sparkSession), "__v").distinct()
     head = r.limit(max_broadcast + 1).select(F.size("__v").alias("d")).agg(F.count("*"), F.max("d")).first()
     n, dim = head[0], head[1] or 1
     if n == 0:
         raise ValueError("there are no reference rows")
+    pairs = F.arrays_zip("distance", "rid")
     if n <= max_broadcast and n * dim <= MAX_BROADCAST_CELLS:
-        found = _broadcast_search(q, r, need)
+        lists = _broadcast_search(q, r, need).select("__v", pairs.alias("__l"))   # complete and in order
     else:
-        found = _ring_search(q, r, need)
-    best = W.partitionBy("__v").orderBy("distance", "rid")
-    found = found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= need)
-    # at most k + 1 entries per distinct query vector
-    lists = found.groupBy("__v").agg(F.sort_array(F.collect_list(F.struct("distance", "rid"))).alias("__l"))
+        found = _ring_search(q, r, need).select("__v", F.explode(pairs).alias("x")).select("__v", "x.*")
+        best = W.partitionBy("__v").orderBy("distance", "rid")
+        found = found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= need)
+        # at most k + 1 entries per distinct query vector
+        lists = found.groupBy("__v").agg(F.sort_array(F.collect_list(F.struct("distance", "rid"))).alias("__l"))
     out = attach(queries.select(F.col(qid).alias("qid"), F.col(vec).alias("__v")), lists, "__v")
     if exclude_self:
         out = out.withColumn("__l", F.filter("__l", lambda x: x["rid"] != F.col("qid")))
@@ -108,7 +109,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str, rid: str, ve
 
 
 def _schema(r: DataFrame) -> str:
-    return f"__v array<double>, rid {r.schema['rid'].dataType.simpleString()}, distance double"
+    return f"__v array<double>, rid array<{r.schema['rid'].dataType.simpleString()}>, distance array<double>"
 
 
 def _broadcast_search(q: DataFrame, r: DataFrame, k: int) -> DataFrame:

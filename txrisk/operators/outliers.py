@@ -14,7 +14,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from txrisk.functions.scale import attach, hash_u32, hash_unit, keep, top_share_cut
+from txrisk.functions.scale import attach, hash_u32, hash_unit, keep, num_partitions, top_share_cut
 from txrisk.operators.aggregates import equal_width_bin
 from txrisk.operators.neighbors import knn_join, vector
 from txrisk.schema import DEFAULT, Columns
@@ -105,6 +105,7 @@ def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, sam
         flat = np.array(out, dtype=float).ravel().tolist()
         return pd.DataFrame({"tree": [tree], "nodes": [flat]})
 
+    rows = rows.repartition(min(n_trees, num_partitions(df.sparkSession)), "tree")   # not merged into few tasks
     grown = rows.groupBy("tree").applyInPandas(grow, "tree int, nodes array<double>").orderBy("tree").collect()
     trees = [np.array(r["nodes"], dtype=float).reshape(-1, 5) for r in grown]
     return IsolationForest(trees, size, features, cols.id)
