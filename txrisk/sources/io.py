@@ -103,9 +103,10 @@ class BestRun:
         self.spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(self._score_path())
         return True
 
-    def load(self):
+    def load(self, loader=None):
+        """The stored model; ``loader(path)`` reads it, by default as a ``PipelineModel``."""
         from pyspark.ml import PipelineModel
-        return PipelineModel.load(f"{self.path}/model")
+        return (loader or PipelineModel.load)(f"{self.path}/model")
 
     def save_trials(self, trials: DataFrame) -> None:
         trials.write.mode("overwrite").json(f"{self.path}/trials")
