@@ -64,3 +64,16 @@ def test_workflow_save_and_load_give_the_same_scores(spark, tx, tmp_path):
     assert len(a) == test.count() and np.allclose(a.predictions, b.predictions)
     run = io.BestRun(spark, str(tmp_path / "best"))
     assert run.offer(w, 0.4) and not run.offer(w, 0.3) and run.best_score() == 0.4
+
+
+def test_search_keeps_the_best_workflow(spark, tx, tmp_path):
+    from txrisk.plans.search import WorkflowSearch
+    x = R.calendar_features(tx).select("TRANSACTION_ID", "TX_DATETIME", "TX_TIME_DAYS", "TX_AMOUNT", "Value", "Hour", "ProductCategory",
+                                       ((F.col("Value") > 60) & (F.col("ProductCategory") == "view")).cast("int").alias("TX_FRAUD"))
+    train, val = x.where("TX_TIME_DAYS < 20"), x.where("TX_TIME_DAYS >= 20")
+    base = WorkflowOptions(engineer=False, classifier="tree", scaler="standard")
+    search = WorkflowSearch(spark, str(tmp_path / "s"), {"encoder": ["onehot", "hashing"]})
+    trials = search.optimise([(train, val)], 2, base).collect()
+    assert len(trials) == 2 and search.run.best_score() == max(r["score"] for r in trials)
+    best = search.run.load(lambda p: FittedWorkflow.load(spark, p))
+    assert best.transform(val).count() == val.count()
