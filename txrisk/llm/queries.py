@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from txrisk.llm.cover_tree import near_vectors
 from txrisk.llm.exact_dedup import exact_dedup
 from txrisk.llm.sharding import shard_by_bytes
 from txrisk.llm.simhash import simhash_groups
@@ -35,6 +36,11 @@ def op1(spark, d):
     return exact_dedup(documents(spark, d), keep="largest")
 
 
+@query("op7_cover_tree")
+def op7(spark, d):
+    return near_vectors(spark.read.parquet(f"{d}/embeddings.parquet"), threshold=0.9)
+
+
 @query("op9_sharding")
 def op9(spark, d):
     return shard_by_bytes(documents(spark, d), shards=40)
