@@ -10,6 +10,7 @@ from txrisk.llm.cover_tree import near_vectors
 from txrisk.llm.exact_dedup import exact_dedup
 from txrisk.llm.sharding import shard_by_bytes
 from txrisk.llm.simhash import simhash_groups
+from txrisk.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,18 @@ def op1(spark, d):
     return exact_dedup(documents(spark, d), keep="largest")
 
 
+@query("op5_substring_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS low FROM g) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS at FROM r, range(13) t(k)),
+kept AS (SELECT p.doc_id, count(*) AS n_words, count(gone.at) AS n_removed, string_agg(word, ' ' ORDER BY p.at) FILTER (gone.at IS NULL) AS kept
+         FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM w) p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.at = gone.at GROUP BY 1)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""")
+def op5(spark, d):
+    return remove_repeats(documents(spark, d), with_text=False)
+
+
 @query("op7_cover_tree")
 def op7(spark, d):
     return near_vectors(spark.read.parquet(f"{d}/embeddings.parquet"), threshold=0.9)
