@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from txrisk.llm.byte_bpe import decoded, encode, read_ranks
 from txrisk.llm.cover_tree import near_vectors
 from txrisk.llm.exact_dedup import exact_dedup
 from txrisk.llm.sharding import shard_by_bytes
@@ -37,6 +38,21 @@ def op1(spark, d):
     return exact_dedup(documents(spark, d), keep="largest")
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Encode with the multilingual byte-level ranks, decode, and give the digests of both."""
+    import public_tokenizers
+    ranks = read_ranks(docs.sparkSession, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = F.col("ids")
+    return encode(docs, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(decoded(ids, ranks), 256).alias("decoded_sha256"))
+
+
+@query("op4_byte_bpe")
+def op4(spark, d):
+    return token_digests(documents(spark, d))
+
+
 @query("op5_substring_dedup", """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)),
