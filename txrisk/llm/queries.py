@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from txrisk.llm.byte_bpe import decoded, encode, read_ranks
 from txrisk.llm.cover_tree import near_vectors
 from txrisk.llm.exact_dedup import exact_dedup
+from txrisk.llm.language import fit_language_model, predict_language
+from txrisk.llm.license_scan import license_scan
+from txrisk.llm.mixing import mix
+from txrisk.llm.quality import fit_classifier, quality_scores
 from txrisk.llm.sharding import shard_by_bytes
 from txrisk.llm.simhash import simhash_groups
 from txrisk.llm.substring_dedup import remove_repeats
@@ -38,6 +42,21 @@ def op1(spark, d):
     return exact_dedup(documents(spark, d), keep="largest")
 
 
+@query("op2_license_scan")
+def op2(spark, d):
+    return license_scan(documents(spark, d)).drop("spans")
+
+
+@query("op3_mixing")
+def op3(spark, d):
+    docs = documents(spark, d)
+    mixed, plan = mix(docs, F.array("source"))
+    quotas = F.broadcast(spark.createDataFrame(plan.sources, "source string, source_size long, target double"))   # one row per source
+    name = lambda c: F.coalesce(F.hex(c), F.lit("-"))
+    return mixed.join(quotas, name(mixed["source"]) == name(quotas["source"])).select(
+        "doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """Encode with the multilingual byte-level ranks, decode, and give the digests of both."""
     import public_tokenizers
@@ -65,11 +84,28 @@ def op5(spark, d):
     return remove_repeats(documents(spark, d), with_text=False)
 
 
+@query("op6_language_id")
+def op6(spark, d):
+    docs = documents(spark, d)
+    return predict_language(docs, fit_language_model(docs))
+
+
 @query("op7_cover_tree")
 def op7(spark, d):
     return near_vectors(spark.read.parquet(f"{d}/embeddings.parquet"), threshold=0.9)
 
 
+def scored_documents(docs: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Hosts are sources; the sections of a host are its languages."""
+    model = fit_classifier(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    return quality_scores(docs, model, F.col("source"), F.col("lang"))
+
+
+@query("op8_quality_classifier")
+def op8(spark, d):
+    return scored_documents(documents(spark, d), spark, d)
+
+
 @query("op9_sharding")
 def op9(spark, d):
     return shard_by_bytes(documents(spark, d), shards=40)
