@@ -120,21 +120,21 @@ def _odds(p: Column) -> Column:
 
 
 def quality_scores(docs: DataFrame, model: Classifier, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id, host, path, doc_score, host_rate, path_rate, score, keep), one row per input row.
+    """(id, host, path, doc_score, host_rate, path_rate, score, keep, text_sha256), one row per input row.
 
     Null text counts as empty and has the classifier's odds of one; null hosts and paths are sites of their own. Rates leave the row itself out. Rows that
     repeat are scored each; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    raw = text_features(docs, text_col, {"id": docs[id_col], "host": host.cast("string"), "path": path.cast("string")})
+    raw = text_features(docs, text_col, {"id": docs[id_col], "host": host.cast("string"), "path": path.cast("string"), "text_sha256": F.sha2(text_of(docs, text_col), 256)})
     kind = dict(raw.dtypes)["id"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch["features"].flatten().to_numpy().reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["host"], batch["path"], pa.array(np.clip(shared.value.log_odds(x), -30, 30))], names=["id", "host", "path", "odds"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["host"], batch["path"], batch["text_sha256"], pa.array(np.clip(shared.value.log_odds(x), -30, 30))], names=["id", "host", "path", "text_sha256", "odds"])
     key = lambda *cs: F.sha2(F.concat_ws(",", *[F.coalesce(F.hex(c), F.lit("-")) for c in cs]), 256)
-    scored = raw.mapInArrow(score, f"id {kind}, host string, path string, odds double")
+    scored = raw.mapInArrow(score, f"id {kind}, host string, path string, text_sha256 string, odds double")
     scored, _ = store(scored.withColumns({"p": 1 / (1 + F.exp(-F.col("odds"))), "host_key": key("host"), "path_key": key("host", "path")}), "quality-odds")
     sums = [F.count("*").alias("n"), F.sum("p").alias("s1"), F.sum(F.col("p") * F.col("p")).alias("s2")]
     paths, _ = store(scored.groupBy("host_key", "path_key").agg(*sums), "quality-paths")
@@ -151,4 +151,4 @@ def quality_scores(docs: DataFrame, model: Classifier, host: Column, path: Colum
     out = out.withColumn("path_rate", (F.col("s1") - F.col("p") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path))
     odds = F.col("odds") + _odds(F.col("path_rate")) - _odds(F.lit(rate))
     score_col = 1 / (1 + F.exp(-odds))
-    return out.select(F.col("id").alias(id_col), "host", "path", F.col("p").alias("doc_score"), "host_rate", "path_rate", score_col.alias("score"), (score_col >= threshold).alias("keep"))
+    return out.select(F.col("id").alias(id_col), "host", "path", F.col("p").alias("doc_score"), "host_rate", "path_rate", score_col.alias("score"), (score_col >= threshold).alias("keep"), "text_sha256")

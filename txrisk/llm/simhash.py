@@ -46,13 +46,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint as a signed long; no words give zero."""
+    """(id, text_sha256, fp): the 64-bit fingerprint as a signed long; no words give zero."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(shingle_hashes(t.as_py(), width)) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], names=["id", "fp"])
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["text_sha256"], pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())],
+                                             names=["id", "text_sha256", "fp"])
+    text = text_of(docs, text_col)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"))
+    return rows.mapInArrow(run, "id long, text_sha256 string, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -103,16 +105,19 @@ def star_edges(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a or empty), np.concatenate(b or empty)
 
 
-def simhash_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fingerprint, component_id): one row per document with the smallest id reachable over links of at most ``radius`` differing bits.
+def simhash_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
+                   with_digest: bool = False) -> DataFrame:
+    """(id, fingerprint, component_id[, text_sha256]): one row per document with the smallest id reachable over links of at most ``radius`` differing bits.
 
     Null text counts as empty; texts without words have fingerprint zero and link like any other. Rows that repeat an id each count; a null id never
     names a component unless it has no other. An empty table gives no rows.
     """
-    prints, _ = store(fingerprints(docs, id_col, text_col, width), "simhash")
+    prints = fingerprints(docs, id_col, text_col, width)
+    prints, _ = store(prints if with_digest else prints.drop("text_sha256"), "simhash")
     distinct, _ = store(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     classes, _ = store(named.select("fp", "root").join(lows, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+                                             *["text_sha256"] * with_digest)
