@@ -142,9 +142,9 @@ def _(spark, d):
 
 
 @query("vector_to_columns", "SELECT vec_id, " + ", ".join(
-    f"round(CAST(embedding[{i + 1}] AS DOUBLE) + 1.3e-8, 6) AS to_df_{i}" for i in range(8)) + " FROM embeddings")
+    f"round(CAST(embedding[{i + 1}] AS DOUBLE) + 1.3e-8, 6) AS to_df_{i}" for i in range(64)) + " FROM embeddings")
 def _(spark, d):
-    return rounded(R.to_frame(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 8))
+    return rounded(R.to_frame(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 64))
 
 
 @query("feature_union", f"""WITH {CAL} SELECT TRANSACTION_ID, Hour, DayOfWeek, DayOfMonth, IsWeekend, IsNight, IsMonthEnd, IsMonthStart,

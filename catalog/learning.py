@@ -88,18 +88,16 @@ query("hashing_encoder", f"WITH {TX} SELECT TRANSACTION_ID, " + ", ".join(
     lambda spark, d: encoded(E.hashing_encoder(tx(spark, d), CATS, 6), [f"hash_{j}" for j in range(6)]))
 
 VALUES = ["click", "error", "purchase", "signup", "view"]
-query("similarity_encoder_vectors", f"""WITH {TX}, v AS (SELECT c, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN
- (SELECT unnest({VALUES[:4]!r}) AS c, unnest([0, 1, 2, 3]) AS i) ON vec_id = i)
- SELECT TRANSACTION_ID, """ + ", ".join(f"{s6(f'coalesce(list_cosine_similarity(a.e, b{i}.e), 0)')} AS ProductCategory_{v}" for i, v in enumerate(VALUES))
-      + " FROM tx LEFT JOIN v a ON a.c = ProductCategory " + " ".join(f"LEFT JOIN v b{i} ON b{i}.c = '{v}'" for i, v in enumerate(VALUES)))(
-    lambda spark, d: (lambda x, v: encoded(E.similarity_encoder(x, "ProductCategory", v).transform(x), [f"ProductCategory_{c}" for c in VALUES]))(
-        tx(spark, d), table(spark, d, "embeddings").where("vec_id < 4").select(
-            F.element_at(F.array(*[F.lit(v) for v in VALUES]), F.col("vec_id").cast("int") + 1).alias("category"), F.col("embedding").alias("vector"))))
+PRODUCTS = [f"PR{i}" for i in range(23)]
+query("similarity_encoder_vectors", f"""WITH {TX}, v AS (SELECT 'PR' || (vec_id - 2) AS c, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+ SELECT TRANSACTION_ID, """ + ", ".join(f"{s6(f'coalesce(list_cosine_similarity(a.e, b{i}.e), 0)')} AS ProductId_{v}" for i, v in enumerate(PRODUCTS))
+      + " FROM tx LEFT JOIN v a ON a.c = ProductId " + " ".join(f"LEFT JOIN v b{i} ON b{i}.c = '{v}'" for i, v in enumerate(PRODUCTS)))(
+    lambda spark, d: (lambda x, v: encoded(E.similarity_encoder(x, "ProductId", v).transform(x), [f"ProductId_{c}" for c in PRODUCTS]))(
+        tx(spark, d), table(spark, d, "embeddings").select(F.concat(F.lit("PR"), (F.col("vec_id") - 2).cast("string")).alias("category"), F.col("embedding").alias("vector"))))
 query("similarity_encoder_strings")(lambda spark, d: (lambda x: encoded(
     E.similarity_encoder(x, "ProductCategory").transform(x), [f"ProductCategory_{c}" for c in VALUES]))(tx(spark, d)))
-query("one_hot", f"""WITH {TX} SELECT TRANSACTION_ID, """ + ", ".join(f"CAST(ProductCategory = '{v}' AS INT) AS ProductCategory_{v}" for v in VALUES[:4])
-      + " FROM tx")(lambda spark, d: (lambda x: encoded(E.one_hot(x, ["ProductCategory"], {"ProductCategory": VALUES[:4]}),
-                                                        [f"ProductCategory_{v}" for v in VALUES[:4]]))(tx(spark, d)))
+query("one_hot", f"""WITH {TX} SELECT TRANSACTION_ID, """ + ", ".join(f"CAST(ProductCategory = '{v}' AS INT) AS ProductCategory_{v}" for v in VALUES)
+      + " FROM tx")(lambda spark, d: (lambda x: encoded(E.one_hot(x, ["ProductCategory"]), [f"ProductCategory_{v}" for v in VALUES]))(tx(spark, d)))
 
 # ------------------------------------------------------------------ scalers and interactions
 
@@ -125,7 +123,11 @@ query("encoded_interactions", f"WITH {TRAIN}{PRIOR} SELECT TRANSACTION_ID, {s6('
         ID, F.col("`Value*ProductId_ordered`"))))(*split(spark, d)))
 
 
-@query("knn_impute")
+@query("knn_impute", f"""WITH p AS (SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) AS n, length(c_mktsegment) * 10.0 AS s, CASE WHEN c_custkey % 9 > 0 THEN c_acctbal END AS a FROM customer),
+ g AS (SELECT q.id, d.id AS did, d.a, round(sqrt(1.5) * sqrt((q.n - d.n) * (q.n - d.n) + CAST((q.s - d.s) * (q.s - d.s) AS DOUBLE)), 9) AS dist FROM p q JOIN p d ON q.a IS NULL AND d.a IS NOT NULL),
+ nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, did) AS r FROM g),
+ f AS (SELECT id, CASE WHEN min(dist) = 0 THEN avg(a) FILTER (dist = 0) ELSE sum(a / nullif(dist, 0)) / sum(1 / nullif(dist, 0)) END AS v FROM nn WHERE r <= 5 GROUP BY 1)
+ SELECT p.id AS c_custkey, {s6('n')} AS c_nationkey, {s6('coalesce(a, v)')} AS c_acctbal, {s6('CAST(s AS DOUBLE)')} AS seg FROM p LEFT JOIN f USING (id)""")
 def _(spark, d):
     x = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal")).alias("c_acctbal"),
                                            (F.length("c_mktsegment") * 10.0).alias("seg"))
@@ -134,9 +136,13 @@ def _(spark, d):
 
 # ------------------------------------------------------------------ selection
 
-query("pca_explained", f"""SELECT 0 AS component, {s6('(1 + abs(corr(l_quantity, l_extendedprice))) / 2')} AS explained FROM lineitem
- UNION ALL SELECT 1, {s6('(1 - abs(corr(l_quantity, l_extendedprice))) / 2')} FROM lineitem""")(
-    lambda spark, d: rounded(spark.createDataFrame(list(enumerate(S.pca(table(spark, d, "lineitem"), LINE[:2], 5).explained)), "component int, explained double")))
+# The power sums of the explained shares fix the shares; in SQL they are traces of powers of the correlation matrix.
+query("pca_explained", "WITH c AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, corr({a}, {b}) / {len(LINE)} AS v FROM lineitem" for i, a in enumerate(LINE) for j, b in enumerate(LINE))
+      + f"""), s AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2)
+ SELECT 1 AS power, {s6('sum(v)')} AS total FROM c WHERE i = j UNION ALL SELECT 2, {s6('sum(v)')} FROM s WHERE i = j
+ UNION ALL SELECT 3, {s6('sum(s.v * c.v)')} FROM s JOIN c ON s.j = c.i AND s.i = c.j UNION ALL SELECT 4, {s6('sum(v * v)')} FROM s""")(
+    lambda spark, d: (lambda e: rounded(spark.createDataFrame([(k, float(sum(x ** k for x in e))) for k in (1, 2, 3, 4)], "power int, total double")))(
+        S.pca(table(spark, d, "lineitem"), LINE, 4).explained))
 query("pca_scores")(lambda spark, d: (lambda x: rounded(S.pca(x, LINE, 2).transform(x).select("l_orderkey", "l_partkey", "pca_0", "pca_1")))(table(spark, d, "lineitem")))
 query("nystroem")(lambda spark, d: (lambda x: rounded(S.nystroem(x, ["TX_AMOUNT", "Value", "Hour"], 8).transform(x).select(
     ID, *[f"nystroem_{i}" for i in range(8)])))(cal(spark, d)))
@@ -241,7 +247,7 @@ query("knn_distance_partitioned", f"WITH {KNN} SELECT id AS c_custkey, {s6('avg(
 query("abod")(lambda spark, d: O.abod(_cust(spark, d), ["c_acctbal", "nation"], 6, CUST).select("c_custkey", F.signum("abod").alias("sign")))
 query("contamination_flag", f"WITH {TX} SELECT TRANSACTION_ID, CAST(Value > (SELECT quantile_cont(Value, 0.95) FROM tx) AS INT) AS Value_outlier FROM tx")(
     lambda spark, d: O.contamination_flag(tx(spark, d), "Value", 0.05).select(ID, "Value_outlier"))
-query("score_union")(lambda spark, d: rounded(O.add_scores(cal(spark, d), OUT, ["hbos", "loda", "cblof"], {"loda": {"n_projections": 10}}).select(ID, "hbos", "loda", "cblof")))
+query("score_union")(lambda spark, d: rounded(O.add_scores(cal(spark, d), OUT, list(O.DETECTORS), {"loda": {"n_projections": 10}, "iforest": {"n_trees": 20}}).select(ID, *O.DETECTORS)))
 
 # ------------------------------------------------------------------ resampling
 

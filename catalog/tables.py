@@ -122,7 +122,7 @@ query("random_undersample", f"""WITH {TX}, n AS (SELECT CAST(sum(TX_FRAUD) AS DO
 
 # ------------------------------------------------------------------ joins and sets on the other tables
 
-query("attach_group_statistics", f"""WITH s AS (SELECT c_nationkey, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer GROUP BY 1)
+@query("attach_group_statistics", f"""WITH s AS (SELECT c_nationkey, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer GROUP BY 1)
  SELECT c_custkey, {s6('m')} AS nation_mean, {s6('s')} AS nation_std FROM customer LEFT JOIN s USING (c_nationkey)""")
 def _(spark, d):
     from txrisk.functions.scale import attach

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from txrisk.functions.scale import attach
+from txrisk.functions.scale import attach, checkpoint
 from txrisk.operators.neighbors import knn_join
 from txrisk.schema import DEFAULT, Columns
 
-MAX_PATTERNS = 32
+# Searches per written intermediate table: keeps the plan small whatever the number of mask combinations.
+STEP = 12
 
 
 def knn_impute(df: DataFrame, names: list[str], k: int = 5, weights: str = "distance", fit_on: DataFrame | None = None,
@@ -19,18 +21,17 @@ def knn_impute(df: DataFrame, names: list[str], k: int = 5, weights: str = "dist
 
     The distance uses the coordinates both rows have, scaled up to the full number. Rows sharing the same set
     of missing columns are searched together, against donors grouped the same way, and the candidates of all
-    donor groups are merged; the number of sets is checked. A column without usable donors gets its mean.
+    donor groups are merged; every set is searched. A column without usable donors gets its mean.
     """
     donors = df if fit_on is None else fit_on
     p = len(names)
     mask = F.concat(*[F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), "0").otherwise("1") for c in names])
     q, d = df.withColumn("__m", mask), donors.withColumn("__m", mask)
-    q_masks = [r[0] for r in q.select("__m").distinct().limit(MAX_PATTERNS + 1).collect() if "0" in r[0]]
-    d_masks = [r[0] for r in d.select("__m").distinct().limit(MAX_PATTERNS + 1).collect()]
-    if len(q_masks) * len(d_masks) > MAX_PATTERNS * 4:
-        raise ValueError("too many combinations of missing columns")
+    # one short string per set of missing columns: a matter of the schema, not of the rows
+    q_masks = sorted(r[0] for r in q.select("__m").distinct().collect() if "0" in r[0])
+    d_masks = sorted(r[0] for r in d.select("__m").distinct().collect())
     means = donors.agg(*[F.avg(c).alias(c) for c in names]).first()
-    found = None
+    found, parts = [], []
     for qm in q_masks:
         missing = [c for c, b in zip(names, qm) if b == "0"]
         for dm in d_masks:
@@ -47,11 +48,14 @@ def knn_impute(df: DataFrame, names: list[str], k: int = 5, weights: str = "dist
             donor = refs.select(F.col(cols.id).alias("neighbour"), values.alias("x")).select("neighbour", "x.*")
             # rounded, so that equal distances tie and the id decides
             part = nn.select("qid", "neighbour", F.round(F.col("distance") * scale, 9).alias("distance")).join(donor, "neighbour")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
+            parts.append(part)
+            if len(parts) == STEP:
+                found.append(checkpoint(reduce(DataFrame.unionByName, parts)))
+                parts = []
+    if not found and not parts:
         return df.na.fill({c: means[c] for c in names if means[c] is not None})
     w = W.partitionBy("qid", "c").orderBy("distance", "neighbour")   # at most k per donor group
-    best = found.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    best = reduce(DataFrame.unionByName, [*found, *parts]).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
     if weights == "distance":
         exact = F.max(F.when(F.col("distance") == 0, 1).otherwise(0))
         weighted = F.sum(F.when(F.col("distance") > 0, F.col("v") / F.col("distance"))) / F.sum(

@@ -334,19 +334,22 @@ class ClusterwiseClassifier(Estimator):
             tree = decision_tree(self.cols, **self.tree)
             members[c] = (tree.copy({tree.featuresCol: "__slice"}).fit(sliced), idx)
         x.unpersist()
-        return ClusterwiseModel(km, members)
+        overall = df.agg(F.avg(F.col(self.cols.label).cast("double"))).first()[0]
+        return ClusterwiseModel(km, members, overall or 0.0)
 
 
 class ClusterwiseModel(Model):
-    def __init__(self, clusters, members: dict):
+    def __init__(self, clusters, members: dict, overall: float = 0.0):
         super().__init__()
-        self.clusters, self.members = clusters, members
+        self.clusters, self.members, self.overall = clusters, members, overall
 
     def _transform(self, df: DataFrame) -> DataFrame:
         x = self.clusters.transform(df)
         parts = []
-        for c, (model, info) in sorted(self.members.items()):
-            rows = x.where(F.col("__cluster") == c)
+        # rows of a cluster that had no training rows get the overall rate
+        known = sorted(self.members.items())
+        for c, (model, info) in [*known, (None, (None, self.overall))]:
+            rows = x.where(~F.coalesce(F.col("__cluster").isin([k for k, _ in known]), F.lit(False)) if c is None else F.col("__cluster") == c)
             if model is None:
                 p = F.lit(float(info))
                 parts.append(rows.withColumns({"probability": array_to_vector(F.array(1 - p, p)), "prediction": (p >= 0.5).cast("double")}))

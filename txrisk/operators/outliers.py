@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -14,7 +13,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from txrisk.functions.scale import attach, hash_u32, hash_unit, keep, num_partitions, top_share_cut
+from txrisk.functions.scale import attach, hash_u32, keep, num_partitions, top_share_cut
 from txrisk.operators.aggregates import equal_width_bin
 from txrisk.operators.neighbors import knn_join, vector
 from txrisk.schema import DEFAULT, Columns
@@ -84,15 +83,9 @@ def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, sam
     """Trees are grown in parallel, one task group per tree, on hash samples of ``sample_size`` rows each."""
     n = df.count()
     size = min(sample_size, n)
-    share = min(1.0, 4.0 * size * n_trees / n)
-    # a row competes for one tree; about four times the needed rows take part (all rows in small tables)
-    if share < 1.0:
-        u = hash_unit(cols.id, f"{seed}pick")
-        rows = df.where(u < share).withColumn("tree", F.pmod(hash_u32(cols.id, f"{seed}tree"), F.lit(n_trees)).cast("int"))
-    else:
-        rows = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        rows = rows.where(F.pmod(hash_u32(F.concat_ws("#", F.col(cols.id).cast("string"), F.col("tree").cast("string")), seed),
-                                 F.lit(max(1, n // (2 * size)))) == 0)
+    # each tree draws every row with the same chance, about twice the rows it keeps; only the hits of a row are generated
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(cols.id), t, F.lit(seed)), F.lit(max(1, n // (2 * size)))) == 0)
+    rows = df.withColumn("tree", F.explode(drawn))
     rows = rows.select("tree", hash_u32(F.concat_ws("#", F.col(cols.id).cast("string"), F.col("tree").cast("string")), "order").alias("h"),
                        vector(features).alias("vec"))
     limit = max(1, math.ceil(math.log2(max(2, size))))

@@ -57,7 +57,10 @@ def _interpolate(base: DataFrame, neighbours: DataFrame, refs: DataFrame, k: int
     copies = base.where("copies > 0").select("id", "vec", "step", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("j"))
     tag = F.concat_ws("#", F.col("id").cast("string"), F.col("j").cast("string"))
     found = neighbours.groupBy("qid").agg(F.max("rank").alias("m"))
-    copies = attach(copies.withColumnRenamed("id", "qid"), found, "qid").where("m IS NOT NULL").withColumnRenamed("qid", "id")
+    # a point without neighbours is its own: its synthetic rows are copies
+    copies = attach(copies.withColumnRenamed("id", "qid"), found, "qid").withColumnRenamed("qid", "id")
+    alone = copies.where("m IS NULL").select(F.col("id").alias("base_id"), F.col("id").alias("neighbour_id"), "j", F.lit(0.0).alias("lam"), "vec")
+    copies = copies.where("m IS NOT NULL")
     copies = copies.withColumn("rank", (F.pmod(hash_u32(tag, f"{seed}n"), F.col("m")) + 1).cast("int"))
     copies = copies.withColumn("lam", hash_unit(tag, f"{seed}l"))
     pick = neighbours.select(F.col("qid").alias("id"), "rank", "neighbour")
@@ -65,7 +68,7 @@ def _interpolate(base: DataFrame, neighbours: DataFrame, refs: DataFrame, k: int
         refs.select(F.col("id").alias("neighbour"), F.col("vec").alias("nvec")), "neighbour")
     scale = F.col("lam") * F.col("step")
     return joined.select(F.col("id").alias("base_id"), F.col("neighbour").alias("neighbour_id"), "j", "lam",
-                         F.zip_with("vec", "nvec", lambda a, b: a + scale * (b - a)).alias("vec"))
+                         F.zip_with("vec", "nvec", lambda a, b: a + scale * (b - a)).alias("vec")).unionByName(alone)
 
 
 def _rows(points: DataFrame, features: list[str], cols: Columns) -> DataFrame:
