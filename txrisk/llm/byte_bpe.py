@@ -13,10 +13,10 @@ import re
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -24,12 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txrisk.llm.common import text_of, total_bytes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 BUCKET_BYTES = 16 << 20
 # The literal pair map is split into this many small maps, since a map is searched from its start.
 PAIR_MAPS = 16381
 WIDTH = 1 << 20
-NONE = 2147483647
 # Longer words are merged in the task by the same rule: array folding copies the word once per merge.
 FOLD_BYTES = 128
 
@@ -69,16 +68,75 @@ def splitter(pattern: str) -> re.Pattern:
 
 
 @lru_cache(maxsize=1)
-def _gaps() -> tuple[re.Pattern, re.Pattern]:
+def _gap() -> re.Pattern:
     space = _classes()[2]
-    return re.compile(f"[{space}] | [{space}]|^ | $"), re.compile(f"(?<=[^{space}]) (?=[^{space}])")
+    return re.compile(f"(?<=[^{space}]) (?=[^{space}])")
 
 
-def spans(text: str) -> list[str]:
-    """Cut before every single space between two other characters that are no white space: no word of the pattern crosses such a place."""
-    odd, between = _gaps()
-    first, *rest = between.split(text) if odd.search(text) else text.split(" ")
-    return [first, *[" " + r for r in rest]]
+class Numbers(dict):
+    """Numbers new keys in the order in which they are asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _ragged(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``pick`` of a list array, end to end, with their offsets."""
+    lengths = offsets[pick + 1] - offsets[pick]
+    out = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.arange(out[-1]) + np.repeat(offsets[pick] - out[:-1], lengths)], out
+
+
+class ChunkWords:
+    """The words of a chunk's texts: distinct ones by number, and every text as numbers.
+
+    A text is cut before each single space between two characters that are no white space, which no word of the pattern crosses; only
+    distinct spans are then split into words.
+    """
+
+    def __init__(self, texts: pa.Array, pattern: str):
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        named, ids, ends = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64), cut.offsets.to_numpy().astype(np.int64)
+        # str.isspace holds for all white space of the pattern and a little more; such texts are cut by the exact rule instead
+        after = np.array([not x or x[-1].isspace() for x in named], bool)
+        before = np.array([not x or x[0].isspace() for x in named], bool)
+        broken = after[ids[:-1]] | before[ids[1:]]
+        broken[ends[1:-1] - 1] = False
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(broken), "right") - 1)
+        # the span that begins a text has no blank before it and is kept apart
+        first = Numbers()
+        heads = np.array([first[named[i]] for i in ids[ends[:-1]].tolist()], np.int64)
+        ids[ends[:-1]] = heads + len(named)
+        spans = np.split(ids, ends[1:-1])
+        more = Numbers()
+        for i in odd.tolist():
+            head, *rest = _gap().split(texts[i].as_py())
+            spans[i] = np.array([more[(head,)], *map(more.__getitem__, rest)], np.int64) + len(named) + len(first)
+        self.spans = [*named, *((x,) for x in first), *more]
+        self.words, parts, offsets = Numbers(), [], [0]
+        find, number = splitter(pattern).findall, self.words.__getitem__
+        for x in self.spans:
+            if isinstance(x, tuple):
+                parts += map(number, find(x[0]))
+            elif x.isalpha():
+                parts.append(number(" " + x))
+            elif x[-1:] in (".", ",") and x[:-1].isalpha():
+                parts += (number(" " + x[:-1]), number(x[-1]))
+            else:
+                parts += map(number, find(" " + x))
+            offsets.append(len(parts))
+        self.parts, self.offsets = np.array(parts, np.int32), np.array(offsets, np.int64)
+        self.texts = spans
+
+    def by_bucket(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct words as bytes, and their order and buckets by (bucket, bytes)."""
+        raw = [w.encode() for w in self.words]
+        bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)) % np.uint64(buckets)
+        order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        return raw, order, bucket[order]
 
 
 # ------------------------------------------------------------------------------------------------ merges
@@ -100,7 +158,7 @@ def folded(symbols: Column, ranks: dict[bytes, int]) -> Column:
     literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>").cast("array<map<bigint,int>>")
 
     def rank(a: Column, b: Column) -> Column:
-        return _let(a.cast("long") * WIDTH + b, lambda k: F.coalesce(F.try_element_at(F.get(literal, (k % PAIR_MAPS).cast("int")), k), F.lit(NONE)))
+        return _let(a.cast("long") * WIDTH + b, lambda k: F.try_element_at(F.get(literal, (k % PAIR_MAPS).cast("int")), k))
 
     def merge(s: Column, r: Column, m: Column, k: Column) -> Column:
         none = F.array().cast("array<int>")
@@ -111,7 +169,7 @@ def folded(symbols: Column, ranks: dict[bytes, int]) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         s, r = state["s"], state["r"]
-        return _let(F.array_min(r), lambda m: F.when(F.coalesce(m, F.lit(NONE)) == NONE, state).otherwise(
+        return _let(F.array_min(r), lambda m: F.when(m.isNull(), state).otherwise(
             _let(F.array_position(r, m).cast("int"), lambda k: merge(s, r, m, k))))
     pairs = F.transform(F.sequence(F.lit(1), F.size(symbols) - 1), lambda i: rank(F.get(symbols, i - 1), F.get(symbols, i)))
     start = F.struct(symbols.alias("s"), pairs.alias("r"))
@@ -147,18 +205,9 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["id"], batch["chunk"], pa.array([pack.compress(t.as_py()) for t in batch["text"]], pa.binary())], names=["id", "chunk", "text"])
 
 
-def _texts(table: pa.Table) -> list[str]:
+def _texts(table: pa.Table) -> pa.Array:
     unpack = zstandard.ZstdDecompressor()
-    return [unpack.decompress(t.as_py()).decode() for t in table["text"]]
-
-
-def _chunk_words(texts: list[str], pattern: str, buckets: int) -> tuple[list[list[str]], dict[str, list[str]], list[tuple[int, bytes]]]:
-    """Spans of every text, words of every span, and the distinct words in the order of (bucket, bytes)."""
-    cut = [spans(t) for t in texts]
-    find = splitter(pattern).findall
-    words = {s: find(s) for s in set(chain.from_iterable(cut))}
-    raw = [w.encode() for w in set(chain.from_iterable(words.values()))]
-    return cut, words, sorted((xxhash.xxh3_64_intdigest(w) % buckets, w) for w in raw)
+    return pa.array([unpack.decompress(t.as_py()) for t in table["text"]], pa.large_binary()).cast(pa.large_string())
 
 
 def _pack(words: list[bytes]) -> bytes:
@@ -175,52 +224,62 @@ def _unpack(blob: bytes) -> list[bytes]:
 
 def _ask(pattern: str, buckets: int):
     def run(keys: tuple, table: pa.Table) -> pa.Table:
-        by: dict[int, list[bytes]] = {}
-        for b, w in _chunk_words(_texts(table), pattern, buckets)[2]:
-            by.setdefault(b, []).append(w)
-        return pa.table({"chunk": pa.array([keys[0].as_py()] * len(by), pa.int64()), "bucket": pa.array(list(by), pa.int64()),
-                         "words": pa.array([_pack(w) for w in by.values()], pa.binary())})
+        raw, order, bucket = ChunkWords(_texts(table), pattern).by_bucket(buckets)
+        names, starts = np.unique(bucket, return_index=True)
+        packed = [_pack([raw[i] for i in own.tolist()]) for own in np.split(order, starts[1:])] if len(order) else []
+        return pa.table({"chunk": pa.array([keys[0].as_py()] * len(packed), pa.int64()), "bucket": pa.array(names.astype(np.int64)), "words": pa.array(packed, pa.binary())})
     return run
 
 
+def _lists(values: np.ndarray, offsets: np.ndarray, missing: np.ndarray | None = None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=None if missing is None else np.append(missing, False)), pa.array(values, pa.int32()))
+
+
 def _distinct(ranks: dict[bytes, int]):
-    single = [ranks[bytes([b])] for b in range(256)]
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def run(keys: tuple, table: pa.Table) -> pa.Table:
-        words = sorted(set(chain.from_iterable(_unpack(b.as_py()) for b in table["words"])))
+        words = sorted(set().union(*(_unpack(b.as_py()) for b in table["words"])))
         known = [[ranks[w]] if w in ranks else merged(w, ranks) if len(w) > FOLD_BYTES else None for w in words]
-        symbols = [[single[b] for b in w] if k is None else None for w, k in zip(words, known)]
-        return pa.table({"bucket": pa.array([keys[0].as_py()] * len(words), pa.int64()), "word": pa.array(words, pa.binary()),
-                         "symbols": pa.array(symbols, pa.list_(pa.int32())), "known": pa.array(known, pa.list_(pa.int32()))})
+        done = np.array([k is not None for k in known])
+        offsets = np.concatenate([[0], np.cumsum(np.where(done, 0, np.fromiter(map(len, words), np.int64, len(words))))])
+        symbols = single[np.frombuffer(b"".join(w for w, k in zip(words, known) if k is None), np.uint8)]
+        return pa.table({"bucket": pa.array(np.full(len(words), keys[0].as_py()), pa.int64()), "word": pa.array(words, pa.binary()),
+                         "symbols": _lists(symbols, offsets, done), "known": pa.array(known, pa.list_(pa.int32()))})
     return run
 
 
 def _answer(keys: tuple, asked: pa.Table, found: pa.Table) -> pa.Table:
-    ids = {w: np.array(i, np.int32) for w, i in zip(found["word"].to_pylist(), found["ids"].to_pylist())}
-    blobs = []
+    ids = found["ids"].combine_chunks()
+    values, offsets = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int64)
+    number, blobs = {w: i for i, w in enumerate(found["word"].to_numpy().tolist())}, []
     for blob in asked["words"]:
-        lists = [ids[w] for w in _unpack(blob.as_py())]
-        lengths = np.fromiter(map(len, lists), np.uint32, len(lists))
-        blobs.append(zstandard.compress(np.uint32(len(lists)).tobytes() + lengths.tobytes() + np.concatenate(lists).tobytes(), 3))
+        pick = np.array([number[w] for w in _unpack(blob.as_py())], np.int64)
+        flat, ends = _ragged(values, offsets, pick)
+        blobs.append(zstandard.compress(np.uint32(len(pick)).tobytes() + np.diff(ends).astype(np.uint32).tobytes() + flat.astype(np.int32).tobytes(), 3))
     return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "ids": pa.array(blobs, pa.binary())})
 
 
 def _assemble(pattern: str, buckets: int):
     def run(keys: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        cut, words, order = _chunk_words(_texts(table), pattern, buckets)
-        blobs, ids, at = dict(zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist())), {}, 0
-        for bucket in sorted(blobs):
-            data = zstandard.decompress(blobs[bucket])
+        chunk = ChunkWords(_texts(table), pattern)
+        _, order, _ = chunk.by_bucket(buckets)
+        lengths, values = [], []
+        for _, blob in sorted(zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist())):
+            data = zstandard.decompress(blob)
             n = int(np.frombuffer(data[:4], np.uint32)[0])
-            ends = np.cumsum(np.frombuffer(data[4:4 + 4 * n], np.uint32), dtype=np.int64)
-            values = np.frombuffer(data[4 + 4 * n:], np.int32).tolist()
-            for (_, w), a, b in zip(order[at:at + n], [0, *ends[:-1].tolist()], ends.tolist()):
-                ids[w.decode()] = values[a:b]
-            at += n
-        by_span = {s: list(chain.from_iterable(map(ids.__getitem__, ws))) for s, ws in words.items()}
-        rows = [np.fromiter(chain.from_iterable(map(by_span.__getitem__, c)), np.int32) for c in cut]
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32())
-        return pa.table({"id": table["id"], "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))})
+            lengths.append(np.frombuffer(data[4:4 + 4 * n], np.uint32))
+            values.append(np.frombuffer(data[4 + 4 * n:], np.int32))
+        if not lengths:
+            return pa.table({"id": table["id"], "ids": pa.array([[]] * len(table), pa.list_(pa.int32()))})
+        # the answers come in the order of the question: back to the numbers of the words, then spans, then texts
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids, at = _ragged(np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)]), place)
+        per_span, ends = _ragged(ids, at, chunk.parts)
+        span_at = ends[chunk.offsets]
+        rows = [_ragged(per_span, span_at, own)[0] for own in chunk.texts]
+        return pa.table({"id": table["id"], "ids": _lists(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))})
     return run
 
 
@@ -249,4 +308,5 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     for token, r in ranks.items():
         pieces[r] = token.hex()
     literal = F.split(F.lit(",".join(pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
+    # a missing piece leaves a character that is no hexadecimal digit
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), "", "?"))
