@@ -93,3 +93,27 @@ def test_scan_reads_only_needed_columns(spark):
     from tests.conftest import SF
     text = plan(W.rolling_count(transaction_view(spark, SF), "AccountId").select("TRANSACTION_ID", "AccountId_Count_7d"))
     assert "value" not in re.search(r"ReadSchema: (\S+)", text).group(1)
+
+
+@pytest.mark.parametrize("lag", [0, DAY_US])
+def test_hot_route_keeps_small_huge_null_and_nan_amounts(spark, lag):
+    """The sliced route gives the native numbers for any double, whatever its decimals or size."""
+    import math
+    import random
+    from datetime import datetime, timedelta
+    rng = random.Random(lag)
+    kinds = {"small": lambda: rng.random() * 1e-5, "huge": lambda: 3e15 + rng.random() * 1e13, "odd": lambda: rng.choice([None, float("nan"), 1.25, -7.123456789])}
+    data = [(i, name, datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(5 * 86400), microseconds=rng.randrange(10 ** 6)), make())
+            for name, make in kinds.items() for i in range(150)]
+    df = spark.createDataFrame(data, "TRANSACTION_ID long, AccountId string, TX_DATETIME timestamp, TX_AMOUNT double")
+    feats = [W.Rolling(f"{fn}_{w}", fn, w, None if fn == "count" else "TX_AMOUNT", lag) for fn in ("count", "sum", "avg", "std") for w in (DAY_US, 7_000_000_001, 3 * DAY_US)]
+    names = ["AccountId", "TRANSACTION_ID", *[f.name for f in feats]]
+    native = sorted(W.over_key(df, "AccountId", feats, hot_rows=10 ** 9).select(names).collect(), key=str)
+    sliced = sorted(W.over_key(df, "AccountId", feats, hot_rows=0).select(names).collect(), key=str)
+    by = {(r[0], r[1]): r for r in sliced}
+    for r in native:
+        for name, a, b in zip(names[2:], r[2:], by[r[0], r[1]][2:]):
+            if a is None or b is None:
+                assert a is None and b is None, (name, r)
+            else:
+                assert math.isnan(a) and math.isnan(b) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-20 if r[0] == "small" else 1e-9), (name, a, b)

@@ -149,38 +149,40 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     groups: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """Exact interpolated quantiles: one row per (group, column, q) with its ``value``.
 
-    The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here values are
-    counted first, the running count is built bucket by bucket, and only the two order statistics
-    around each rank are kept. Nulls are ignored. ``groups`` must have few distinct values.
+    The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here rows are counted per value bucket
+    first (combined map-side), which tells the buckets that hold the wanted ranks; only values of those buckets are
+    shuffled and ranked. Nulls are ignored. ``groups`` must have few distinct values.
     """
     groups = groups or []
+    by = [*groups, "column"]
     base = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in cols])
     tagged = _buckets(base, cols, n_buckets)
     long = tagged.select(*groups, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"__b_{c}").alias("b"), F.col(c).alias("v")) for c in cols
     ])).alias("x")).select(*groups, "x.*").where("v IS NOT NULL AND NOT isnan(v)")
-    by = [*groups, "column"]
-    counted = long.groupBy(*by, "b", "v").agg(F.count("*").alias("n"))
-    totals = counted.groupBy(*by, "b").agg(F.sum("n").alias("t"))
-    w = W.partitionBy(*by).orderBy("b")
-    offsets = totals.select(
-        *by, "b",
-        F.coalesce(F.sum("t").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off"),
-        F.sum("t").over(W.partitionBy(*by)).alias("total"))
-    inside = W.partitionBy(*by, "b").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = attach(counted, offsets, [*by, "b"]).withColumn("hi", F.col("off") + F.sum("n").over(inside))
-    ranked = ranked.withColumn("lo", F.col("hi") - F.col("n"))
-    want = ranked.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+    w = W.partitionBy(*by)
+    counts = long.groupBy(*by, "b").agg(F.count("*").alias("n")).select(
+        *by, "b", (F.sum("n").over(w.orderBy("b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("off"), "n", F.sum("n").over(w).alias("total"))
+    wanted = counts.select(*by, "b", "off", "n", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
     rank = F.col("q") * (F.col("total") - 1)
-    # value covers 0-based ranks lo .. hi-1
-    covers = lambda r: (F.col("lo") <= r) & (r < F.col("hi"))
+    # 0-based ranks off .. off + n - 1 lie in the bucket
+    holds = lambda r: (F.col("off") <= r) & (r < F.col("off") + F.col("n"))
     low, high = F.floor(rank), F.ceil(rank)
-    return (want.where(covers(low) | covers(high))
-            .groupBy(*by, "q")
-            .agg(F.max(F.when(covers(low), F.col("v"))).alias("a"),
-                 F.max(F.when(covers(high), F.col("v"))).alias("b"),
-                 F.max(rank - low).alias("f"))
-            .select(*by, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("value")))
+    wanted = wanted.select(*by, "b", "off", "q", *[F.when(holds(r), r - F.col("off")).alias(n) for n, r in (("low", low), ("high", high))],
+                           (rank - low).alias("f")).where("low IS NOT NULL OR high IS NOT NULL")
+    # at most two buckets per quantile, column and group
+    edge = F.broadcast(wanted.select(*by, "b").distinct())
+    named = edge.select(*[F.col(c).alias(f"__e_{c}") for c in (*by, "b")])
+    match = reduce(lambda x, y: x & y, [long[c].eqNullSafe(named[f"__e_{c}"]) for c in (*by, "b")])
+    counted = long.join(named, match, "left_semi").groupBy(*by, "b", "v").agg(F.count("*").alias("n"))
+    until = F.sum("n").over(W.partitionBy(*by, "b").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counted.select(*by, "b", "v", "n", until.alias("until"))
+    keys = wanted.select(*[F.col(c).alias(f"__e_{c}") for c in (*by, "b")], "q", "low", "high", "f")
+    match = reduce(lambda x, y: x & y, [ranked[c].eqNullSafe(keys[f"__e_{c}"]) for c in (*by, "b")])
+    at = lambda r: (F.col("until") - F.col("n") <= F.col(r)) & (F.col(r) < F.col("until"))
+    return (ranked.join(F.broadcast(keys), match).groupBy(*by, "q")
+            .agg(F.max(F.when(at("low"), F.col("v"))).alias("a"), F.max(F.when(at("high"), F.col("v"))).alias("z"), F.max("f").alias("f"))
+            .select(*by, "q", (F.col("a") + (F.col("z") - F.col("a")) * F.col("f")).alias("value")))
 
 
 def exact_quantile_row(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float]]:
@@ -206,6 +208,22 @@ def row_positions(df: DataFrame, ts_us: str, tie: str, name: str = "pos", n_buck
             .drop("__v", "__b___v", "__off"))
 
 
+def time_offsets(df: DataFrame, us: str, value: str, groups: list[str] | None = None) -> DataFrame:
+    """(groups, __day, __minute, __off): what ``value`` sums to before each minute that has rows.
+
+    Days and the minutes inside a day are summed apart, so that no window holds more than the days of the period or 1,440 minutes.
+    """
+    groups = groups or []
+    day, minute = (F.floor(F.col(us) / n) for n in (86_400_000_000, 60_000_000))
+    minutes = df.groupBy(*groups, day.alias("__day"), minute.alias("__minute")).agg(F.sum(value).alias("__n"))
+    inside = W.partitionBy(*groups, "__day").orderBy("__minute").rowsBetween(W.unboundedPreceding, -1)
+    days = minutes.groupBy(*groups, "__day").agg(F.sum("__n").alias("__n"))
+    before = W.partitionBy(*groups).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.select(*groups, "__day", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    minutes = minutes.select(*groups, "__day", "__minute", F.coalesce(F.sum("__n").over(inside), F.lit(0)).alias("__inside"))
+    return attach(minutes, days, [*groups, "__day"]).select(*groups, "__minute", (F.col("__before") + F.col("__inside")).alias("__off"))
+
+
 def num_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

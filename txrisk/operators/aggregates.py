@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from txrisk.functions.scale import attach, exact_quantiles
 from txrisk.operators.windows import KeyStat, category_values, guarded_std, ratio
-from txrisk.schema import DEFAULT, HOUR_US, MINUTE_US, Columns, micros
+from txrisk.schema import DAY_US, DEFAULT, HOUR_US, MINUTE_US, Columns, micros
 
 
 # ------------------------------------------------------------------ per-entity statistics
@@ -73,15 +73,18 @@ def batch_table(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     """(batch, TxnPerBatch, TimeBetweenBatches): minutes since the start of the batch that began before it.
 
     Batches are ordered by start time and id. The order is global, so the previous batch is looked up
-    inside the hour and, for the first batch of an hour, carried from the last earlier hour.
+    inside the minute and, for the first batch of a minute, carried from the last earlier minute or day.
     """
     b = df.groupBy(cols.batch).agg(F.count("*").alias("TxnPerBatch"), F.min(micros(cols.ts)).alias("__start"))
-    b = b.withColumn("__h", F.floor(F.col("__start") / HOUR_US))
-    hours = b.groupBy("__h").agg(F.max("__start").alias("__last"))
-    before = hours.select("__h", F.lag("__last").over(W.orderBy("__h")).alias("__carry"))   # one row per hour
-    inside = W.partitionBy("__h").orderBy("__start", cols.batch)
+    b = b.withColumns({"__day": F.floor(F.col("__start") / DAY_US), "__m": F.floor(F.col("__start") / MINUTE_US)})
+    minutes = b.groupBy("__day", "__m").agg(F.max("__start").alias("__last"))
+    days = minutes.groupBy("__day").agg(F.max("__last").alias("__last"))
+    days = days.select("__day", F.lag("__last").over(W.orderBy("__day")).alias("__carry_day"))   # one row per day
+    minutes = minutes.select("__day", "__m", F.lag("__last").over(W.partitionBy("__day").orderBy("__m")).alias("__carry_minute"))
+    before = attach(minutes, days, "__day").select("__m", F.coalesce("__carry_minute", "__carry_day").alias("__carry"))
+    inside = W.partitionBy("__m").orderBy("__start", cols.batch)
     prev = F.coalesce(F.lag("__start").over(inside), F.col("__carry"))
-    return attach(b, before, "__h").select(
+    return attach(b, before, "__m").select(
         cols.batch, "TxnPerBatch",
         F.coalesce((F.col("__start") - prev) / MINUTE_US, F.lit(0.0)).alias("TimeBetweenBatches"))
 

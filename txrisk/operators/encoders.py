@@ -11,9 +11,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from txrisk.functions.scale import attach, exact_quantile_row, hash_unit
+from txrisk.functions.scale import attach, exact_quantile_row, hash_unit, time_offsets
 from txrisk.operators.windows import Running, category_values, over_key
-from txrisk.schema import DEFAULT, HOUR_US, Columns, micros
+from txrisk.schema import DEFAULT, MINUTE_US, Columns, micros
 
 
 def category_table(df: DataFrame, names: list[str], label: str | None = None, order: list[Column] | None = None) -> DataFrame:
@@ -71,15 +71,12 @@ def count_encoder(df: DataFrame, names: list[str], suffix: str = "_count") -> Ta
 def ordinal_table(df: DataFrame, names: list[str], cols: Columns = DEFAULT) -> DataFrame:
     """(column, category, ordinal): 1-based rank of first appearance in (time, id) order.
 
-    A column may have very many categories, so they are ranked hour by hour of their first appearance.
+    A column may have very many categories, so they are ranked minute by minute of their first appearance.
     """
     t = category_table(df, names, order=[micros(cols.ts).alias("us"), F.col(cols.id).alias("id")])
-    t = t.withColumn("__h", F.floor(F.col("first.us") / HOUR_US))
-    hours = t.groupBy("column", "__h").agg(F.count("*").alias("__n"))
-    before = W.partitionBy("column").orderBy("__h").rowsBetween(W.unboundedPreceding, -1)   # hours of the period
-    hours = hours.select("column", "__h", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    inside = W.partitionBy("column", "__h").orderBy("first")
-    return attach(t, hours, ["column", "__h"]).select(
+    t = t.withColumns({"__us": F.col("first.us"), "__one": F.lit(1).cast("long"), "__minute": F.floor(F.col("first.us") / MINUTE_US)})
+    inside = W.partitionBy("column", "__minute").orderBy("first")
+    return attach(t, time_offsets(t, "__us", "__one", ["column"]), ["column", "__minute"]).select(
         "column", "category", (F.col("__off") + F.row_number().over(inside)).cast("int").alias("ordinal"))
 
 

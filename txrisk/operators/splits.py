@@ -221,18 +221,21 @@ def _hash_smallest(df: DataFrame, strata: list[str], wanted, seed: int, cols: Co
     u = u.withColumn("__s", F.floor(F.col("__u") * n_slices / 4294967296))
     per = u.groupBy(*strata, "__s").agg(F.count("*").alias("__c"))
     w = W.partitionBy(*strata).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
-    per = per.select(*strata, "__s", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
-    out = attach(attach(u, per, [*strata, "__s"]), sizes, strata)
+    per = per.select(*strata, "__s", "__c", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
+    out = attach(u, attach(per, sizes, strata).select(*strata, "__s", "__off", "__c", wanted(F.col("__n")).alias("__want")), [*strata, "__s"])
+    # whole slices below the cut are taken as they are; only rows of the slice that holds it are ranked
+    sure = out.where(F.col("__off") + F.col("__c") <= F.col("__want"))
+    edge = out.where((F.col("__off") < F.col("__want")) & (F.col("__off") + F.col("__c") > F.col("__want")))
     rank = F.col("__off") + F.row_number().over(W.partitionBy(*strata, "__s").orderBy("__u", cols.id))
-    return (out.withColumn("__rank", rank).where(F.col("__rank") <= wanted(F.col("__n")))
-            .select(*df.columns))
+    edge = edge.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__want"))
+    return sure.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def stratified_kfold(df: DataFrame, n: int = 5, seed: int = 0, cols: Columns = DEFAULT) -> DataFrame:
     """Balanced folds per class: rows are dealt to folds in hash order."""
     strata = [cols.label]
     u = df.withColumn("__u", hash_u32(cols.id, seed))
-    n_slices = 256
+    n_slices = max(256, df.count() // 100_000)   # the size of a ranked group stays the same
     u = u.withColumn("__s", F.floor(F.col("__u") * n_slices / 4294967296))
     per = u.groupBy(*strata, "__s").agg(F.count("*").alias("__c"))
     w = W.partitionBy(*strata).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)

@@ -5,9 +5,8 @@ key costs one shuffle. Ordinary keys use native window frames. A native group of
 large share of the table would be one task, so hot keys take a sliced route with equal results:
 
 * previous row, running sum: time slices with a carry from the earlier slices of the key;
-* rolling sums: each row enters the ledger at ``t`` and leaves it at ``t + width``; a rolling value is the
-  running sum of entries minus exits, again with a carry per slice. Sums are fixed-point decimals, so the
-  subtraction is exact, and the cost does not grow with the frame length;
+* rolling aggregates: a frame is the end of one time slice, whole slices, and the begin of another; partial sums of these
+  three parts are added in double precision, so nothing cancels and the cost does not grow with the frame length;
 * row frames: blocks of consecutive row numbers, each with a short overlap.
 """
 
@@ -18,10 +17,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from txrisk.functions.scale import attach, heavy_keys, split_hot
+from txrisk.functions.scale import attach, heavy_keys, split_hot, time_offsets
 from txrisk.schema import DAY_US, DEFAULT, HOUR_US, MINUTE_US, Columns, micros
 
-SCALE = 4          # decimals kept by the exact sums of the sliced route
+FRAME_SLICES = 16  # time slices per frame of the sliced route
 SLICE_US = HOUR_US  # slice length of hot keys
 BLOCK_ROWS = 8192  # rows per block of the row-frame route
 
@@ -122,7 +121,7 @@ def _sliced(df: DataFrame, key: str, features: list, cols: Columns) -> DataFrame
     if ordered:
         df = _carry_over_slices(df, key, ordered, cols)
     if rolling:
-        df = _ledger(df, key, rolling)
+        df = _frames(df, key, rolling)
     if rows:
         df = _row_blocks(df, key, rows)
     return df
@@ -155,63 +154,66 @@ def _carry_over_slices(df: DataFrame, key: str, features: list, cols: Columns) -
     return out.select(*keep, *exprs)
 
 
-def _ledger(df: DataFrame, key: str, features: list[Rolling]) -> DataFrame:
-    """Rolling aggregates as running entries minus running exits (see the module text)."""
-    offsets = sorted({0} | {f.lag_us for f in features} | {f.lag_us + f.width_us for f in features})
-    values = sorted({f.col for f in features if f.col})
-    squares = sorted({f.col for f in features if f.fn == "std"})
-    fixed = lambda c: F.round(F.col(c) * 10 ** SCALE).cast("decimal(38,0)")
-    df = df.select(F.struct(*df.columns).alias("__row"), key, "__us",
-                   *[fixed(c).alias(f"__v_{c}") for c in values])
-    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("tag"), F.lit(o).alias("off"))
-                                for i, o in enumerate(offsets)])).alias("__e")
-    led = df.select("*", entry).select(
-        key, F.col("__e.tag").alias("__tag"), (F.col("__us") + F.col("__e.off")).alias("__t"),
-        F.when(F.col("__e.tag") == 0, F.col("__row")).alias("__row"), *[f"__v_{c}" for c in values])
-    led = led.withColumn("__s", F.floor(F.col("__t") / SLICE_US))
-
-    # measure name -> per-record value; one column per (measure, tag)
-    measures: dict[str, Column] = {"n": F.lit(1).cast("long")}
-    measures |= {f"v_{c}": F.col(f"__v_{c}") for c in values}
-    measures |= {f"q_{c}": (F.col(f"__v_{c}") * F.col(f"__v_{c}")).cast("decimal(38,0)") for c in squares}
-    measures |= {f"k_{c}": F.col(f"__v_{c}").isNotNull().cast("long") for c in values}
-    cells = [(m, i, F.when(F.col("__tag") == i, e)) for m, e in measures.items() for i in range(len(offsets))]
-    led = led.select(key, "__s", "__t", "__row", *[e.alias(f"__c_{m}_{i}") for m, i, e in cells])
-    names = [f"__c_{m}_{i}" for m, i, _ in cells]
-    summary = led.groupBy(key, "__s").agg(*[F.sum(c).alias(c) for c in names])
-    w = W.partitionBy(key).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
-    carry = summary.select(key, "__s", *[F.sum(c).over(w).alias(f"{c}__p") for c in names])
-    inside = W.partitionBy(key, "__s").orderBy("__t").rangeBetween(W.unboundedPreceding, 0)
-    led = attach(led, carry, [key, "__s"])
-    led = led.select("__row", *[
-        (F.coalesce(F.col(f"{c}__p"), F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(c)
-        for c in names]).where("__row IS NOT NULL")
-
-    tag = {o: i for i, o in enumerate(offsets)}
-
-    def total(m: str, f: Rolling) -> Column:
-        return F.col(f"__c_{m}_{tag[f.lag_us]}") - F.col(f"__c_{m}_{tag[f.lag_us + f.width_us]}")
+def _time_slice(t: Column, size: int) -> Column:
+    return ((t - F.pmod(t, F.lit(size))) / size).cast("long")
 
+
+def _frames(df: DataFrame, key: str, features: list[Rolling]) -> DataFrame:
+    """Rolling aggregates from partial sums of time slices (see the module text)."""
+    spread = sorted({f.col for f in features if f.fn == "std"})
+    if spread:
+        # squares are taken around the key's mean, so that they do not cancel
+        clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        df = attach(df, df.groupBy(key).agg(*[F.coalesce(F.avg(clean(c)), F.lit(0.0)).alias(f"__centre_{c}") for c in spread]), key)
+    for width, lag in sorted({(f.width_us, f.lag_us) for f in features}):
+        df = _frame(df, key, width, lag, [f for f in features if (f.width_us, f.lag_us) == (width, lag)])
+    return df.drop(*[f"__centre_{c}" for c in spread])
+
+
+def _frame(df: DataFrame, key: str, width: int, lag: int, features: list[Rolling]) -> DataFrame:
+    """One frame ``(x, y]``: the end of x's slice, whole slices between, the begin of y's slice. Nothing is subtracted."""
+    parts = FRAME_SLICES if width % FRAME_SLICES == 0 else 1
+    size = width // parts
+    number = lambda c: F.col(c).cast("double")
+    measures: dict[str, Column] = {"__n": F.lit(1).cast("long")}
+    for f in features:
+        if f.col:
+            measures |= {f"__k_{f.col}": F.col(f.col).isNotNull().cast("long"), f"__v_{f.col}": number(f.col)}
+        if f.fn == "std":
+            away = number(f.col) - F.col(f"__centre_{f.col}")
+            measures |= {f"__e_{f.col}": away, f"__q_{f.col}": away * away, f"__lo_{f.col}": number(f.col), f"__hi_{f.col}": number(f.col)}
+    # how partial values of a measure are made and put together
+    kind = lambda m: (F.min, F.least) if m.startswith("__lo_") else (F.max, F.greatest) if m.startswith("__hi_") else (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    y = F.col("__us") - lag
+    values = df.select(key, _time_slice(F.col("__us"), size).alias("__s"), F.col("__us").alias("__t"), *[e.alias(m) for m, e in measures.items()])
+    rows = df.select(key, _time_slice(y, size).alias("__s"), y.alias("__t"), F.struct(*df.columns).alias("__row"))
+    begin = values.unionByName(rows, allowMissingColumns=True)
+    inside = W.partitionBy(key, "__s").orderBy("__t")
+    began = begin.select(key, "__s", "__row", *[kind(m)[0](m).over(inside.rangeBetween(W.unboundedPreceding, 0)).alias(f"{m}_y") for m in measures]).where("__row IS NOT NULL")
+    if parts > 1:
+        between = W.partitionBy(key).orderBy("__s").rangeBetween(-(parts - 1), -1)   # one row per (hot key, slice)
+        slices = begin.groupBy(key, "__s").agg(*[kind(m)[0](m).alias(m) for m in measures])
+        began = attach(began, slices.select(key, "__s", *[kind(m)[0](m).over(between).alias(f"{m}_w") for m in measures]), [key, "__s"])
+    known = [(kind(m)[1](F.col(f"{m}_y"), F.col(f"{m}_w")) if parts > 1 else F.col(f"{m}_y")).alias(f"{m}_known") for m in measures]
+    x = F.col("__row.__us") - lag - width
+    # what comes after x, as a growing frame in falling time
+    after = W.partitionBy(key, "__s").orderBy(-F.col("__t")).rangeBetween(W.unboundedPreceding, -1)
+    ended = values.unionByName(began.select(key, _time_slice(x, size).alias("__s"), x.alias("__t"), "__row", *known), allowMissingColumns=True)
+    ended = ended.select("__row", *[kind(m)[1](F.col(f"{m}_known"), kind(m)[0](m).over(after)).alias(m) for m in measures])
     exprs = []
     for f in features:
         if f.fn == "count":
-            e = total("n", f)
+            e = F.col("__n")
         else:
-            k, s = total(f"k_{f.col}", f), total(f"v_{f.col}", f)
-            total_value = s.cast("double") / 10 ** SCALE
-            if f.fn == "sum":
-                e = F.when(k > 0, total_value)
-            elif f.fn == "avg":
-                e = F.when(k > 0, total_value / k)
+            k, v = F.col(f"__k_{f.col}"), F.col(f"__v_{f.col}")
+            if f.fn == "std":
+                lo, hi, e, q = (F.col(f"{m}{f.col}") for m in ("__lo_", "__hi_", "__e_", "__q_"))
+                spread = F.sqrt(F.greatest(q - e * e / k, F.lit(0.0)) / (k - 1))
+                e = F.when(k > 1, F.when((lo == hi) & ~F.isnan(hi), F.lit(0.0)).otherwise(spread))
             else:
-                # exact numerator n*sum(q^2) - sum(q)^2; doubles only where 38 digits do not suffice
-                q = total(f"q_{f.col}", f)
-                kd, qd, sd = (x.cast("decimal(38,0)") for x in (k, q, s))
-                exact = F.try_subtract(F.try_multiply(kd, qd), F.try_multiply(sd, sd)).cast("double")
-                loose = F.greatest(k * q.cast("double") - s.cast("double") * s.cast("double"), F.lit(0.0))
-                e = F.when(k > 1, F.sqrt(F.coalesce(exact, loose) / (k * (k - 1))) / 10 ** SCALE)
+                e = F.when(k > 0, v if f.fn == "sum" else v / k)
         exprs.append(e.alias(f.name))
-    return led.select("__row.*", *exprs)
+    return ended.where("__row IS NOT NULL").select("__row.*", *exprs)
 
 
 def _row_blocks(df: DataFrame, key: str, features: list[LastRows]) -> DataFrame:
@@ -390,14 +392,11 @@ def rolling_category_stats(df: DataFrame, key: str, category: str,
 def fraud_cumsum(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     """Running number of frauds over the whole table in (time, id) order.
 
-    Day totals are prefix-summed (one row per day); the rest runs inside hours.
+    Totals of days and minutes are prefix-summed; the rest runs inside minutes.
     """
-    d = df.withColumn("__us", micros(cols.ts)).withColumn("__h", F.floor(F.col("__us") / HOUR_US))
-    totals = d.groupBy("__h").agg(F.sum(cols.label).alias("__n"))
-    w = W.orderBy("__h").rowsBetween(W.unboundedPreceding, -1)   # hours of the period, not rows
-    offsets = totals.select("__h", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    inside = W.partitionBy("__h").orderBy("__us", cols.id).rowsBetween(W.unboundedPreceding, 0)
-    return attach(d, offsets, "__h").select(
+    d = df.withColumn("__us", micros(cols.ts)).withColumn("__minute", F.floor(F.col("__us") / MINUTE_US))
+    inside = W.partitionBy("__minute").orderBy("__us", cols.id).rowsBetween(W.unboundedPreceding, 0)
+    return attach(d, time_offsets(d, "__us", cols.label), "__minute").select(
         *df.columns, (F.col("__off") + F.sum(cols.label).over(inside)).alias("CumFrauds"))
 
 
