@@ -47,7 +47,9 @@ query("target_encoder", _lookup_sql(
 query("woe_encoder", _lookup_sql(
     "ln(((sum(TX_FRAUD)+1)/(any_value(P)+2)) / ((sum(1-TX_FRAUD)+1)/(any_value(N)-any_value(P)+2)))", "_woe", "0", PRIOR))(
     lambda spark, d: (lambda tr, x: encoded(E.woe_encoder(tr, CATS).transform(x), [f"{c}_woe" for c in CATS]))(*split(spark, d)))
-query("woe_encoder_noise")(lambda spark, d: (lambda tr, x: encoded(E.add_train_noise(
+_noise = f"sqrt(-2 * ln(greatest({unit('TRANSACTION_ID', '0ProductId_woea')}, 1e-12))) * cos({unit('TRANSACTION_ID', '0ProductId_woeb')} * 6.283185307179586)"
+query("woe_encoder_noise", f"""WITH {TRAIN}{PRIOR}, t AS (SELECT ProductId AS k, ln(((sum(TX_FRAUD)+1)/(any_value(P)+2)) / ((sum(1-TX_FRAUD)+1)/(any_value(N)-any_value(P)+2))) AS v FROM tr, pr GROUP BY 1)
+ SELECT TRANSACTION_ID, {s6(f'v * (1 + 0.05 * {_noise})')} AS ProductId_woe FROM tr JOIN t ON k = ProductId""")(lambda spark, d: (lambda tr, x: encoded(E.add_train_noise(
     E.woe_encoder(tr, ["ProductId"]).transform(tr), ["ProductId_woe"]), ["ProductId_woe"]))(*split(spark, d)))
 query("ordered_encoder_scoring", _lookup_sql("(sum(TX_FRAUD) + any_value(pm)) / (count(*) + 1)", "_ordered", _pm, PRIOR))(
     lambda spark, d: (lambda tr, x: encoded(E.ordered_target_encoder(tr, CATS).transform(x), [f"{c}_ordered" for c in CATS]))(*split(spark, d)))
@@ -244,7 +246,10 @@ query("knn_distance", f"WITH {KNN} SELECT id AS c_custkey, {s6('max(dist)')} AS
     lambda spark, d: rounded(O.knn_distance(_cust(spark, d), ["c_acctbal", "nation"], 5, cols=CUST)))
 query("knn_distance_partitioned", f"WITH {KNN} SELECT id AS c_custkey, {s6('avg(dist)')} AS knn FROM nn WHERE r <= 5 GROUP BY 1")(
     lambda spark, d: rounded(O.knn_distance(_cust(spark, d), ["c_acctbal", "nation"], 5, "mean", cols=CUST, max_broadcast=100)))
-query("abod")(lambda spark, d: O.abod(_cust(spark, d), ["c_acctbal", "nation"], 6, CUST).select("c_custkey", F.signum("abod").alias("sign")))
+query("abod", f"""WITH {KNN.replace('b.id) AS r', 'b.id) AS r, b.x - a.x AS dx, b.y - a.y AS dy')}, k AS (SELECT *, dx * dx + dy * dy AS sq FROM nn WHERE r <= 6),
+ v AS (SELECT a.id, var_pop((a.dx * b.dx + a.dy * b.dy) / (a.sq * b.sq)) AS v FROM k a JOIN k b ON a.id = b.id AND a.r < b.r AND a.sq > 0 AND b.sq > 0 GROUP BY 1)
+ SELECT c_custkey, {s6('ln(1e-30 + coalesce(v, 0))')} AS log_abod FROM customer LEFT JOIN v ON id = c_custkey""")(
+    lambda spark, d: rounded(O.abod(_cust(spark, d), ["c_acctbal", "nation"], 6, CUST).select("c_custkey", F.log(1e-30 - F.col("abod")).alias("log_abod"))))
 query("contamination_flag", f"WITH {TX} SELECT TRANSACTION_ID, CAST(Value > (SELECT quantile_cont(Value, 0.95) FROM tx) AS INT) AS Value_outlier FROM tx")(
     lambda spark, d: O.contamination_flag(tx(spark, d), "Value", 0.05).select(ID, "Value_outlier"))
 query("score_union")(lambda spark, d: rounded(O.add_scores(cal(spark, d), OUT, list(O.DETECTORS), {"loda": {"n_projections": 10}, "iforest": {"n_trees": 20}}).select(ID, *O.DETECTORS)))
@@ -425,10 +430,9 @@ def _drain(spark, result):
     return spark.read.schema(result.schema).parquet(f"{root}/out")
 
 
-@query("streaming_velocity", f"""WITH {TX}, w AS (SELECT AccountId, TX_AMOUNT, us // {DAY_US} - unnest([0, 1, 2, 3, 4, 5, 6]) AS d FROM tx),
- mx AS (SELECT max(us) - 3600000000 AS wm FROM tx)
+@query("streaming_velocity", f"""WITH {TX}, w AS (SELECT AccountId, TX_AMOUNT, us // {DAY_US} - unnest([0, 1, 2, 3, 4, 5, 6]) AS d FROM tx)
  SELECT AccountId, d * {DAY_US} AS start_us, (d + 7) * {DAY_US} AS end_us, count(*) AS n_tx, {s6('sum(TX_AMOUNT)')} AS amount, {s6('avg(TX_AMOUNT)')} AS mean_amount
- FROM w, mx WHERE (d + 7) * {DAY_US} <= wm GROUP BY 1, 2, 3""")
+ FROM w GROUP BY 1, 2, 3""")
 def _(spark, d):
     from txrisk.streaming.velocity import streaming_velocity
     tx(spark, d)
@@ -436,9 +440,9 @@ def _(spark, d):
 
 
 @query("streaming_sessions", f"""WITH {TX}, g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY AccountId ORDER BY us), 99999999999999) > 43200000000 AS st FROM tx),
- s AS (SELECT *, sum(CAST(st AS INT)) OVER (PARTITION BY AccountId ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM g), mx AS (SELECT max(us) - 3600000000 AS wm FROM tx)
+ s AS (SELECT *, sum(CAST(st AS INT)) OVER (PARTITION BY AccountId ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM g)
  SELECT AccountId, min(us) AS start_us, count(*) AS n_tx, {s6('sum(TX_AMOUNT)')} AS amount, {s6('sum(Value)')} AS value, {s6('(max(us) - min(us)) / 60000000.0')} AS minutes
- FROM s GROUP BY AccountId, sid HAVING max(us) + 43200000000 <= (SELECT wm FROM mx)""")
+ FROM s GROUP BY AccountId, sid""")
 def _(spark, d):
     from txrisk.streaming.velocity import streaming_sessions
     tx(spark, d)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import SCORED, TX, query, rounded, s6, scored, table, tx, txd, u32, unit
 from txrisk.operators import aggregates as A, metrics as V, splits as X
+from txrisk.functions.scale import shared_folder
 from txrisk.sources import io
 from txrisk.schema import DAY_US
 
@@ -33,6 +36,21 @@ def _(spark, d):
                               "TX_FRAUD", "TX_TIME_DAYS"))
 
 
+@query("ordered_output", f"WITH {TX} SELECT TRANSACTION_ID, row_number() OVER (ORDER BY us, TRANSACTION_ID) - 1 AS pos FROM tx")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex}"
+    io.write_ordered(tx(spark, d).select(ID, "TX_DATETIME"), path, ["TX_DATETIME", ID])
+    return io.read_ordered(spark, path).select(ID, "pos")
+
+
+@query("read_daily_folders", f"""WITH {TX} SELECT TRANSACTION_ID, CAST(CAST(TX_DATETIME AS DATE) AS VARCHAR) AS day FROM tx
+ WHERE CAST(TX_DATETIME AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-11'""")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
+    io.write_daily(tx(spark, d).select(ID, "TX_DATETIME"), path)
+    return io.read_date_range(spark, path, "2024-01-05", "2024-01-11").select(ID, F.col("tx_date").cast("string").alias("day"))
+
+
 @query("read_date_range", f"""WITH {TX} SELECT TRANSACTION_ID, CASE WHEN TX_FRAUD = 0 THEN 0 ELSE 1 END AS flag FROM tx
  WHERE CAST(TX_DATETIME AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'""")
 def _(spark, d):

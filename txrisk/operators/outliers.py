@@ -229,31 +229,35 @@ def knn_distance(df: DataFrame, features: list[str], k: int = 5, method: str = "
     """(id, knn): distance to the k-th nearest row, or the mean or median over the k nearest."""
     pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
     ref = pts if refs is None else refs.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
-    nn = knn_join(pts, ref, k, "id", "id", exclude_self=refs is None, **search)
+    nn = knn_join(pts, ref, k, "id", "id", exclude_self=True, **search)
     fn = {"largest": F.max("distance"), "mean": F.avg("distance"), "median": F.median("distance")}[method]
     return nn.groupBy(F.col("qid").alias(cols.id)).agg(fn.alias("knn"))
 
 
-def abod(df: DataFrame, features: list[str], k: int = 10, cols: Columns = DEFAULT) -> DataFrame:
-    """(id, abod): minus the variance of the distance-weighted angles between pairs of the k nearest rows."""
+def abod(df: DataFrame, features: list[str], k: int = 10, cols: Columns = DEFAULT, refs: DataFrame | None = None) -> DataFrame:
+    """(id, abod): minus the variance of the distance-weighted angles between pairs of the k nearest other rows (of ``refs``)."""
     pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
-    nn = knn_join(pts, pts, k, "id", "id", exclude_self=True)
-    vecs = nn.join(pts.select(F.col("id").alias("neighbour"), F.col("vec").alias("nv")), "neighbour")
+    ref = pts if refs is None else refs.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
+    nn = knn_join(pts, ref, k, "id", "id", exclude_self=True)
+    vecs = nn.join(ref.select(F.col("id").alias("neighbour"), F.col("vec").alias("nv")), "neighbour")
     near = vecs.groupBy("qid").agg(F.collect_list("nv").alias("ns"))   # k vectors
 
     @F.pandas_udf("double")
     def angle_variance(v: pd.Series, ns: pd.Series) -> pd.Series:
-        out = []
-        for x, n in zip(v, ns):
-            d = np.stack([np.asarray(a, dtype=float) for a in n]) - np.asarray(x, dtype=float)
-            sq = (d * d).sum(axis=1)
-            d, sq = d[sq > 0], sq[sq > 0]
-            if len(d) < 2:
-                out.append(0.0)
+        out = pd.Series(0.0, index=v.index)
+        for n, own in v.groupby(ns.str.len()):     # one block of arrays per number of neighbours
+            if n < 2:
                 continue
-            i, j = np.triu_indices(len(d), 1)
-            out.append(-float(np.var((d[i] * d[j]).sum(axis=1) / (sq[i] * sq[j]))))
-        return pd.Series(out)
+            near = np.stack([np.stack(a) for a in ns[own.index]]).astype(float)
+            d = near - np.stack(own.to_numpy()).astype(float)[:, None, :]
+            sq = (d * d).sum(axis=2)
+            i, j = np.triu_indices(int(n), 1)
+            w = (sq[:, i] > 0) & (sq[:, j] > 0)    # copies of the row itself have no angle
+            angle = (d[:, i] * d[:, j]).sum(axis=2) / np.where(w, sq[:, i] * sq[:, j], 1.0)
+            pairs = np.maximum(w.sum(axis=1), 1)
+            mean = np.where(w, angle, 0.0).sum(axis=1) / pairs
+            out[own.index] = -np.where(w, (angle - mean[:, None]) ** 2, 0.0).sum(axis=1) / pairs
+        return out
 
     j = attach(pts, near.withColumnRenamed("qid", "id"), "id")
     return j.select(F.col("id").alias(cols.id), angle_variance("vec", "ns").alias("abod"))
@@ -370,10 +374,28 @@ def mcd(df: DataFrame, features: list[str], support: float | None = None, max_st
 DETECTORS = ("iforest", "hbos", "loda", "cblof", "mcd", "knn", "abod")
 
 
+@dataclass
+class NeighbourScores:
+    """k-nearest distance or angle score against the fitted rows; rows that were fitted are compared with the others."""
+
+    refs: DataFrame
+    features: list[str]
+    kind: str
+    params: dict[str, Any]
+    cols: Columns
+
+    def transform(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        score = knn_distance if self.kind == "knn" else abod
+        table = score(df, self.features, refs=self.refs, cols=self.cols, **self.params)
+        return attach(df, table.withColumnRenamed(self.kind, name or self.kind), self.cols.id)
+
+
 def fit_detector(df: DataFrame, features: list[str], name: str, cols: Columns = DEFAULT, **params):
-    """A fitted detector that scores any table; ``knn`` and ``abod`` have no such form."""
+    """A fitted detector that scores any table."""
     if name == "iforest":
         return isolation_forest(df, features, cols=cols, **params)
+    if name in ("knn", "abod"):
+        return NeighbourScores(df, features, name, params, cols)
     return {"hbos": hbos, "loda": loda, "cblof": cblof, "mcd": mcd}[name](df, features, **params)
 
 
@@ -401,6 +423,8 @@ _STATES = {c.__name__: c for c in (IsolationForest, HistogramScore, LodaModel, C
 
 def detector_state(model) -> dict:
     """Plain JSON values of a fitted detector."""
+    if isinstance(model, NeighbourScores):
+        raise ValueError("neighbour detectors hold their reference rows; fit them again instead of saving them")
     def plain(v):
         if isinstance(v, np.ndarray):
             return {"array": v.tolist()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from txrisk.functions.rows import day_offset
 from txrisk.schema import DEFAULT, RENAMES, Columns, raw_schema, use_utc
@@ -42,6 +42,20 @@ def write_daily(df: DataFrame, path: str, cols: Columns = DEFAULT) -> None:
     df.withColumn("tx_date", F.to_date(cols.ts)).write.mode("overwrite").partitionBy("tx_date").parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Files in global order of ``keys``: ranges are dealt to tasks and sorted there, nothing passes one task."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, name: str = "pos") -> DataFrame:
+    """An ordered table with the 0-based position of every row, from file names and row numbers inside files."""
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = df.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)   # one row per file
+    files = files.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return df.join(F.broadcast(files), "__file").withColumn(name, F.col("__off") + F.col("__row")).drop("__file", "__row", "__off")
+
+
 def read_date_range(spark: SparkSession, path: str, begin: str, end: str) -> DataFrame:
     """Days ``begin <= day <= end`` of a daily table; the missing marker -1 becomes 0."""
     df = spark.read.parquet(path)

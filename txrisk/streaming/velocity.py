@@ -30,8 +30,15 @@ def streaming_sessions(stream: DataFrame, key: str, gap: str = "30 minutes", del
     ).select(key, F.unix_micros("session_window.start").alias("start_us"), "n_tx", "amount", "value", "minutes")
 
 
-def run_available(result: DataFrame, path: str, checkpoint_dir: str) -> None:
-    """Process what is available now, append closed windows to parquet, and stop."""
-    q = (result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint_dir)
-         .outputMode("append").trigger(availableNow=True).start())
+def run_available(result: DataFrame, path: str, checkpoint_dir: str, closed_only: bool = False) -> None:
+    """Process what is available now, write parquet, and stop.
+
+    By default the output is what the batch form gives: windows still open at the end come out too, and no row counts as late. With ``closed_only`` windows are
+    appended once the watermark has passed them, as in a job that goes on.
+    """
+    writer = result.writeStream.option("checkpointLocation", checkpoint_dir).trigger(availableNow=True)
+    if closed_only:
+        q = writer.format("parquet").option("path", path).outputMode("append").start()
+    else:
+        q = writer.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
