@@ -37,34 +37,30 @@ class Cells:
         self.rows = sorted(rows)
         self.ends = list(accumulate(r[1] for r in self.rows))
 
-    def fill(self, capacity: int, shards: int, divisible: bool):
-        """Greedy filling: cut positions as cell indexes, or None if the cells don't fit.
+    def fill(self, capacity: int, shards: int, divisible: bool) -> tuple[list[int], bool]:
+        """Greedy filling: the cells at which shards 1, 2, ... begin, and whether all cells fit.
 
         A cell of several groups counts as one block, or if ``divisible`` as one that can be cut anywhere.
         """
         total, cuts, start = (self.ends[-1] if self.ends else 0), [], 0
         for _ in range(shards):
-            if start >= total:
-                break
-            goal = start + capacity
-            k = bisect_right(self.ends, goal)
+            k = bisect_right(self.ends, start + capacity)
             if k >= len(self.ends):
-                start = total
-                break
+                return cuts, True
             whole = self.ends[k - 1] if k else 0
             split = divisible and self.rows[k][2] > 1
             if not split and whole <= start:
-                return None
+                break
             cuts.append(k)
-            start = goal if split else whole
-        return cuts if start >= total else None
+            start = start + capacity if split else whole
+        return cuts, start >= total
 
     def smallest(self, shards: int, divisible: bool) -> int:
         total, largest = (self.ends[-1] if self.ends else 0), max([r[3] for r in self.rows], default=0)
         low, high = max(largest, -(-total // shards)), max(total, largest)
         while low < high:
             mid = (low + high) // 2
-            if self.fill(mid, shards, divisible) is None:
+            if not self.fill(mid, shards, divisible)[1]:
                 low = mid + 1
             else:
                 high = mid
@@ -83,13 +79,13 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
     cells = Cells(summary(FIRST_DIGITS, None))
     while True:
         low, high = cells.smallest(shards, True), cells.smallest(shards, False)
-        early, late = cells.fill(low, shards, False), cells.fill(high, shards, True)
-        # where blocks don't fit at the lower bound, the k-th cut still lies beyond k times what a shard at least takes
+        # for every capacity between, the k-th cut lies between those of whole blocks at the low end and of divisible ones at the high end
+        early, late = cells.fill(low, shards, False)[0], cells.fill(high, shards, True)[0]
         block = max([r[1] for r in cells.rows], default=0)
         wide = set()
         for k in range(1, shards):
-            to = late[k - 1] if k <= len(late or []) else len(cells.rows) - 1
-            since = early[k - 1] if early and k <= len(early) else bisect_right(cells.ends, max(0, k * (low - block)))
+            to = late[k - 1] if k <= len(late) else len(cells.rows) - 1
+            since = early[k - 1] if k <= len(early) else bisect_right(cells.ends, max(0, k * (low - block)))
             wide.update(i for i in range(max(0, min(since, to) - 1), to + 1) if i < len(cells.rows) and cells.rows[i][2] > 1)
         wide.update(i for i, r in enumerate(cells.rows) if r[2] > 1 and 64 * r[3] > high)
         if not wide:
@@ -101,8 +97,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         for digits, names in by_length.items():
             fine += summary(digits + 1, names)
         cells = Cells(fine)
-    cuts = cells.fill(high, shards, False) or []
-    return high, [cells.rows[k][0] for k in cuts]
+    return high, [cells.rows[k][0] for k in cells.fill(high, shards, False)[0]]
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = ROW_BYTES) -> DataFrame:
