@@ -98,7 +98,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Fit on at most ``rows`` labelled documents, the first by hash of the id."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("double").alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
-    own = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("text")).join(known, "__id")
+    own = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("text")).join(F.broadcast(known), "__id")   # at most ``rows`` narrow rows
     sample = text_features(own, "text", {"id": own["__id"].cast("string"), "y": own["__y"]}).orderBy("id", "y", "features").collect()
     return fit_logistic(np.array([r.features for r in sample]).reshape(-1, N_FEATURES), np.array([r.y for r in sample]))
 
