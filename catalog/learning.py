@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog.base import CAL, SCORED, TX, cal, query, rounded, s6, scored, table, tx, txd, u32, unit
 from txrisk.functions.scale import attach, hash_unit, keep, shared_folder
 from txrisk.operators import encoders as E, impute as I, metrics as V, models as M, outliers as O, resample as X, selection as S
+from txrisk.functions.rows import calendar_features
 from txrisk.operators.aggregates import client_profile
 from txrisk.schema import DAY_US, DEFAULT
 
@@ -413,6 +414,45 @@ def _(spark, d):
     return stratified_report(cal(spark, d), ["TX_AMOUNT", "Value", "Hour"], M.decision_tree(maxDepth=4), 3).where("metric NOT LIKE '% time'")
 
 
+# ------------------------------------------------------------------ whole workflows
+
+def _workflow_rows(spark, d):
+    x = calendar_features(txd(spark, d)).select(ID, "TX_DATETIME", "TX_TIME_DAYS", "TX_AMOUNT", "Value", "Hour", "ProductCategory", "ProductId", "TX_FRAUD")
+    return x.where("TX_TIME_DAYS < 20"), x.where("TX_TIME_DAYS >= 20")
+
+
+def _workflow():
+    from txrisk.plans.workflow import Workflow, WorkflowOptions
+    return Workflow(WorkflowOptions(engineer=False, classifier="tree", encoder="ordered", detectors=("hbos",), scaler="standard", classifier_params={"maxDepth": 3}))
+
+
+@query("workflow_fit_score")
+def _(spark, d):
+    train, test = _workflow_rows(spark, d)
+    return rounded(_workflow().fit(train).transform(test).select(ID, "predictions"))
+
+
+# A stored workflow scores every row as the fitted one did.
+@query("workflow_save_load", f"WITH {TX} SELECT TRANSACTION_ID, true AS same FROM tx WHERE TX_TIME_DAYS >= 20")
+def _(spark, d):
+    from txrisk.plans.workflow import FittedWorkflow
+    train, test = _workflow_rows(spark, d)
+    w = _workflow().fit(train)
+    path = f"{shared_folder(spark)}/workflow-{uuid.uuid4().hex}"
+    w.save(path)
+    again = FittedWorkflow.load(spark, path).transform(test).select(ID, F.col("predictions").alias("loaded"))
+    return w.transform(test).select(ID, "predictions").join(again, ID).select(ID, (F.abs(F.col("predictions") - F.col("loaded")) < 1e-9).alias("same"))
+
+
+# Rows carry the cluster of their client: one cluster per client, none missing.
+@query("cluster_labels_on_rows", f"""WITH {TX} SELECT CustomerUID, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_clusters FROM tx GROUP BY 1""")
+def _(spark, d):
+    p = client_profile(cal(spark, d), "CustomerUID", ["TX_AMOUNT", "Value", "IsNight"])
+    c = M.client_clusters(p, "CustomerUID", ["cluster_TX_AMOUNT", "cluster_Value"], (), 4)
+    rows = attach(tx(spark, d), c, "CustomerUID")
+    return rows.groupBy("CustomerUID").agg(F.count("*").alias("n_rows"), F.countDistinct("CustomerCluster").alias("n_clusters"))
+
+
 # ------------------------------------------------------------------ streaming
 
 def _stream(spark, d):
