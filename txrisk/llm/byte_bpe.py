@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txrisk.llm.common import text_of, total_bytes
 
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
 # The literal pair map is split into this many small maps, since a map is searched from its start.
-PAIR_MAPS = 16381
+PAIR_MAPS = 32749
 WIDTH = 1 << 20
 # Longer words are merged in the task by the same rule: array folding copies the word once per merge.
 FOLD_BYTES = 128
@@ -131,10 +131,12 @@ class ChunkWords:
         self.texts = spans
 
     def by_bucket(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Distinct words as bytes, and their order and buckets by (bucket, bytes)."""
+        """Distinct words as bytes, and their order and buckets by (bucket, hash, bytes)."""
         raw = [w.encode() for w in self.words]
-        bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)) % np.uint64(buckets)
-        order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        bucket, order = hashes % np.uint64(buckets), np.argsort(hashes, kind="stable")
+        if (hashes[order[1:]] == hashes[order[:-1]]).any():
+            order = np.array(sorted(range(len(raw)), key=lambda i: (hashes[i], raw[i])), np.int64)
         order = order[np.argsort(bucket[order], kind="stable")]
         return raw, order, bucket[order]
 
@@ -206,6 +208,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(table: pa.Table) -> pa.Array:
+    pa.default_memory_pool().release_unused()   # a worker keeps what its earlier chunks needed otherwise
     unpack = zstandard.ZstdDecompressor()
     return pa.array([unpack.decompress(t.as_py()) for t in table["text"]], pa.large_binary()).cast(pa.large_string())
 
