@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
@@ -156,8 +157,9 @@ def test_splitting_follows_the_pattern(texts):
     chars = "ab Z9 '\n\t.,é漢²  \x1c\x85٣_-st"
     samples = [t or "" for t in texts] + ["".join(rng.choice(chars) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
     want = regex.compile(public_tokenizers.PATTERN)
-    chunk = B.ChunkWords(samples, public_tokenizers.PATTERN)
+    chunk = B.ChunkWords(pa.array(samples), public_tokenizers.PATTERN)
     names = list(chunk.words)
+    assert len(chunk.texts) == len(samples)
     for t, spans in zip(samples, chunk.texts):
         parts, _ = B._ragged(chunk.parts, chunk.offsets, spans)
         assert [names[i] for i in parts] == want.findall(t), t

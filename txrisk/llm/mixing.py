@@ -3,7 +3,7 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). Capacity flows from patterns to source quotas; the r-th repetition of a pattern's
 words costs r, so that nothing repeats while unused words could serve. Every augmenting path costs what its pattern's repetition costs, so raising all capacities
 one repetition at a time and augmenting in between gives the min-cost flow. Each pattern's intake is then drawn from its documents in the order of a
-seeded hash: whole passes first, then a prefix of hash buckets, and in the last bucket documents as they fit.
+seeded hash: whole passes first, then a prefix of hash buckets, and in the last bucket documents as they fit, there even repeated to come near the quota.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ def words_in(text: Column) -> Column:
 
 def pattern_key(members: Column) -> Column:
     """One string for a list of sources, in which null differs from any name."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(members, lambda s: F.when(s.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.hex(s)))))), ",")
+    names = F.transform(members, lambda s: F.when(s.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.hex(s))))
+    return F.coalesce(F.array_join(F.array_sort(F.array_distinct(names)), ","), F.lit(""))
 
 
 def quotas(sizes: dict[str | None, int], total: int, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -117,17 +118,22 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return Mix([(s, sizes[s], target[s]) for s in target], patterns)
 
 
-def _fill(frame: pd.DataFrame) -> pd.DataFrame:
-    """In the order of the hash, documents that still fit; one more if that comes nearer."""
-    frame = frame.sort_values(["hash", "id", "size"], ignore_index=True)
-    left, picked = int(frame["left"].iloc[0]), []
-    for size in frame["size"]:
-        picked.append(size <= left)
-        left -= size if size <= left else 0
-    rest = [(abs(left - s), i) for i, (s, p) in enumerate(zip(frame["size"], picked)) if not p]
-    if rest and min(rest)[0] < left:
-        picked[min(rest)[1]] = True
-    return frame[picked].assign(n=1).groupby(["key", "id", "hash", "size"], as_index=False, dropna=False)["n"].sum()
+def _fill(most: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """In the order of the hash, documents that still fit, again while repetitions are left; one more copy if that comes nearer."""
+        frame = frame.sort_values(["hash", "id", "size"], ignore_index=True)
+        left, extra, sizes = int(frame["left"].iloc[0]), most - int(frame["whole"].iloc[0]), frame["size"].tolist()
+        copies = [0] * len(sizes)
+        for _ in range(extra):
+            for i, size in enumerate(sizes):
+                if 0 < size <= left:
+                    copies[i] += 1
+                    left -= size
+        nearest = min(((abs(left - s), i) for i, s in enumerate(sizes) if copies[i] < extra), default=(left, 0))
+        if nearest[0] < left:
+            copies[nearest[1]] += 1
+        return frame.assign(n=copies).groupby(["key", "id", "hash", "size"], as_index=False, dropna=False)["n"].sum()
+    return run
 
 
 def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
@@ -135,33 +141,37 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     """All rows with ``mix_size`` (words) and ``mix_copies`` (0 to ``most``) appended, and the plan.
 
     ``members`` is a list of sources per row. Size is the number of words, 0 for null text; rows without words or sources get no copies. Equal input gives
-    equal copies whatever its order. A null source is a source of its own; rows that repeat count each; an empty table gives no rows.
+    equal copies whatever its order. Columns that already have the two names are replaced. A null source is a source of its own; rows that repeat count each; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    named = docs.withColumns({"mix_size": words_in(docs[text_col].cast("string")), "mix_key": pattern_key(members), "mix_hash": F.xxhash64(docs[id_col], F.lit(seed))})
-    slim, path = store(named.select(F.col(id_col).cast("string").alias("id"), members.alias("members"), F.col("mix_key").alias("key"), F.col("mix_hash").alias("hash"),
-                                    F.col("mix_size").alias("size")), "mix-sizes")
-    mix_plan = plan_mix(slim.select("members", "key", "size"), weights, most)
-    plan = F.broadcast(spark.createDataFrame(mix_plan.patterns, "key string, bits int, whole int, rest long"))   # one row per pattern
-    bucket = lambda h: F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned({h}, 64 - bits)"))
-    totals = slim.join(plan, "key").withColumn("bucket", bucket("hash")).groupBy("key", "bucket", "rest").agg(F.sum("size").alias("words"))
-    until = F.sum("words").over(W.partitionBy("key").orderBy("bucket"))
-    last = totals.withColumn("until", until).where((F.col("rest") > F.col("until") - F.col("words")) & (F.col("rest") <= F.col("until")))
+    named = docs.withColumns({"mix_size": words_in(docs[text_col].cast("string")), "__key": pattern_key(members), "__hash": F.xxhash64(docs[id_col], F.lit(seed)),
+                              "__id": docs[id_col].cast("string")})
+    slim, path = store(named.select("__id", members.alias("members"), "__key", "__hash", "mix_size"), "mix-sizes")
+    mix_plan = plan_mix(slim.select("members", F.col("__key").alias("key"), F.col("mix_size").alias("size")), weights, most)
+    plan = F.broadcast(spark.createDataFrame(mix_plan.patterns, "__key string, __bits int, __whole int, __rest long"))   # one row per pattern
+    bucket = F.when(F.col("__bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(__hash, 64 - __bits)"))
+    totals = slim.join(plan, "__key").groupBy("__key", bucket.alias("bucket"), "__rest").agg(F.sum("mix_size").alias("words"))
+    totals = totals.withColumn("over", F.sum("words").over(W.partitionBy("__key").orderBy("bucket")) - F.col("__rest"))
     # one row per pattern: the bucket in which its intake ends and what is left for it
-    edges = {r.key: (r.bucket, r["left"]) for r in last.select("key", "bucket", (F.col("rest") - F.col("until") + F.col("words")).alias("left")).collect()}
+    last = totals.where((F.col("__rest") > 0) & (F.col("over") >= 0) & (F.col("over") < F.col("words")))
+    edges = {r[0]: (r[1], r[2]) for r in last.select("__key", "bucket", F.col("words") - F.col("over")).collect()}
     final = F.broadcast(spark.createDataFrame([(k, b, w, *edges.get(k, (-1, 0))) for k, b, w, _ in mix_plan.patterns],
-                                              "key string, bits int, whole int, edge long, left long"))
-    border = slim.select("id", "key", "hash", "size").join(final, "key").where(bucket("hash") == F.col("edge"))
-    picks, _ = store(border.select("key", "id", "hash", "size", "left").groupBy("key").applyInPandas(_fill, "key string, id string, hash long, size long, n long"), "mix-picks")
+                                              "__key string, __bits int, __whole int, __edge long, __left long"))
+    border = slim.join(final, "__key").where(bucket == F.col("__edge"))
+    border = border.select(F.col("__key").alias("key"), F.col("__id").alias("id"), F.col("__hash").alias("hash"), F.col("mix_size").alias("size"), F.col("__left").alias("left"), F.col("__whole").alias("whole"))
+    picks, _ = store(border.groupBy("key").applyInPandas(_fill(most), "key string, id string, hash long, size long, n long"), "mix-picks")
     discard(spark, path)
-    placed = named.join(final.withColumnRenamed("key", "mix_key"), "mix_key").withColumn("mix_bucket", bucket("mix_hash"))
-    extra = [c for c in placed.columns if c not in docs.columns and c != "mix_size"]
-    sure = placed.where(F.col("mix_bucket") != F.col("edge")).withColumn("mix_copies", F.col("whole") + (F.col("mix_bucket") < F.col("edge")).cast("int"))
-    open_ = placed.where(F.col("mix_bucket") == F.col("edge")).withColumn("mix_id", F.col(id_col).cast("string"))
-    same = W.partitionBy("mix_key", "mix_id", "mix_hash", "mix_size").orderBy(F.lit(0))
-    chosen = picks.select(F.col("key").alias("pick_key"), F.col("id").alias("pick_id"), F.col("hash").alias("pick_hash"), F.col("size").alias("pick_size"), F.col("n").alias("pick_n"))
-    open_ = open_.join(chosen, (F.col("mix_key") == F.col("pick_key")) & F.col("mix_id").eqNullSafe(F.col("pick_id")) & (F.col("mix_hash") == F.col("pick_hash"))
-                       & (F.col("mix_size") == F.col("pick_size")), "left").withColumn("mix_row", F.row_number().over(same))
-    open_ = open_.withColumn("mix_copies", F.col("whole") + F.coalesce(F.col("mix_row") <= F.col("pick_n"), F.lit(False)).cast("int"))
-    both = sure.unionByName(open_.select(*sure.columns)).drop(*extra)
-    return both, mix_plan
+    placed = named.join(final, "__key").withColumn("__bucket", bucket)
+    sure = placed.where(F.col("__bucket") != F.col("__edge")).withColumn("mix_copies", F.col("__whole") + (F.col("__bucket") < F.col("__edge")).cast("int"))
+    # rows that are alike in id, hash and size share the copies picked for them
+    alike = W.partitionBy("__key", "__id", "__hash", "mix_size")
+    chosen = picks.select(*[F.col(c).alias(f"__pick_{c}") for c in picks.columns])
+    open_ = placed.where(F.col("__bucket") == F.col("__edge"))
+    open_ = open_.join(chosen, (F.col("__key") == F.col("__pick_key")) & F.col("__id").eqNullSafe(F.col("__pick_id")) & (F.col("__hash") == F.col("__pick_hash"))
+                       & (F.col("mix_size") == F.col("__pick_size")), "left")
+    open_ = open_.withColumns({"__row": F.row_number().over(alike.orderBy(F.lit(0))), "__alike": F.count("*").over(alike)})
+    share = F.floor((F.coalesce(F.col("__pick_n"), F.lit(0)) - F.col("__row") + F.col("__alike")) / F.col("__alike"))
+    open_ = open_.withColumn("mix_copies", F.col("__whole") + share.cast("int"))
+    columns = [*[c for c in docs.columns if c not in ("mix_size", "mix_copies")], "mix_size", "mix_copies"]
+    pick = [F.col(f"`{c}`") for c in columns]
+    return sure.select(*pick).unionByName(open_.select(*pick)), mix_plan
