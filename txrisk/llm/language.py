@@ -77,8 +77,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5, batch: int = 32, seed: int = 7, accept: float = 0.995) -> LanguageModel:
-    """Fit on four of five texts, calibrate on the fifth. Texts come in a fixed order, so that equal samples give equal models."""
+def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5, batch: int = 32, steps: int = 500, seed: int = 7, accept: float = 0.995) -> LanguageModel:
+    """Fit on four of five texts, calibrate on the fifth; few texts get more epochs, up to ``steps``. Texts come in a fixed order, so that equal samples give equal models."""
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
@@ -90,7 +90,9 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5
     held, own = (fold[::5], np.setdiff1d(fold, fold[::5])) if len(fold) >= 10 else (fold, fold)
     emb = (rng.normal(size=(BUCKETS, SIZE)) / SIZE).astype(np.float32)
     weights, bias = np.zeros((SIZE, len(names)), np.float32), np.zeros(len(names), np.float32)
-    steps, at = max(1, epochs * -(-len(own) // batch)), 0
+    per_epoch = max(1, -(-len(own) // batch))
+    epochs = max(epochs, -(-steps // per_epoch))
+    steps, at = epochs * per_epoch, 0
     balance = len(own) / (len(names) * np.maximum(1, np.bincount(y[own], minlength=len(names))))
     for _ in range(epochs):
         order = rng.permutation(own)
