@@ -34,10 +34,17 @@ def unit_rows(values) -> np.ndarray:
 
 
 class CoverTree:
-    """Nodes as arrays: centre, radius, members [start, end) in ``order``, children [first, last)."""
+    """Nodes as arrays: centre, radius, members [start, end) in ``order``, children [first, last).
 
-    def __init__(self, units: np.ndarray, copies: np.ndarray):
-        members, nodes, levels = np.arange(len(units)), [], [(np.arange(len(units)), 0, 1.0)]
+    The root covers the sphere; of the halving radii below it those are left out at which no two nodes can be further apart than ``reach`` and both
+    radii, since such a level drops nothing. Leaves are single vectors, or few within a quarter of ``reach``.
+    """
+
+    def __init__(self, units: np.ndarray, copies: np.ndarray, reach: float):
+        top, tight = 1.0, reach / 4
+        while reach + 2 * top >= 2 and top > 1e-3:
+            top /= 2
+        members, nodes, levels = np.arange(len(units)), [], [(np.arange(len(units)), 0, top)]
         nodes.append([0, 0.0, 0, len(units), 0, 0])
         order = members.copy()
         while levels:
@@ -45,7 +52,7 @@ class CoverTree:
             centre = own[0]
             away = 2 - 2 * units[own] @ units[centre]
             nodes[node][0], nodes[node][1] = centre, float(np.sqrt(max(0.0, away.max()))) + SLACK if len(own) > 1 else 0.0
-            if len(own) <= LEAF or radius < 1e-9:
+            if len(own) == 1 or radius < 1e-9 or len(own) <= LEAF and nodes[node][1] <= tight:
                 continue
             parts = _cover(units, own, radius)
             at = nodes[node][2]
@@ -64,9 +71,15 @@ class CoverTree:
     def members(self, node: int) -> np.ndarray:
         return self.order[self.start[node]:self.end[node]]
 
-    def children(self, node: int) -> np.ndarray:
-        """A leaf stands for itself."""
-        return np.arange(self.first[node], self.last[node]) if self.last[node] else np.array([node])
+    def children(self, nodes: np.ndarray) -> np.ndarray:
+        """Children of all ``nodes``; a leaf stands for itself."""
+        inner = nodes[self.last[nodes] > 0]
+        counts = self.last[inner] - self.first[inner]
+        ends = np.cumsum(counts)
+        return np.concatenate([nodes[self.last[nodes] == 0], np.arange(counts.sum()) + np.repeat(self.first[inner] - ends + counts, counts)])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "units"}
 
 
 def _cover(units: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
@@ -81,6 +94,12 @@ def _cover(units: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray
     return parts
 
 
+def _grouped(by: np.ndarray, other: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    order = np.argsort(by, kind="stable")
+    names, starts = np.unique(by[order], return_index=True)
+    return [(names[i:i + 1], part) for i, part in enumerate(np.split(other[order], starts[1:]))] if len(names) else []
+
+
 class DualWalk:
     """Links between the members of two trees (or within one): weighted link counts of both sides and a spanning forest."""
 
@@ -89,38 +108,65 @@ class DualWalk:
         self.count = [np.zeros(len(a.order), np.int64), np.zeros(len(b.order), np.int64)]
         self.offset = 0 if self.same else len(a.order)
         self.i, self.j, self.held, self.starred = [], [], 0, set()
-        stack = [(0, 0)]
+        self.single = (a.units.astype(np.float32), b.units.astype(np.float32))
+        stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
-            p, q = stack.pop()
-            if not a.last[p] and not b.last[q]:
-                self._exact(p, q)
-            else:
-                stack += self._split(p, q)
+            stack += self._descend(*stack.pop())
         self._contract()
 
-    def _split(self, p: int, q: int) -> list[tuple[int, int]]:
+    def _descend(self, ps: np.ndarray, qs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Children of one node against those of all its partners; one of the two lists has a single node."""
         a, b, out = self.a, self.b, []
-        kids, others = a.children(p), b.children(q)
-        for at in range(0, len(kids), 512):
-            own = kids[at:at + 512]
-            bound = self.reach + a.radius[own][:, None] + b.radius[others][None, :]
-            close = a.units[a.centre[own]].astype(np.float32) @ b.units[b.centre[others]].astype(np.float32).T
-            # single precision only drops what is too far by a margin; the rest is decided in double precision
-            x, y = np.nonzero(close >= 1 - np.minimum(bound, 2.0) ** 2 / 2 - 1e-5)
-            ca, cb = own[x], others[y]
-            if self.same and p == q:
-                ca, cb = ca[ca <= cb], cb[ca <= cb]
-            for s in range(0, len(ca), 1 << 16):
-                na, nb = ca[s:s + (1 << 16)], cb[s:s + (1 << 16)]
-                product = np.einsum("ij,ij->i", a.units[a.centre[na]], b.units[b.centre[nb]])
-                distance, spread = np.sqrt(np.maximum(0.0, 2 - 2 * product)), a.radius[na] + b.radius[nb]
-                whole = distance + spread < self.reach - 1e-7
-                for m, n in zip(na[whole].tolist(), nb[whole].tolist()):
-                    self._whole(m, n)
-                open_ = ~whole & (distance <= self.reach + spread + 1e-7)
-                out += zip(na[open_].tolist(), nb[open_].tolist())
+        own, against = a.children(ps), b.children(qs)
+        jobs = [(own, against, False)]
+        if self.same and len(ps) == 1 and ps[0] in qs:
+            jobs = [(own, b.children(qs[qs != ps[0]]), False), (own, own, True)]
+        for own, against, within in jobs:
+            for at in range(0, len(own) if len(against) else 0, 512):
+                ca, cb = self._near(own[at:at + 512], against)
+                if within:
+                    ca, cb = ca[ca <= cb], cb[ca <= cb]
+                for s in range(0, len(ca), 1 << 16):
+                    out += self._decide(ca[s:s + (1 << 16)], cb[s:s + (1 << 16)])
         return out
 
+    def _near(self, own: np.ndarray, against: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of nodes that may hold a link. Single precision only drops what is too far by a margin."""
+        a, b = self.a, self.b
+        close = self.single[0][a.centre[own]] @ self.single[1][b.centre[against]].T
+        # most nodes have radius 0: one bound for all their pairs; rows and columns of the others get their own
+        near = close >= np.float32(self.threshold - 1e-5)
+        wide, wide_b = np.flatnonzero(a.radius[own]), np.flatnonzero(b.radius[against])
+        for rows, columns in ((wide, slice(None)), (slice(None), wide_b)):
+            bound = np.minimum(self.reach + a.radius[own[rows]][:, None] + b.radius[against[columns]][None, :], 2.0)
+            near[rows, columns] = close[rows, columns] >= 1 - bound * bound / 2 - 1e-5
+        x, y = np.nonzero(near)
+        return own[x], against[y]
+
+    def _decide(self, na: np.ndarray, nb: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Count links of single vectors, whole nodes and leaves; what stays undecided, by the node that has children."""
+        a, b = self.a, self.b
+        product = np.einsum("ij,ij->i", a.units[a.centre[na]], b.units[b.centre[nb]])
+        single = (a.end[na] - a.start[na] == 1) & (b.end[nb] - b.start[nb] == 1)
+        hit = single & (product >= self.threshold)
+        if self.same:
+            hit &= na != nb
+        i, j = a.centre[na[hit]], b.centre[nb[hit]]
+        np.add.at(self.count[0], i, b.copies[j])
+        np.add.at(self.count[0 if self.same else 1], j, a.copies[i])
+        self._edges(i, j + self.offset)
+        distance, spread = np.sqrt(np.maximum(0.0, 2 - 2 * product)), a.radius[na] + b.radius[nb]
+        whole = ~single & (distance + spread < self.reach - 1e-7)
+        for m, n in zip(na[whole].tolist(), nb[whole].tolist()):
+            self._whole(m, n)
+        open_ = ~single & ~whole & (distance <= self.reach + spread + 1e-7)
+        leaves = open_ & (a.last[na] == 0) & (b.last[nb] == 0)
+        for m, n in zip(na[leaves].tolist(), nb[leaves].tolist()):
+            self._exact(m, n)
+        na, nb = na[open_ & ~leaves], nb[open_ & ~leaves]
+        inner = a.last[na] > 0
+        return [*_grouped(na[inner], nb[inner]), *((p, q) for q, p in _grouped(nb[~inner], na[~inner]))]
+
     def _whole(self, p: int, q: int) -> None:
         """All members of both nodes link."""
         a, b = self.a, self.b
@@ -159,7 +205,7 @@ class DualWalk:
 
     def _contract(self) -> None:
         """Replace the edges held by stars of their components."""
-        n = len(self.a.order) + self.offset
+        n = self.offset + len(self.b.order)
         label = np.arange(n)
         i, j = np.concatenate(self.i or [label[:0]]), np.concatenate(self.j or [label[:0]])
         while True:
@@ -256,7 +302,8 @@ def _links(classes: DataFrame, threshold: float, number, block: int) -> DataFram
 
     def build(keys: tuple, rows: pa.Table) -> pa.Table:
         frame = rows.select(["key", "copies", "vec"]).to_pandas().sort_values("key", ignore_index=True)
-        blob = pickle.dumps((frame.key.tolist(), frame.copies.to_numpy(), np.stack([np.frombuffer(v, number) for v in frame.vec])), protocol=5)
+        vectors = np.stack([np.frombuffer(v, number) for v in frame.vec])
+        blob = pickle.dumps((frame.key.tolist(), vectors, CoverTree(unit_rows(vectors), frame.copies.to_numpy(), reach)), protocol=5)
         return pa.table({"dim": [keys[0].as_py()], "cell": [keys[1].as_py()], "piece": [keys[2].as_py()], "blob": pa.array([blob], pa.binary())})
     blocks = dealt.groupBy("dim", "cell", "piece").applyInArrow(build, "dim long, cell long, piece long, blob binary")
     mine = F.struct("cell", "piece")
@@ -266,10 +313,11 @@ def _links(classes: DataFrame, threshold: float, number, block: int) -> DataFram
 
     def walk(keys: tuple, rows: pa.Table) -> pa.Table:
         # partners are mutual, so both blobs of a pair arrive; a block with itself arrives once
-        blobs = sorted(rows["blob"].to_pylist())
-        (ka, ca, va), *other = [pickle.loads(b) for b in blobs]
-        a = CoverTree(unit_rows(va), ca)
-        kb, b = (ka, a) if not other else (other[0][0], CoverTree(unit_rows(other[0][2]), other[0][1]))
+        sides = []
+        for names, vectors, tree in map(pickle.loads, sorted(rows["blob"].to_pylist())):
+            tree.units = unit_rows(vectors)
+            sides.append((names, tree))
+        (ka, a), (kb, b) = sides[0], sides[-1]
         w = DualWalk(a, b, threshold)
         names = np.array(ka + ([] if b is a else kb), dtype=object)
         counts = w.count[0] if b is a else np.concatenate(w.count)
