@@ -57,7 +57,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_digests(docs)
+    # the workers still hold what earlier stages needed
+    return token_digests(docs, chunk_bytes=2 << 20)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mixture), ("byte-level BPE", tokens)]

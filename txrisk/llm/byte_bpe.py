@@ -286,14 +286,15 @@ def _assemble(pattern: str, buckets: int):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, ids): token ids of every whole text, each match of ``pattern`` by itself, without special tokens.
 
     Null text counts as empty and gives an empty list; rows that repeat an id are all encoded; an empty table gives no rows. ``ranks`` must hold all
-    single bytes. The distinct words of a chunk, not of the corpus, are held by a task.
+    single bytes. The distinct words of a chunk, not of the corpus, are held by a task:
+    a smaller ``chunk_bytes`` takes less memory and moves more words.
     """
     size = total_bytes(docs, text_col)
-    chunks, buckets = max(12, -(-size // CHUNK_BYTES)), max(12, -(-size // BUCKET_BYTES))
+    chunks, buckets = max(12, -(-size // chunk_bytes)), max(12, -(-size // BUCKET_BYTES))
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).cast("binary").alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.length("text")), F.lit(chunks)))
     packed = rows.mapInArrow(_compress, "id long, chunk long, text binary")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txrisk.llm.byte_bpe import decoded, encode, read_ranks
+from txrisk.llm.byte_bpe import CHUNK_BYTES, decoded, encode, read_ranks
 from txrisk.llm.cover_tree import near_vectors
 from txrisk.llm.exact_dedup import exact_dedup
 from txrisk.llm.language import fit_language_model, predict_language
@@ -57,12 +57,12 @@ def op3(spark, d):
         "doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
+def token_digests(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Encode with the multilingual byte-level ranks, decode, and give the digests of both."""
     import public_tokenizers
     ranks = read_ranks(docs.sparkSession, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     ids = F.col("ids")
-    return encode(docs, ranks, public_tokenizers.PATTERN).select(
+    return encode(docs, ranks, public_tokenizers.PATTERN, chunk_bytes=chunk_bytes).select(
         "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(decoded(ids, ranks), 256).alias("decoded_sha256"))
 
