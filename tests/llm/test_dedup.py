@@ -11,7 +11,7 @@ import xxhash
 from txrisk.llm import exact_dedup as E, simhash as S
 from txrisk.llm.common import components
 from txrisk.llm.cover_tree import near_vectors
-from txrisk.llm.sharding import Cells, minimax_cuts, shard_by_bytes
+from txrisk.llm.sharding import Cells, level_cuts, minimax_cuts, shard_by_bytes
 from txrisk.llm.substring_dedup import remove_repeats
 
 
@@ -205,6 +205,41 @@ def test_sharding(docs, rows, none):
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
 
 
+@pytest.mark.parametrize("shards,most", [(3, 9), (25, 9), (7, 500), (40, 40)])
+def test_level_cuts(spark, monkeypatch, shards, most):
+    import txrisk.llm.sharding as H
+    monkeypatch.setattr(H, "FIRST_DIGITS", 1)
+    rng = random.Random(shards)
+    groups = sorted((hashlib.sha256(str(i).encode()).hexdigest(), rng.randrange(1, most)) for i in range(300))
+    cuts = level_cuts(spark.createDataFrame(groups, "key string, bytes long"), shards)
+    sizes = [0] * shards
+    for key, size in groups:
+        sizes[sum(c.ljust(64, "0") <= key for c in cuts)] += size
+    assert max(sizes) == brute_cuts([b for _, b in groups], shards)[0]
+    assert min(sizes) > 0 and max(sizes) - min(sizes) < 2 * max(b for _, b in groups)
+
+
+@pytest.mark.parametrize("copies,alone", [([3000], 1), ([3000, 2500], 2), ([400], 1), ([5], 0)])
+def test_sharding_of_a_hot_text(spark, copies, alone):
+    """A text with a third of all bytes fills its own shard and leaves the others near equal, none empty."""
+    texts = [f"{i:05d}" + "x" * (i % 50) for i in range(2000)] + [t for n, c in enumerate(copies) for t in [f"hot {n}" + "y" * 20] * c]
+    got = shard_by_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40).collect()
+    sizes, within = [0] * 40, defaultdict(set)
+    for r in got:
+        sizes[r.shard] += r["size"]
+        within[r.shard].add(texts[r.doc_id])
+    assert len(got) == len(texts) and min(sizes) > 0
+    hot = [s for s in within if any(t.startswith("hot") for t in within[s])]
+    assert sum(len(within[s]) == 1 for s in hot) == alone
+    rest = [b for s, b in enumerate(sizes) if len(within[s]) > 1]
+    assert len(rest) == 40 - alone and max(rest) - min(rest) <= max(50 + 5 + 16, 42 * 5)
+
+
+def test_sharding_of_fewer_texts_than_shards(spark):
+    got = shard_by_bytes(spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "b", "ccc"])], "doc_id long, text string"), 40).collect()
+    assert len({r.shard for r in got}) == 3 and all(0 <= r.shard < 40 for r in got)
+
+
 def test_empty_summary():
     assert Cells([]).fill(10, 3, True) == ([], True)
 
