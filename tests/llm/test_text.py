@@ -69,6 +69,16 @@ def test_overlapping_base_places():
     assert (s["n_base"], s["first_word"], s["last_word"], s["base_labels"]) == (3, 0, 8, "gpl,mit")
 
 
+@pytest.mark.parametrize("text,want", [
+    ("releasd undr the mit license x released under the mit license", [(0, 4, 2), (6, 10, 0)]),
+    ("released under the mit license releasd undr the mit license", [(0, 4, 0), (5, 9, 2)]),
+    ("released under the mit licen released under the mit license released under te mit licens", [(0, 4, 2), (5, 9, 0), (10, 14, 2)]),
+    (" ".join(["releasd under the mit license"] * 500), [(5 * i, 5 * i + 4, 1) for i in range(500)])])
+def test_adjacent_notices_keep_their_spans(text, want):
+    spans = N.Scanner(N.BASE, N.NOTICES).scan(text)["spans"]
+    assert [(s["first_word"], s["last_word"], s["edits"]) for s in spans] == want and {s["label"] for s in spans} == {"mit"}
+
+
 # ------------------------------------------------------------------------------------------------ mixing
 
 def test_quotas_fill_and_stop():

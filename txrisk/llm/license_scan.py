@@ -7,9 +7,10 @@ seeds in the text's words; only around a seed does the regex library's bounded-e
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import ahocorasick
 import pyarrow as pa
@@ -79,29 +80,37 @@ class Scanner:
 
     def near_places(self, joined: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, score) of verified notices in text order; of overlapping ones the best stays."""
-        windows: dict[int, list[list[int]]] = {}
+        windows = set()
         for end, (length, places) in self.seeds.iter(joined):
             for n, offset in places:
                 notice = self.notices[n]
                 start = end - length + 1 - offset - notice.edits
-                stop = start + len(notice.text) + 2 * notice.edits
-                known = windows.setdefault(n, [])
-                if known and start <= known[-1][1]:
-                    known[-1] = [min(known[-1][0], start), max(known[-1][1], stop)]
-                else:
-                    known.append([start, stop])
-        found = []
-        for n, areas in windows.items():
+                windows.add((n, max(0, start), min(len(joined), start + len(notice.text) + 2 * notice.edits)))
+        queue: list[tuple] = []
+
+        def search(n: int, start: int, stop: int) -> None:
             notice = self.notices[n]
-            for start, stop in areas:
-                for m in notice.verify.finditer(joined, max(0, start), stop):
-                    edits = sum(m.fuzzy_counts)
-                    found.append((notice.label, m.start(), m.end(), edits, 1 - edits / len(notice.text)))
-        best: list[tuple[str, int, int, int, float]] = []
-        for f in sorted(found, key=lambda f: (-f[4], f[0], f[1])):
-            if not any(b[1] < f[2] and f[1] < b[2] for b in best):
-                best.append(f)
-        return sorted(best, key=lambda f: (f[1], f[0]))
+            if stop - start >= len(notice.text) - notice.edits and (m := notice.verify.search(joined, start, stop)):
+                edits = sum(m.fuzzy_counts)
+                heappush(queue, (edits / len(notice.text) - 1, m.start(), notice.label, m.end(), edits, n, start, stop))
+        for w in sorted(windows):
+            search(*w)
+        # accepted spans by start; they do not overlap
+        best: list[tuple[int, int, str, int, float]] = []
+        while queue:
+            loss, a, label, b, edits, n, start, stop = heappop(queue)
+            at = bisect_left(best, (b,))
+            if at == 0 or best[at - 1][1] <= a:
+                best.insert(at, (a, b, label, edits, 1 - edits / len(self.notices[n].text)))
+            # what the accepted spans leave of the window may hold another match
+            i = max(0, bisect_left(best, (start,)) - 1)
+            while i < len(best) and best[i][0] < stop:
+                if best[i][1] > start:
+                    search(n, start, best[i][0])
+                    start = best[i][1]
+                i += 1
+            search(n, start, stop)
+        return [(label, a, b, edits, score) for a, b, label, edits, score in best]
 
     def scan(self, text: str) -> dict:
         words = words_of(text)
