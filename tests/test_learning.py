@@ -92,3 +92,13 @@ def test_calibration_is_monotone(planted):
     s = M.fraud_probability(M.logistic().fit(planted).transform(planted)).select("TX_FRAUD", "predictions")
     p = M.calibrate(s)(s).toPandas().sort_values("predictions")
     assert (np.diff(p.calibrated) >= -1e-12).all()
+
+
+def test_string_ratios_are_computed_in_tasks(tx):
+    from difflib import SequenceMatcher
+    from txrisk.operators import encoders as E
+    table = E.similarity_encoder(tx, "ProductCategory").table
+    assert "EvalPython" in table._jdf.queryExecution().executedPlan().toString()
+    rows = table.collect()
+    names = [r["category"] for r in rows]
+    assert len(names) > 1 and all(r[o] == SequenceMatcher(None, r["category"], o).ratio() for r in rows for o in names)

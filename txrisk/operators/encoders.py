@@ -201,35 +201,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
-def string_ratio_table(values: list[str]) -> list[tuple[str, str, float]]:
-    """2*M/T ratio of every ordered pair of a checked, small list of category names."""
-    from difflib import SequenceMatcher
-    return [(a, b, SequenceMatcher(None, a, b).ratio()) for a in values for b in values]
+# Both sides of the pairs are dealt in so many blocks; a block meets every other block in a group of its own.
+PAIR_BLOCKS = 16
+
+
+def string_ratio(a: Column, b: Column) -> Column:
+    """2*M/T ratio of two names, computed in the tasks."""
+    def ratio(x, y):
+        from difflib import SequenceMatcher
+        return SequenceMatcher(None, x, y).ratio()
+    return F.udf(ratio, "double")(a, b)
+
+
+def similarity_table(df: DataFrame, name: str, vectors: DataFrame | None = None) -> DataFrame:
+    """(category, other, v): similarity of every known category to every fitted one, joined block by block."""
+    cats = df.select(F.col(name).cast("string").alias("category")).where("category IS NOT NULL").distinct()
+    if vectors is None:
+        known = fitted = cats.withColumn("vector", F.lit(None).cast("array<double>"))
+    else:
+        v = vectors.select(F.col("category").cast("string").alias("category"), "vector")
+        fitted = attach(cats, v, "category")
+        known = v.unionByName(fitted.where("vector IS NULL"))
+    block, every = F.pmod(F.xxhash64("category"), F.lit(PAIR_BLOCKS)), F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)).cast("array<long>"))
+    left = known.select("category", "vector", block.alias("i"), every.alias("j"))
+    right = fitted.select(F.col("category").alias("other"), F.col("vector").alias("w"), every.alias("i"), block.alias("j"))
+    value = string_ratio(F.col("category"), F.col("other")) if vectors is None else F.coalesce(cosine(F.col("vector"), F.col("w")), F.lit(0.0))
+    return left.join(right, ["i", "j"]).select("category", "other", value.alias("v"))
 
 
 def similarity_encoder(df: DataFrame, name: str, vectors: DataFrame | None = None) -> TableEncoder:
     """One column per fitted category: similarity of the row's category to it.
 
-    ``vectors`` is a (category, vector) table compared by cosine, 0 for a missing vector; without it the
-    string ratio is used. Categories become columns, so their number is checked first.
+    ``vectors`` is a (category, vector) table compared by cosine, 0 for a missing vector; without it the string ratio is used. Categories become columns, so their
+    number is checked first.
     """
-    spark = df.sparkSession
     cats = df.select(F.col(name).cast("string").alias("category")).where("category IS NOT NULL").distinct()
     values = sorted(r[0] for r in cats.limit(MAX_SIMILARITY_CATEGORIES + 1).collect())
+    pairs = similarity_table(df, name, vectors)
     if len(values) > MAX_SIMILARITY_CATEGORIES:
         raise ValueError(f"{name} has more than {MAX_SIMILARITY_CATEGORIES} categories")
-    if vectors is None:
-        pairs = spark.createDataFrame(string_ratio_table(values), "category string, other string, v double")
-    else:
-        v = vectors.select(F.col("category").cast("string").alias("category"), "vector")
-        own = attach(spark.createDataFrame([(x,) for x in values], "category string"), v, "category")
-        # the fitted vectors (their number was checked) travel as one row
-        fitted = own.agg(F.collect_list(F.struct(F.col("category").alias("other"), F.col("vector").alias("w"))).alias("fitted"))
-        all_v = v.crossJoin(F.broadcast(fitted)).select("category", "vector", F.explode("fitted").alias("x"))
-        pairs = all_v.select("category", "x.other", F.coalesce(cosine(F.col("vector"), F.col("x.w")), F.lit(0.0)).alias("v"))
-        missing = attach(own.select("category"), v, "category").where("vector IS NULL").select("category")
-        pairs = pairs.unionByName(missing.select("category", F.explode(F.array(*[F.lit(x) for x in values])).alias("other"),
-                                                 F.lit(0.0).alias("v")))
     wide = pairs.groupBy("category").agg(*[F.max(F.when(F.col("other") == x, F.col("v"))).alias(x) for x in values])
     return TableEncoder(wide.withColumn("column", F.lit(name)), [name], values)
 
