@@ -102,3 +102,16 @@ def test_string_ratios_are_computed_in_tasks(tx):
     rows = table.collect()
     names = [r["category"] for r in rows]
     assert len(names) > 1 and all(r[o] == SequenceMatcher(None, r["category"], o).ratio() for r in rows for o in names)
+
+
+@pytest.mark.parametrize("with_vectors", [False, True])
+def test_many_similarity_categories_equal_the_columns(spark, tx, monkeypatch, with_vectors):
+    from txrisk.operators import encoders as E
+    vectors = spark.createDataFrame([(f"PR{i}", [float(i), 1.0, 2.0]) for i in range(1, 30)], "category string, vector array<double>") if with_vectors else None
+    values = sorted(r[0] for r in tx.select("ProductId").distinct().collect())
+    wide = E.similarity_encoder(tx, "ProductId", vectors).transform(tx)
+    want = {r.TRANSACTION_ID: [r[f"ProductId_{v}"] for v in values] for r in wide.collect()}
+    monkeypatch.setattr(E, "MAX_SIMILARITY_CATEGORIES", 3)
+    got = E.similarity_encoder(tx, "ProductId", vectors).transform(tx).select("TRANSACTION_ID", "ProductId_similarity").collect()
+    assert len(values) > 3 and {r[0]: r[1] for r in got} == want
+    assert all(None not in v for v in want.values())

@@ -117,3 +117,20 @@ def test_hot_route_keeps_small_huge_null_and_nan_amounts(spark, lag):
                 assert a is None and b is None, (name, r)
             else:
                 assert math.isnan(a) and math.isnan(b) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-20 if r[0] == "small" else 1e-9), (name, a, b)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20])
+def test_many_category_values_equal_the_columns(tx, monkeypatch, hot_rows):
+    df = tx.select("TRANSACTION_ID", "TX_DATETIME", "AccountId", F.when(F.col("ProductId") != "PR3", F.col("ProductId")).alias("P"))
+    widths = (DAY_US, 7 * DAY_US)
+    want = {r.TRANSACTION_ID: r.asDict() for r in W.rolling_category_stats(df, "AccountId", "P", widths).collect()}
+    monkeypatch.setattr(W, "MAX_CATEGORY_VALUES", 3)
+    monkeypatch.setattr(W, "VALUE_CHUNK", 5)
+    got = W.rolling_category_stats(df, "AccountId", "P", widths, hot_rows=hot_rows).collect()
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r.TRANSACTION_ID]
+        for n in ("1d", "7d"):
+            assert all(r[f"P_{x}_{n}"] == w[f"P_{x}_{n}"] for x in ("Count", "Distinct", "Mode"))
+            counts = {c[2:-len(f"_Count_{n}")]: v for c, v in w.items() if c.startswith("P_PR") and c.endswith(f"_Count_{n}") and v}
+            assert r[f"P_Counts_{n}"] == counts

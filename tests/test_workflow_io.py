@@ -53,6 +53,15 @@ def test_feature_table_keeps_rows_and_has_no_gaps(tx):
     assert p.isna().sum().sum() == 0 and "CustomerCluster" in p
 
 
+def test_fraud_rates_stay_in_a_table(tx):
+    state = fit_features(tx, LIGHT)
+    want = {r[0]: r[1] for r in tx.groupBy("ProductCategory").agg(F.avg("TX_FRAUD")).collect()}
+    got = {r["category"]: r["rate"] for r in state.rates.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    out = build_features(tx, state, LIGHT).select("TRANSACTION_ID", "ProductCategory_FraudRate").collect()
+    assert len(out) == tx.count() and {round(r[1], 9) for r in out} == {round(v, 9) for v in want.values()}
+
+
 def test_workflow_save_and_load_give_the_same_scores(spark, tx, tmp_path):
     o = WorkflowOptions(features=LIGHT, classifier="tree", encoder="ordered", detectors=("hbos",), select_k=8, scaler="standard", sampler="undersample",
                         sampler_params={"ratio": 0.2}, classifier_params={"maxDepth": 3})

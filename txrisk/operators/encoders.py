@@ -232,14 +232,17 @@ def similarity_table(df: DataFrame, name: str, vectors: DataFrame | None = None)
 def similarity_encoder(df: DataFrame, name: str, vectors: DataFrame | None = None) -> TableEncoder:
     """One column per fitted category: similarity of the row's category to it.
 
-    ``vectors`` is a (category, vector) table compared by cosine, 0 for a missing vector; without it the string ratio is used. Categories become columns, so their
-    number is checked first.
+    ``vectors`` is a (category, vector) table compared by cosine, 0 for a missing vector; without it the string ratio is used. More categories than
+    ``MAX_SIMILARITY_CATEGORIES`` give one array column ``<name>_similarity`` instead, in the order of the sorted fitted categories.
     """
     cats = df.select(F.col(name).cast("string").alias("category")).where("category IS NOT NULL").distinct()
     values = sorted(r[0] for r in cats.limit(MAX_SIMILARITY_CATEGORIES + 1).collect())
     pairs = similarity_table(df, name, vectors)
     if len(values) > MAX_SIMILARITY_CATEGORIES:
-        raise ValueError(f"{name} has more than {MAX_SIMILARITY_CATEGORIES} categories")
+        # a category may have several vectors, as in the columns the highest similarity counts
+        one = pairs.groupBy("category", "other").agg(F.max("v").alias("v"))
+        rows = one.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("other", "v"))).getField("v").alias("similarity"))
+        return TableEncoder(rows.withColumn("column", F.lit(name)), [name], ["similarity"], suffix="_similarity")
     wide = pairs.groupBy("category").agg(*[F.max(F.when(F.col("other") == x, F.col("v"))).alias(x) for x in values])
     return TableEncoder(wide.withColumn("column", F.lit(name)), [name], values)
 

@@ -353,14 +353,61 @@ def delayed_risk(df: DataFrame, key: str, delay_days: int = 7, days: tuple[int,
 
 
 MAX_CATEGORY_VALUES = 200
+# Values of a key that are counted beside each other when the category has more values than that.
+VALUE_CHUNK = 50
+
+
+def few_category_values(df: DataFrame, category: str) -> list[str] | None:
+    """Sorted distinct values, or None if there are too many for columns."""
+    rows = df.select(category).where(F.col(category).isNotNull()).distinct().limit(MAX_CATEGORY_VALUES + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= MAX_CATEGORY_VALUES else None
 
 
 def category_values(df: DataFrame, category: str) -> list[str]:
     """Distinct values of a low-cardinality category (they become columns, so their number is checked)."""
-    rows = df.select(category).where(F.col(category).isNotNull()).distinct().limit(MAX_CATEGORY_VALUES + 1).collect()
-    if len(rows) > MAX_CATEGORY_VALUES:
+    values = few_category_values(df, category)
+    if values is None:
         raise ValueError(f"{category} has more than {MAX_CATEGORY_VALUES} values")
-    return sorted(r[0] for r in rows)
+    return values
+
+
+def rolling_category_counts(df: DataFrame, key: str, category: str,
+                            widths_us: tuple[int, ...] = (HOUR_US, DAY_US, 3 * DAY_US, 7 * DAY_US),
+                            cols: Columns = DEFAULT, hot_rows: int | None = None) -> DataFrame:
+    """(id, Window, Value, Count): one row per transaction, window and value that the window holds, for any number of values.
+
+    The values of a key are numbered and dealt in chunks; a row goes once to every chunk of its key, where one rolling sum per value counts.
+    """
+    d = df.select(cols.id, cols.ts, F.col(key).alias("__key"), F.col(category).alias("__value"))
+    # one row per (key, value)
+    number = F.row_number().over(W.partitionBy("__key").orderBy("__value")) - 1
+    values = d.where("__value IS NOT NULL").select("__key", "__value").distinct().withColumn("__v", number)
+    chunks = values.select("__key", F.floor(F.col("__v") / VALUE_CHUNK).alias("__chunk")).distinct()
+    d = attach(attach(d, values, ["__key", "__value"]), chunks, "__key", "inner")
+    d = d.select("*", F.concat(F.col("__chunk").cast("string"), F.coalesce(F.concat(F.lit("="), F.col("__key").cast("string")), F.lit(""))).alias("__part"),
+                 *[(F.col("__v") == F.col("__chunk") * VALUE_CHUNK + i).cast("long").alias(f"__is_{i}") for i in range(VALUE_CHUNK)])
+    feats = [Rolling(f"__n_{w}_{i}", "sum", w, f"__is_{i}") for w in widths_us for i in range(VALUE_CHUNK)]
+    out = over_key(d, "__part", feats, cols, hot_rows=hot_rows)
+    items = F.array(*[F.struct(F.lit(label_us(w)).alias("Window"), (F.col("__chunk") * VALUE_CHUNK + i).alias("__v"),
+                               F.coalesce(F.col(f"__n_{w}_{i}"), F.lit(0)).cast("long").alias("Count")) for w in widths_us for i in range(VALUE_CHUNK)])
+    long = out.select(cols.id, "__key", F.explode(F.filter(items, lambda x: x["Count"] > 0)).alias("__x")).select(cols.id, "__key", "__x.*")
+    return attach(long, values, ["__key", "__v"]).select(cols.id, "Window", F.col("__value").alias("Value"), "Count")
+
+
+def _many_category_stats(df: DataFrame, key: str, category: str, widths_us: tuple[int, ...], cols: Columns, hot_rows: int | None) -> DataFrame:
+    """The same statistics from long counts; the counts per value are a map."""
+    long = rolling_category_counts(df, key, category, widths_us, cols, hot_rows)
+    here = lambda n, e: F.when(F.col("Window") == n, e)
+    stats = long.groupBy(cols.id).agg(*[e for n in map(label_us, widths_us) for e in (
+        F.count(here(n, F.lit(1))).cast("int").alias(f"__distinct_{n}"),
+        F.min(here(n, F.struct(-F.col("Count"), F.col("Value").alias("v")))).alias(f"__mode_{n}"),
+        F.map_from_entries(F.sort_array(F.collect_list(here(n, F.struct("Value", "Count"))))).alias(f"__counts_{n}"))])
+    feats = [Rolling(f"__n_{w}", "count", w) for w in widths_us]
+    out = attach(over_key(df, key, feats, cols, hot_rows=hot_rows), stats, cols.id)
+    none = F.create_map().cast(dict(stats.dtypes)[f"__counts_{label_us(widths_us[0])}"])
+    return out.select(*df.columns, *[e for w in widths_us for n in [label_us(w)] for e in (
+        F.col(f"__n_{w}").alias(f"{category}_Count_{n}"), F.coalesce(F.col(f"__distinct_{n}"), F.lit(0)).alias(f"{category}_Distinct_{n}"),
+        F.col(f"__mode_{n}.v").alias(f"{category}_Mode_{n}"), F.coalesce(F.col(f"__counts_{n}"), none).alias(f"{category}_Counts_{n}"))])
 
 
 def rolling_category_stats(df: DataFrame, key: str, category: str,
@@ -368,9 +415,12 @@ def rolling_category_stats(df: DataFrame, key: str, category: str,
                            cols: Columns = DEFAULT, hot_rows: int | None = None) -> DataFrame:
     """Rolling count, distinct count, mode (smallest on ties) and count per value of the key's ``category``.
 
-    One rolling sum per category value gives all four, so nothing is collected inside a frame.
+    One rolling sum per category value gives all four, so nothing is collected inside a frame. With more values than
+    ``MAX_CATEGORY_VALUES`` the counts per value are one map column ``<category>_Counts_<window>`` of the values present.
     """
-    values = category_values(df, category)
+    values = few_category_values(df, category)
+    if values is None:
+        return _many_category_stats(df, key, category, widths_us, cols, hot_rows)
     flagged = df.select("*", *[(F.col(category) == v).cast("long").alias(f"__is_{i}") for i, v in enumerate(values)])
     feats = [Rolling(f"__n_{w}", "count", w) for w in widths_us]
     feats += [Rolling(f"__n_{w}_{i}", "sum", w, f"__is_{i}") for w in widths_us for i in range(len(values))]

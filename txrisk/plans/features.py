@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,32 +36,25 @@ class FeatureOptions:
 
 @dataclass
 class FeatureState:
-    """What fitting learns: fraud rates per category and spline ranges."""
+    """What fitting learns: the table of fraud rates (column, category, rate), joined and never collected, and spline ranges."""
 
-    rates: dict[str, dict[str, float]] = field(default_factory=dict)
+    rates: DataFrame | None = None
     ranges: dict[str, list[float]] = field(default_factory=dict)
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self))
+        """Without the rates, which are stored as a table."""
+        return json.dumps({"ranges": self.ranges})
 
     @staticmethod
-    def from_json(text: str) -> "FeatureState":
-        return FeatureState(**json.loads(text))
-
-
-MAX_RATE_CATEGORIES = 100_000
+    def from_json(text: str, rates: DataFrame | None = None) -> "FeatureState":
+        return FeatureState(rates, json.loads(text)["ranges"])
 
 
 def fit_features(df: DataFrame, o: FeatureOptions = FeatureOptions(), cols: Columns = DEFAULT) -> FeatureState:
     """One aggregate for the rates of all category columns and one for the spline ranges."""
     from txrisk.operators.encoders import category_table
     t = category_table(df, list(o.rate_columns), cols.label)
-    rows = t.select("column", "category", (F.col("pos") / F.col("n")).alias("rate")).limit(MAX_RATE_CATEGORIES + 1).collect()
-    if len(rows) > MAX_RATE_CATEGORIES:
-        raise ValueError("too many categories for fraud-rate features; encode these columns instead")
-    rates: dict[str, dict[str, float]] = {c: {} for c in o.rate_columns}
-    for r in rows:
-        rates[r["column"]][r["category"]] = r["rate"]
+    rates = checkpoint(t.select("column", "category", (F.col("pos") / F.col("n")).alias("rate"))) if o.rate_columns else None
     ranges = {}
     if o.splines:
         ranges = {c: list(v) for c, v in R.spline_ranges(R.calendar_features(df, cols), list(o.spline_columns)).items()}
@@ -104,7 +97,6 @@ def add_key_block(df: DataFrame, key: str, o: FeatureOptions, cols: Columns, hot
 def build_features(df: DataFrame, state: FeatureState, o: FeatureOptions = FeatureOptions(), cols: Columns = DEFAULT,
                    hot_rows: int | None = None) -> DataFrame:
     """The feature table of ``df``; the label, if present, is carried along and never used."""
-    spark = df.sparkSession
     keys = [cols.account, cols.customer, *([cols.client] if o.use_client else [])]
     group_key = cols.client if o.use_client else cols.account
     # tables of statistics are computed from the narrow source, never from the growing feature table
@@ -116,7 +108,7 @@ def build_features(df: DataFrame, state: FeatureState, o: FeatureOptions = Featu
             out = A.daily_count(out, key, cols=cols, source=source)
     out = A.batch_features(out, cols, source)
     for c in o.rate_columns:
-        table = spark.createDataFrame(list(state.rates[c].items()), f"{c} string, {c}_FraudRate double")
+        table = state.rates.where(F.col("column") == c).select(F.col("category").alias(c), F.col("rate").alias(f"{c}_FraudRate"))
         out = A.lookup_with_fallback(out, table, c, source)
     if o.seasonal:
         out = S.seasonal_features(out, group_key, cols=cols, source=source)

@@ -218,6 +218,8 @@ class FittedWorkflow:
                 "features": self.kernel.features, "gamma": self.kernel.gamma, "degree": self.kernel.degree},
         }
         self.spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+        if self.state is not None and self.state.rates is not None:
+            self.state.rates.write.mode("overwrite").parquet(f"{path}/rates")
         if self.table is not None:
             self.table.write.mode("overwrite").parquet(f"{path}/encoder")
         self.model.write().overwrite().save(f"{path}/model")
@@ -243,7 +245,8 @@ class FittedWorkflow:
         tuples = lambda d: {k: tuple(v) if isinstance(v, list) else v for k, v in d.items()}
         options = WorkflowOptions(**{**tuples(o), "features": FeatureOptions(**tuples(o["features"]))})
         f = FittedWorkflow(options, Columns(**tuples(spec["cols"])), spark)
-        f.state = FeatureState.from_json(spec["state"]) if spec["state"] else None
+        if spec["state"]:
+            f.state = FeatureState.from_json(spec["state"], spark.read.parquet(f"{path}/rates") if options.features.rate_columns else None)
         for k in ("constant", "duplicate", "numeric", "ids", "cats", "prior", "values", "scaling", "projection", "inputs", "final"):
             setattr(f, k, spec[k])
         f.detectors = {k: O.detector_from_state(v) for k, v in spec["detectors"].items()}
