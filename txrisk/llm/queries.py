@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txrisk.llm.byte_bpe import CHUNK_BYTES, decoded, encode, read_ranks
+from txrisk.llm.conversation_repair import repair_conversations
 from txrisk.llm.cover_tree import near_vectors
 from txrisk.llm.exact_dedup import exact_dedup
 from txrisk.llm.language import fit_language_model, predict_language
 from txrisk.llm.license_scan import license_scan
 from txrisk.llm.mixing import mix
+from txrisk.llm.periodic_runs import periodic_runs, strongest
 from txrisk.llm.quality import fit_classifier, quality_scores
 from txrisk.llm.sharding import shard_by_bytes
 from txrisk.llm.simhash import simhash_groups
 from txrisk.llm.substring_dedup import remove_repeats
+from txrisk.llm.word_bpe import WordTokenizer, decode_words, encode_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +124,54 @@ def op9(spark, d):
 @query("op10_simhash")
 def op10(spark, d):
     return simhash_groups(documents(spark, d), radius=4)
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by a checksum of their ids, get a tail of words that repeats with a period; a row without an id stays as it is."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("__words")
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    planted = F.array_join(F.transform("__words", lambda w, i: F.when(i < a, w).otherwise(F.get("__words", a + F.pmod(i - a, p)))), " ")
+    docs = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("__words"))
+    return docs.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, d):
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    found = periodic_runs(with_repeats(documents(spark, d))).withColumn("__top", strongest("runs"))
+    top = F.col("__top")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"), top["period"].alias("period"),
+        F.expr("1000 * __top.length div __top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults, by a checksum of conversation and turn: rows lost, emptied, cut short, repeated or under the wrong role."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.pmod(F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")), F.lit(20))
+    role, text = filled("role"), filled("text")
+    rows = rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"),
+                       F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+                       F.array_repeat(F.lit(1), F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)).alias("__copies"))
+    return rows.withColumn("__copies", F.explode("__copies")).drop("__copies")
+
+
+@query("op12_conversation_repair")
+def op12(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    return repair_conversations(damaged(rows), every=rows)
+
+
+@query("op13_word_bpe")
+def op13(spark, d):
+    import public_tokenizers
+    tokenizer = WordTokenizer.read(public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.col("ids")
+    return decode_words(encode_words(documents(spark, d), tokenizer), tokenizer).select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
