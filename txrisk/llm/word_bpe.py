@@ -20,14 +20,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from txrisk.llm.byte_bpe import Numbers, _compress, _lists, _pack, _ragged, _texts, _unpack
+from txrisk.llm.byte_bpe import Numbers, _compress, _lists, _pack, _ragged, _unpack
 from txrisk.llm.common import text_of, total_bytes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 # A chunk asks about this many buckets times the root of the number of chunks: questions stay large and buckets bounded.
 BUCKETS = 8
 # A bucket forgets its words after so many; a forgotten one is encoded again.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 # Letters of these blocks have not changed in any version of Unicode that a library may follow.
 SETTLED = "ɏ"
 
@@ -108,12 +108,17 @@ class Splitter:
     def __init__(self, tokenizer: WordTokenizer):
         self.text = tokenizer.text
         self.special = re.compile("|".join(map(re.escape, sorted(tokenizer.special, key=len, reverse=True)))) if tokenizer.special else None
+        self.marks = {t[0].encode() for t in tokenizer.special}
         self.ascii = re.compile(tokenizer.pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
 
     def words(self, span: bytes) -> list[bytes]:
         """Words as bytes; a special token has the byte 0xFF before it, which no other word can hold."""
+        if span.isalpha():
+            return [span.lower()]
+        if span[-1] in b".,;:!?" and span[:-1].isalpha():
+            return [span[:-1].lower(), span[-1:]]
         text = span.decode()
-        if self.special is None or not self.special.search(text):
+        if not any(m in span for m in self.marks) or not self.special.search(text):
             return self._plain(text)
         out, at = [], 0
         for m in self.special.finditer(text):
@@ -124,42 +129,49 @@ class Splitter:
 
     def _plain(self, text: str) -> list[bytes]:
         if text.isascii():
-            low = text.lower()
-            return [low.encode()] if low.isalpha() else [w.encode() for w in self.ascii.findall(low)]
+            return [w.encode() for w in self.ascii.findall(text.lower())]
         # no letter of these blocks takes part in a composition unless a combining mark follows, and such a mark is beyond them
-        if max(text) <= SETTLED and text.isalpha() and (low := text.lower()).isalpha() and len(low) == len(text):
-            return [low.encode()]
+        if max(text) <= SETTLED:
+            stem, mark = (text[:-1], [text[-1].encode()]) if text[-1] in ".,;:!?" else (text, [])
+            if stem.isalpha() and (low := stem.lower()).isalpha() and len(low) == len(stem):
+                return [low.encode(), *mark]
         normal, split = _normalizer(self.text)
         return [w.encode() for w, _ in split(normal(text))]
 
 
-class ChunkWords:
-    """The words of a chunk's texts: distinct ones by number, and every text as numbers of spans."""
+class ChunkSpans:
+    """The texts of a chunk as numbers of its distinct spans, which are numbered in the order of their bytes, however the rows are ordered."""
 
-    def __init__(self, texts: pa.Array, splitter: Splitter):
-        spans, self.words, parts, offsets = Numbers(), Numbers(), [], [0]
+    def __init__(self, table: pa.Table):
+        unpack, spans = zstandard.ZstdDecompressor(), Numbers()
         number = spans.__getitem__
-        self.texts = [np.fromiter(map(number, t.split()), np.int32) for t in (x.as_py().encode() for x in texts)]
-        for span in spans:
-            parts += map(self.words.__getitem__, splitter.words(span))
-            offsets.append(len(parts))
-        self.parts, self.offsets = np.array(parts, np.int32), np.array(offsets, np.int64)
-
-    def by_bucket(self, buckets: int) -> tuple[list[bytes], list[np.ndarray]]:
-        """Distinct words, and the numbers of each bucket's words in the order of their bytes."""
-        named = list(self.words)
-        bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, named), np.uint64, len(named)) % np.uint64(buckets)
-        order = np.array(sorted(range(len(named)), key=named.__getitem__), np.int64)
-        order = order[np.argsort(bucket[order], kind="stable")]
-        return named, np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets, dtype=np.uint64)))
+        texts = [np.fromiter(map(number, unpack.decompress(t.as_py()).split()), np.int32) for t in table["text"]]
+        self.spans = sorted(spans)
+        place = np.empty(len(spans), np.int32)
+        place[np.fromiter(map(number, self.spans), np.int64, len(spans))] = np.arange(len(spans), dtype=np.int32)
+        self.texts = [place[t] for t in texts]
 
 
 def _ask(tokenizer, buckets: int):
     def run(keys: tuple, table: pa.Table) -> pa.Table:
-        named, own = ChunkWords(_texts(table), Splitter(tokenizer.value)).by_bucket(buckets)
-        asked = [b for b in range(buckets) if len(own[b])]
-        return pa.table({"chunk": pa.array([keys[0].as_py()] * len(asked), pa.int64()), "bucket": pa.array(asked, pa.int64()),
-                         "words": pa.array([_pack([named[i] for i in own[b].tolist()]) for b in asked], pa.binary())})
+        words, parts, lengths, split = Numbers(), [], [], Splitter(tokenizer.value).words
+        for span in ChunkSpans(table).spans:
+            own = split(span)
+            parts += map(words.__getitem__, own)
+            lengths.append(len(own))
+        named = list(words)
+        bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, named), np.uint64, len(named)) % np.uint64(buckets)
+        order = np.array(sorted(range(len(named)), key=named.__getitem__), np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        # the spans' words are named by the place of their answer
+        place = np.empty(len(named), np.uint32)
+        place[order] = np.arange(len(named), dtype=np.uint32)
+        # and pass through, under a bucket of their own below zero
+        spans = np.uint32(len(lengths)).tobytes() + np.array(lengths, np.uint32).tobytes() + place[np.array(parts, np.int64)].tobytes()
+        asked, starts = np.unique(bucket[order], return_index=True)
+        packed = [_pack([named[i] for i in own.tolist()]) for own in np.split(order, starts[1:])] if len(order) else []
+        return pa.table({"chunk": pa.array([keys[0].as_py()] * (len(packed) + 1), pa.int64()), "bucket": pa.array([*asked.tolist(), -1 - keys[0].as_py()], pa.int64()),
+                         "words": pa.array([*packed, zstandard.compress(spans, 3)], pa.binary())})
     return run
 
 
@@ -168,6 +180,9 @@ def _answer(tokenizer):
         own, known, bucket = tokenizer.value, {}, None
         for batch in batches:
             for chunk, at, blob in zip(batch["chunk"].to_pylist(), batch["bucket"].to_pylist(), batch["words"]):
+                if at < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([at], pa.int64()), pa.array([blob.as_py()], pa.binary())], names=["chunk", "bucket", "ids"])
+                    continue
                 if at != bucket or len(known) > REMEMBERED:
                     known, bucket = {}, at
                 found = []
@@ -182,25 +197,26 @@ def _answer(tokenizer):
     return run
 
 
-def _assemble(tokenizer, buckets: int):
-    def run(keys: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = ChunkWords(_texts(table), Splitter(tokenizer.value))
-        named, own = chunk.by_bucket(buckets)
-        lengths, values = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for _, blob in sorted(zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist())):
-            data = zstandard.decompress(blob)
-            n = int(np.frombuffer(data[:4], np.uint32)[0])
-            lengths.append(np.frombuffer(data[4:4 + 4 * n], np.uint32))
-            values.append(np.frombuffer(data[4 + 4 * n:], np.uint32))
-        # answers come in the order of the questions: back to the numbers of the words, then spans, then texts
-        place = np.empty(len(named), np.int64)
-        place[np.concatenate(own)] = np.arange(len(named))
-        ids, at = _ragged(np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)]), place)
-        per_span, ends = _ragged(ids, at, chunk.parts)
-        span_at = ends[chunk.offsets]
-        rows = [_ragged(per_span, span_at, t)[0] for t in chunk.texts]
-        return pa.table({"id": table["id"], "ids": _lists(np.concatenate(rows).astype(np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))})
-    return run
+def _numbers(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists and what is in them."""
+    data = zstandard.decompress(blob)
+    n = int(np.frombuffer(data[:4], np.uint32)[0])
+    return np.frombuffer(data[4:4 + 4 * n], np.uint32), np.frombuffer(data[4 + 4 * n:], np.uint32)
+
+
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def _assemble(keys: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    """The ids of every text: those of its spans, which are those of their words, which come in the order of the questions."""
+    blobs = sorted(zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist()))
+    n_parts, parts = _numbers(blobs[0][1])
+    found = [_numbers(b) for _, b in blobs[1:]] or [(np.zeros(0, np.uint32), np.zeros(0, np.uint32))]
+    ids, ends = _ragged(np.concatenate([v for _, v in found]), _ends(np.concatenate([n for n, _ in found])), parts)
+    at = ends[_ends(n_parts)]
+    rows = [_ragged(ids, at, t)[0] for t in ChunkSpans(table).texts]
+    return pa.table({"id": table["id"], "ids": _lists(np.concatenate(rows).astype(np.int32), _ends(np.array([len(r) for r in rows])))})
 
 
 def encode_words(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -219,7 +235,7 @@ def encode_words(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_i
     packed = rows.mapInArrow(_compress, "id long, chunk long, text binary")
     asked = packed.groupBy("chunk").applyInArrow(_ask(shared, buckets), "chunk long, bucket long, words binary")
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer(shared), "chunk long, bucket long, ids binary")
-    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(shared, buckets), "id long, ids array<int>")
+    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble, "id long, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
