@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, functions as F
 from txrisk.llm.byte_bpe import Numbers, _compress, _lists, _pack, _ragged, _unpack
 from txrisk.llm.common import text_of, total_bytes
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 10 << 20
 # A chunk asks about this many buckets times the root of the number of chunks: questions stay large and buckets bounded.
 BUCKETS = 8
 # A bucket forgets its words after so many; a forgotten one is encoded again.
 REMEMBERED = 1 << 18
+# Rows that are decoded together.
+DECODED = 256
 # Letters of these blocks have not changed in any version of Unicode that a library may follow.
 SETTLED = "ɏ"
 
@@ -96,9 +98,11 @@ def byte_letters() -> list[str]:
 def _normalizer(text: str) -> tuple[Callable[[str], str], Callable[[str], list]]:
     """The file's normalization and words pattern, as the library runs them."""
     from tokenizers import Regex, Tokenizer, pre_tokenizers
-    pattern = next(p["pattern"]["Regex"] for p in json.loads(text)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+    spec = json.loads(text)
+    pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
-    normal = Tokenizer.from_str(text).normalizer
+    # the vocabulary is not needed for it
+    normal = Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})).normalizer
     return normal.normalize_str, split.pre_tokenize_str
 
 
@@ -143,6 +147,7 @@ class ChunkSpans:
     """The texts of a chunk as numbers of its distinct spans, which are numbered in the order of their bytes, however the rows are ordered."""
 
     def __init__(self, table: pa.Table):
+        pa.default_memory_pool().release_unused()   # a worker keeps what its earlier chunks needed otherwise
         unpack, spans = zstandard.ZstdDecompressor(), Numbers()
         number = spans.__getitem__
         texts = [np.fromiter(map(number, unpack.decompress(t.as_py()).split()), np.int32) for t in table["text"]]
@@ -249,12 +254,13 @@ def decode_words(encoded: DataFrame, tokenizer: WordTokenizer, ids_col: str = "i
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(pieces.value, pa.string())
-        for batch in batches:
+        for batch in (whole.slice(i, DECODED) for whole in batches for i in range(0, len(whole), DECODED)):
             lists = batch[ids_col].cast(pa.large_list(pa.int32()))
             ids = lists.flatten()
             ids = pc.if_else(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(table))), ids, None)
             # a list with an id that has no piece has a null in it, which makes the whole text null
-            text = pc.binary_join(pa.LargeListArray.from_arrays(lists.offsets, table.take(ids)), " ")
+            ends = pc.subtract(lists.offsets, lists.offsets[0])
+            text = pc.binary_join(pa.LargeListArray.from_arrays(ends, table.take(ids)), " ")
             if lists.null_count:
                 text = pc.if_else(lists.is_valid(), text, None)
             yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], schema=batch.schema.append(pa.field(into, pa.string())))
