@@ -26,8 +26,6 @@ from txrisk.llm.common import text_of, total_bytes
 
 CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
-# The literal pair map is split into this many small maps, since a map is searched from its start.
-PAIR_MAPS = 32749
 WIDTH = 1 << 20
 # Longer words are merged in the task by the same rule: array folding copies the word once per merge.
 FOLD_BYTES = 128
@@ -152,30 +150,66 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _prime(n: int) -> int:
+    """The first prime from n on."""
+    while any(n % d == 0 for d in range(2, int(n ** 0.5) + 1)):
+        n += 1
+    return n
+
+
+def rank_slots(pairs: dict[int, int]) -> tuple[list[int], list[int], int]:
+    """A literal rank map without search: (shifts, slots, step). Key k lies in the slot (k % slots + shift * (k % step + 1)) % slots with the shift of k % shifts."""
+    n = _prime(max(7, len(pairs) * 4 // 3))
+    step, groups = _prime(n // 2), _prime(max(5, n // 5))
+    together: list[list[int]] = [[] for _ in range(groups)]
+    for k in pairs:
+        together[k % groups].append(k)
+    shifts, slots = [0] * groups, [-1] * n
+    for g in sorted(range(groups), key=lambda g: -len(together[g])):
+        own = together[g]
+        shift = next((d for d in range(n) if len(at := {(k % n + d * (k % step + 1)) % n for k in own}) == len(own) and all(slots[i] < 0 for i in at)), None)
+        if shift is None:
+            raise ValueError("no shift for a group of pairs")
+        shifts[g] = shift
+        for k in own:
+            slots[(k % n + shift * (k % step + 1)) % n] = k * WIDTH + pairs[k]
+    return shifts, slots, step
+
+
 def folded(symbols: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of a word from the ids of its bytes: the leftmost pair of the smallest rank merges until none is left."""
-    maps: list[dict[str, int]] = [{} for _ in range(PAIR_MAPS)]
-    for (a, b), r in pair_ranks(ranks).items():
-        maps[(a * WIDTH + b) % PAIR_MAPS][str(a * WIDTH + b)] = r
-    literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>").cast("array<map<bigint,int>>")
-
-    def rank(a: Column, b: Column) -> Column:
-        return _let(a.cast("long") * WIDTH + b, lambda k: F.try_element_at(F.get(literal, (k % PAIR_MAPS).cast("int")), k))
-
-    def merge(s: Column, r: Column, m: Column, k: Column) -> Column:
-        none = F.array().cast("array<int>")
-        left = F.when(k > 1, F.array(rank(F.get(s, k - 2), m))).otherwise(none)
-        right = F.when(k < F.size(r), F.array(rank(m, F.get(s, k + 1)))).otherwise(none)
-        return F.struct(F.concat(F.slice(s, 1, k - 1), F.array(m), F.slice(s, k + 2, F.size(s))).alias("s"),
-                        F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(r))).alias("r"))
-
-    def step(state: Column, _: Column) -> Column:
-        s, r = state["s"], state["r"]
-        return _let(F.array_min(r), lambda m: F.when(m.isNull(), state).otherwise(
-            _let(F.array_position(r, m).cast("int"), lambda k: merge(s, r, m, k))))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(symbols) - 1), lambda i: rank(F.get(symbols, i - 1), F.get(symbols, i)))
-    start = F.struct(symbols.alias("s"), pairs.alias("r"))
-    return F.when(F.size(symbols) < 2, symbols).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(symbols)), start, step, lambda state: state["s"]))
+    """Ids of a word from the ids of its bytes: the leftmost pair of the smallest rank merges until none is left.
+
+    The rank map is one literal, bound once and read by all lookups, since every plan that shows it costs the driver its length.
+    """
+    shifts, slots, step = rank_slots({a * WIDTH + b: r for (a, b), r in pair_ranks(ranks).items()})
+    starts = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
+    place = {ranks[bytes([b])]: b for b in range(256)}
+    size, groups = len(slots), len(shifts)
+    literal = F.from_json(F.lit(json.dumps({"shifts": shifts, "slots": slots, "starts": starts, "bytes": [place.get(i) for i in range(max(place) + 1)]}, separators=(",", ":"))),
+                          "struct<shifts:array<int>,slots:array<bigint>,starts:array<int>,bytes:array<int>>")
+    del shifts, slots, starts
+    none = F.array().cast("array<bigint>")
+
+    def word(table: Column) -> Column:
+        def rank(k: Column) -> Column:
+            slot = (k % size + F.get(table["shifts"], (k % groups).cast("int")) * (k % step + 1)) % size
+            return _let(F.get(table["slots"], slot.cast("int")), lambda e: F.when(F.shiftright(e, 20) == k, e.bitwiseAND(WIDTH - 1).cast("int")))
+
+        def merge(s: Column, r: Column, m: Column, k: Column) -> Column:
+            left = F.when(k > 1, F.array(F.get(s, k - 2).cast("bigint") * WIDTH + m)).otherwise(none)
+            right = F.when(k < F.size(r), F.array(m.cast("bigint") * WIDTH + F.get(s, k + 1))).otherwise(none)
+            return F.struct(F.concat(F.slice(s, 1, k - 1), F.array(m), F.slice(s, k + 2, F.size(s))).alias("s"),
+                            F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), F.transform(F.concat(left, right), rank), F.slice(r, k + 2, F.size(r))).alias("r"))
+
+        def step_(state: Column, _: Column) -> Column:
+            s, r = state["s"], state["r"]
+            return _let(F.array_min(r), lambda m: F.when(m.isNull(), state).otherwise(
+                _let(F.array_position(r, m).cast("int"), lambda k: merge(s, r, m, k))))
+        first = lambda i: F.get(table["starts"], F.get(table["bytes"], F.get(symbols, i - 1)) * 256 + F.get(table["bytes"], F.get(symbols, i)))
+        pairs = F.transform(F.sequence(F.lit(1), F.size(symbols) - 1), first)
+        start = F.struct(symbols.alias("s"), pairs.alias("r"))
+        return F.aggregate(F.sequence(F.lit(2), F.size(symbols)), start, step_, lambda state: state["s"])
+    return F.when(F.size(symbols) < 2, symbols).otherwise(_let(literal, word))
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
