@@ -117,3 +117,33 @@ def test_queries_return_every_row(spark, name):
     whole = whole.select(key).distinct() if name.startswith("op12_") else whole
     assert got.count() == whole.count() and got.select(key).exceptAll(whole.select(key)).isEmpty()
     assert not got.where(F.col(key).isNull()).count()
+
+
+CLASHING = """id key chunk bucket text_binary words ids decoded runs collapsed n_words n_runs start length period size source_size target taken mix_size mix_copies shard slot law
+n_tokens ids_sha256 keep keep_id kept group_size text_sha256 score labels base_labels fingerprint component_id node root lang_pred held_out __id __key __words __copies part block
+conv place codes hash vec n_links value rate host path name a b""".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, tmp_path_factory):
+    """The given tables with a column named like every column that a query returns or might use."""
+    folder = str(tmp_path_factory.mktemp("clash"))
+    for table in ("documents", "labels", "embeddings", "conversations", "benchmark", "pages"):
+        df = spark.read.parquet(f"{SF}/{table}.parquet")
+        df = df.limit(60) if table == "documents" else df
+        df.select("*", *[F.lit(i if i % 2 else f"x{i}").alias(c) for i, c in enumerate(CLASHING) if c not in df.columns]).write.parquet(f"{folder}/{table}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", [n for n in entry.queries() if re.match(r"op\d+_", n)])
+def test_clashing_columns(spark, clashing, tmp_path_factory, name):
+    plain = str(tmp_path_factory.mktemp("plain"))
+    for table in ("documents", "labels", "embeddings", "conversations"):
+        own = spark.read.parquet(f"{SF}/{table}.parquet").columns
+        spark.read.parquet(f"{clashing}/{table}.parquet").select(own).write.parquet(f"{plain}/{table}.parquet")
+    got = [sorted(map(str, entry.queries()[name](spark, d).collect())) for d in (clashing, plain)]
+    assert got[0] == got[1] and got[0]
+
+
+def test_pipeline_with_clashing_columns(spark, clashing):
+    assert corpus_pipeline.run(spark, clashing).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

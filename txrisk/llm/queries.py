@@ -54,10 +54,10 @@ def op2(spark, d):
 def op3(spark, d):
     docs = documents(spark, d)
     mixed, plan = mix(docs, F.array("source"))
-    quotas = F.broadcast(spark.createDataFrame(plan.sources, "source string, source_size long, target double"))   # one row per source
-    name = lambda c: F.coalesce(F.hex(c), F.lit("-"))
-    return mixed.join(quotas, name(mixed["source"]) == name(quotas["source"])).select(
-        "doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    quotas = spark.createDataFrame(plan.sources, "__q_source string, __q_size long, __q_target double")   # one row per source
+    mixed = mixed.select("doc_id", "source", "mix_size", (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return mixed.join(quotas, mixed["source"].eqNullSafe(quotas["__q_source"])).select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("__q_size").alias("source_size"), F.col("__q_target").alias("target"), "taken")
 
 
 def token_digests(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
