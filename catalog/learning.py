@@ -459,14 +459,14 @@ def _stream(spark, d):
     """The events table as a file stream with the columns the live features need."""
     e = spark.read.parquet(f"{d}/events.parquet")
     s = spark.readStream.schema(e.schema).parquet(f"{d}/event[s].parquet")
-    return s.select(F.concat(F.lit("A"), F.col("user_id").cast("string")).alias("AccountId"), F.col("ts").cast("timestamp").alias("TX_DATETIME"),
+    return s.select(F.col("event_id").alias("TRANSACTION_ID"), F.concat(F.lit("A"), F.col("user_id").cast("string")).alias("AccountId"), F.col("ts").cast("timestamp").alias("TX_DATETIME"),
                     F.when(F.col("event_type").isin("error", "signup"), -F.col("value")).otherwise(F.col("value")).alias("TX_AMOUNT"), F.col("value").alias("Value"))
 
 
-def _drain(spark, result):
+def _drain(spark, result, closed_only=False):
     from txrisk.streaming.velocity import run_available
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    run_available(result, f"{root}/out", f"{root}/state")
+    run_available(result, f"{root}/out", f"{root}/state", closed_only)
     return spark.read.schema(result.schema).parquet(f"{root}/out")
 
 
@@ -479,6 +479,21 @@ def _(spark, d):
     return rounded(_drain(spark, streaming_velocity(_stream(spark, d), "AccountId")))
 
 
+_LIVE = [(f"AccountId_Count_{n}", "count(*)", f"INTERVAL {w}") for n, w in (("6h", "6 HOURS"), ("1d", "1 DAY"), ("3d", "3 DAYS"), ("7d", "7 DAYS"))]
+_LIVE += [(f"AccountId_Mean_{n}d", "avg(TX_AMOUNT)", f"INTERVAL {n} DAYS") for n in (1, 7, 30)]
+_LIVE_SQL = ", ".join(f"""{s6(f"{fn} OVER (PARTITION BY AccountId ORDER BY TX_DATETIME RANGE BETWEEN {w} - INTERVAL 1 MICROSECOND PRECEDING AND CURRENT ROW)") if fn != "count(*)"
+    else f"{fn} OVER (PARTITION BY AccountId ORDER BY TX_DATETIME RANGE BETWEEN {w} - INTERVAL 1 MICROSECOND PRECEDING AND CURRENT ROW)"} AS {name}""" for name, fn, w in _LIVE)
+
+
+# Rows after the last watermark, an hour before the latest row, are not closed yet.
+@query("streaming_exact_velocity", f"""WITH {TX}, r AS (SELECT AccountId, CAST(TRANSACTION_ID AS VARCHAR) AS TRANSACTION_ID, us, {_LIVE_SQL} FROM tx)
+ SELECT * FROM r WHERE us // 1000 <= (SELECT max(us) // 1000 - 3600000 FROM tx)""")
+def _(spark, d):
+    from txrisk.streaming.velocity import streaming_exact_velocity
+    tx(spark, d)
+    return rounded(_drain(spark, streaming_exact_velocity(_stream(spark, d), "AccountId"), closed_only=True))
+
+
 @query("streaming_sessions", f"""WITH {TX}, g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY AccountId ORDER BY us), 99999999999999) > 43200000000 AS st FROM tx),
  s AS (SELECT *, sum(CAST(st AS INT)) OVER (PARTITION BY AccountId ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM g)
  SELECT AccountId, min(us) AS start_us, count(*) AS n_tx, {s6('sum(TX_AMOUNT)')} AS amount, {s6('sum(Value)')} AS value, {s6('(max(us) - min(us)) / 60000000.0')} AS minutes
