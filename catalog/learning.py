@@ -357,6 +357,32 @@ def _(spark, d):
     return rounded(M.calibrate(s)(s).select(ID, "calibrated"))
 
 
+_BOOST = dict(bins=8, l1=0.5, l2=2.0, min_child=0.5, positive_weight=10.0)
+
+
+# Gains of all splits of the first node: quantile bins, gradient and hessian sums, running sums over the bins.
+@query("booster_root_gains", f"""WITH {TX}, v AS (SELECT TX_FRAUD AS y, unnest(['Hour', 'TX_AMOUNT', 'Value']) AS feature, unnest([CAST(hour(TX_DATETIME) AS DOUBLE), TX_AMOUNT, Value]) AS v FROM tx),
+ e AS (SELECT feature, unnest(list_distinct(quantile_cont(v, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]))) AS edge FROM v GROUP BY 1),
+ q AS (SELECT 1 / (1 + exp(-ln(10.0 * sum(TX_FRAUD) / sum(1 - TX_FRAUD)))) AS q FROM tx),
+ b AS (SELECT feature, y, (SELECT count(*) FROM e WHERE e.feature = v.feature AND edge < v.v) AS bin FROM v),
+ c AS (SELECT feature, bin, count(*) AS n, sum((CASE WHEN y = 1 THEN 10.0 ELSE 1.0 END) * (q - y)) AS g, sum((CASE WHEN y = 1 THEN 10.0 ELSE 1.0 END) * q * (1 - q)) AS h FROM b, q GROUP BY 1, 2),
+ s AS (SELECT feature, bin, sum(n) OVER u AS nl, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(n) OVER p AS n, sum(g) OVER p AS g, sum(h) OVER p AS h FROM c
+       WINDOW p AS (PARTITION BY feature), u AS (PARTITION BY feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+ t AS (SELECT feature, bin, h, hl, nl, n, pow(greatest(abs(gl) - 0.5, 0), 2) / (hl + 2) + pow(greatest(abs(g - gl) - 0.5, 0), 2) / (h - hl + 2) - pow(greatest(abs(g) - 0.5, 0), 2) / (h + 2) AS d FROM s)
+ SELECT feature, CAST(bin AS INT) AS bin, {s6('d / 2')} AS gain FROM t WHERE nl < n AND hl >= 0.5 AND h - hl >= 0.5""")
+def _(spark, d):
+    from txrisk.operators.boosting import Boosting, root_gains
+    return rounded(root_gains(cal(spark, d), ["Hour", "TX_AMOUNT", "Value"], Boosting(**_BOOST)))
+
+
+@query("classifier_histogram_boosting")
+def _(spark, d):
+    from txrisk.operators.boosting import Boosting, fit_booster
+    x = cal(spark, d)
+    model = fit_booster(x, ["Hour", "DayOfWeek", "TX_AMOUNT", "Value"], Boosting(n_trees=6, rows=0.8, columns=0.75, **_BOOST))
+    return rounded(model.best_stage(x).transform(x).select(ID, "predictions"))
+
+
 @query("best_boosting_stage")
 def _(spark, d):
     x = _model_table(spark, d)

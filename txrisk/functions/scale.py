@@ -6,6 +6,7 @@ import os
 import tempfile
 from dataclasses import dataclass
 from functools import reduce
+from math import isfinite
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
@@ -116,7 +117,8 @@ def _buckets(df: DataFrame, cols: list[str], n: int | None) -> DataFrame:
     probs = [i / n for i in range(1, n)]
     # the sketch keeps a bounded summary per column; only n boundaries reach the driver
     bounds = df.approxQuantile(cols, probs, 1.0 / (4 * n))
-    splits = [[float("-inf"), *sorted(set(float(x) for x in b)), float("inf")] for b in bounds]
+    # a column without finite values still has two buckets
+    splits = [[float("-inf"), *(sorted({float(x) for x in b if isfinite(x)}) or [0.0]), float("inf")] for b in bounds]
     outs = [f"__b_{c}" for c in cols]
     return Bucketizer(inputCols=cols, outputCols=outs, splitsArray=splits).setHandleInvalid("keep").transform(df)
 
