@@ -185,6 +185,13 @@ query("correlated_selection", """WITH p AS (SELECT abs(corr(l_quantity, l_extend
  SELECT unnest(CASE WHEN r > 0.8 THEN [CASE WHEN ve > vq THEN 'l_extendedprice' ELSE 'l_quantity' END, 'l_discount', 'l_tax']
  ELSE ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'] END) AS feature FROM p""")(
     lambda spark, d: _names(spark, S.smart_correlated_selection(table(spark, d, "lineitem"), LINE)))
+# Amount and its ninth power rank alike, though their correlation by value is low: by rank they are one group, of which the power varies more.
+_powers = [("TX_AMOUNT", "TX_AMOUNT"), ("Power", "pow(TX_AMOUNT, 9)"), ("Hour", "CAST(hour(TX_DATETIME) AS DOUBLE)")]
+query("correlated_selection_spearman", f"""WITH {TX}, c AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _powers)} FROM tx),
+ k AS (SELECT {", ".join(f"rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS {n}" for n, _ in _powers)} FROM c),
+ r AS (SELECT abs(corr(TX_AMOUNT, Power)) AS tc, abs(corr(TX_AMOUNT, Hour)) AS th, abs(corr(Power, Hour)) AS ch FROM k)
+ SELECT unnest(CASE WHEN th > 0.8 OR ch > 0.8 THEN NULL WHEN tc > 0.8 THEN ['Power', 'Hour'] ELSE ['TX_AMOUNT', 'Power', 'Hour'] END) AS feature FROM r""")(
+    lambda spark, d: _names(spark, S.smart_correlated_selection(cal(spark, d).withColumn("Power", F.pow("TX_AMOUNT", F.lit(9))), [n for n, _ in _powers], method="spearman")))
 query("group_lasso_selection")(lambda spark, d: _names(spark, S.group_lasso_selection(
     cal(spark, d), ["TX_AMOUNT", "Value", "Hour"], ["ProductCategory", "ChannelId"], "TX_FRAUD", 1e-4)))
 

@@ -150,12 +150,23 @@ def select_k_best(df: DataFrame, features: list[str], label: str, k: int, score:
 
 # ------------------------------------------------------------------ correlation and lasso
 
-def correlated_groups(df: DataFrame, features: list[str], threshold: float = 0.8) -> list[list[str]]:
-    """Greedy groups: a feature collects the later, still free ones it correlates with."""
-    _, cov, _ = moments(df, features)
-    sd = np.sqrt(np.diag(cov))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        corr = np.nan_to_num(np.abs(cov / np.outer(sd, sd)))
+def _absolute_correlation(df: DataFrame, features: list[str], method: str) -> np.ndarray:
+    """p x p; a pair without a correlation has 0."""
+    if method == "pearson":
+        _, cov, _ = moments(df, features)
+        sd = np.sqrt(np.diag(cov))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.nan_to_num(np.abs(cov / np.outer(sd, sd)))
+    from txrisk.operators.aggregates import correlation_matrix
+    at, corr = {c: i for i, c in enumerate(features)}, np.eye(len(features))
+    for r in correlation_matrix(df, features, method).collect() if len(features) > 1 else ():
+        corr[at[r["x"]], at[r["y"]]] = corr[at[r["y"]], at[r["x"]]] = abs(r["corr"])
+    return np.nan_to_num(corr)
+
+
+def correlated_groups(df: DataFrame, features: list[str], threshold: float = 0.8, method: str = "pearson") -> list[list[str]]:
+    """Greedy groups: a feature collects the later, still free ones it correlates with by value (pearson) or by rank (spearman)."""
+    corr = _absolute_correlation(df, features, method)
     free, groups = list(range(len(features))), []
     while free:
         i = free.pop(0)
@@ -165,11 +176,11 @@ def correlated_groups(df: DataFrame, features: list[str], threshold: float = 0.8
     return groups
 
 
-def smart_correlated_selection(df: DataFrame, features: list[str], threshold: float = 0.8) -> list[str]:
+def smart_correlated_selection(df: DataFrame, features: list[str], threshold: float = 0.8, method: str = "pearson") -> list[str]:
     """Of every correlated group the feature with the highest variance, in input order."""
     _, cov, _ = moments(df, features)
     var = dict(zip(features, np.diag(cov)))
-    chosen = {max(g, key=lambda c: (var[c], -features.index(c))) for g in correlated_groups(df, features, threshold)}
+    chosen = {max(g, key=lambda c: (var[c], -features.index(c))) for g in correlated_groups(df, features, threshold, method)}
     return [c for c in features if c in chosen]
 
 
