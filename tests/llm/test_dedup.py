@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from txrisk.llm import exact_dedup as E, simhash as S
@@ -139,6 +140,20 @@ def test_substring(docs, rows, none, window):
         remove_repeats(docs, window=3)
 
 
+@pytest.mark.parametrize("hot", [77, None])
+def test_substring_of_a_hot_id_spreads(spark, hot, monkeypatch):
+    from txrisk.llm import substring_dedup as S
+    seen = []
+    monkeypatch.setattr(S, "chunk_of", lambda *a, keep=S.chunk_of: seen.append(keep(*a)) or seen[-1])
+    shared = " ".join(f"s{i}" for i in range(20))
+    made = [(hot if i % 3 == 0 else i, f"{shared if i % 5 == 0 else ''} " + " ".join(f"w{i}_{j}" for j in range(15))) for i in range(300)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = [tuple(r) for r in remove_repeats(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_removal(df.collect())))
+    spread = df.select(df.doc_id.alias("id"), df.text.cast("binary").alias("text")).where(F.col("id").eqNullSafe(F.lit(hot))).select(seen[0].alias("c"))
+    assert spread.distinct().count() > 8
+
+
 @pytest.mark.parametrize("block", [16, 4096])
 def test_embeddings(spark, block):
     rng = np.random.default_rng(6)

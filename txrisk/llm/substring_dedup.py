@@ -4,7 +4,7 @@ Word positions of a document that fall into a difference cover modulo a period a
 period at which both positions are cover positions, so equal windows always share an anchor of ``window - period + 1`` words. Anchors that occur in two
 documents are found first, from short hashes; only windows around such anchors are hashed whole, and the smallest document of each is found.
 
-Documents lie in chunks (a hash of the id), shuffled once and read three times: anchors, windows, removal. What chunks exchange are hash lists packed by bucket,
+Documents lie in chunks (a hash of id and text, so that many rows of one id or of none spread), shuffled once and read three times: anchors, windows, removal. What chunks exchange are hash lists packed by bucket,
 without repeats, so that a passage of very many copies counts once per chunk.
 """
 
@@ -16,7 +16,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from txrisk.llm.common import text_of, total_bytes
 
@@ -199,6 +199,10 @@ def _remove(window: int, with_text: bool):
     return run
 
 
+def chunk_of(chunks: int) -> Column:
+    return F.pmod(F.xxhash64("id", "text"), F.lit(chunks))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept]): words covered by a window that also starts in a document of a smaller id are gone.
 
@@ -210,7 +214,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = total_bytes(docs, text_col)
     chunks, buckets = max(16, -(-size // CHUNK_BYTES)), max(16, -(-size // BUCKET_BYTES))
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).cast("binary").alias("text"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    rows = rows.withColumn("chunk", chunk_of(chunks))
     by_chunk = lambda: rows.groupBy("chunk")  # noqa: E731  the same exchange each time, run once
     anchors = by_chunk().applyInArrow(_emit_anchors(buckets, window), "chunk long, bucket long, keys binary, several binary")
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, "chunk long, bucket long, keys binary")
