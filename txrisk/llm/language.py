@@ -15,8 +15,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Documented bounds of the sample that the fit may see: rows, and n-grams drawn per row and step.
+# Documented bounds of the sample that the fit may see: rows, n-grams per row (drawn by hash from the whole text), n-grams per row and step.
 SAMPLE_ROWS = 4000
+ROW_GRAMS = 8192
 STEP_GRAMS = 256
 BUCKETS = 1 << 16
 SIZE = 16
@@ -47,6 +48,22 @@ def stretches(text: str) -> Iterator[np.ndarray]:
         yield _FOLD[data[max(0, at - max(GRAMS) + 1):at + BLOCK]]
 
 
+def drawn_grams(text: str, most: int = ROW_GRAMS) -> np.ndarray:
+    """Buckets of the text's n-grams in their order; of more than ``most``, those with the smallest hashes of their number. Memory is bounded by a block."""
+    kept, at, n = np.zeros(0, np.uint16), np.zeros(0, np.uint64), 0
+    for data in stretches(text):
+        for buckets in _gram_buckets(data):
+            kept = np.concatenate([kept, buckets.astype(np.uint16)])
+            at = np.concatenate([at, np.arange(n, n + len(buckets), dtype=np.uint64)])
+            n += len(buckets)
+            if len(kept) > most:
+                draw = (at + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                draw = (draw ^ (draw >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                stay = np.sort(np.argpartition(draw, most)[:most])
+                kept, at = kept[stay], at[stay]
+    return kept
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
@@ -77,14 +94,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5, batch: int = 32, steps: int = 500, seed: int = 7, accept: float = 0.995) -> LanguageModel:
-    """Fit on four of five texts, calibrate on the fifth; few texts get more epochs, up to ``steps``. Texts come in a fixed order, so that equal samples give equal models."""
+def train(grams: list[np.ndarray], langs: list[str], epochs: int = 6, rate: float = 0.5, batch: int = 32, steps: int = 500, seed: int = 7, accept: float = 0.995) -> LanguageModel:
+    """Fit on the n-gram buckets of four of five texts, calibrate on the fifth; few texts get more epochs, up to ``steps``. They come in a fixed order, so that equal samples give equal models."""
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
-    grams = [np.concatenate([b.astype(np.int32) for d in stretches(t) for b in _gram_buckets(d)] or [np.zeros(0, np.int32)]) for t in texts]
     usable = np.flatnonzero([len(g) > 0 for g in grams])
     fold = rng.permutation(usable)
     held, own = (fold[::5], np.setdiff1d(fold, fold[::5])) if len(fold) >= 10 else (fold, fold)
@@ -100,7 +116,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5
             rows = order[s:s + batch]
             lr = rate * (1 - at / steps)
             at += 1
-            idx = np.stack([rng.choice(grams[r], STEP_GRAMS) for r in rows])
+            idx = np.stack([rng.choice(grams[r], STEP_GRAMS) for r in rows]).astype(np.int32)
             mean = emb[idx].mean(axis=1)
             gap = _softmax(mean @ weights + bias)
             gap[np.arange(len(rows)), y[rows]] -= 1
@@ -111,7 +127,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5
             np.subtract.at(emb, idx.ravel(), np.repeat(back, STEP_GRAMS, axis=0))
     model = LanguageModel(names, (emb @ weights).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if len(held):
-        z = np.stack([model.logits(texts[i]) for i in held])
+        z = np.stack([model.scores[grams[i]].mean(axis=0, dtype=np.float64) + model.bias for i in held])
         loss = [(-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-300)).mean(), t) for t in np.geomspace(0.05, 20, 60)]
         model.temperature = float(min(loss)[1])
         p = _softmax(z / model.temperature)
@@ -131,7 +147,10 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> list:
-    """At most ``rows`` labelled rows that are not held out, about as many of every language, chosen by hash of the id."""
+    """(id, lang, grams) of at most ``rows`` labelled rows that are not held out, about as many of every language, chosen by hash of the id.
+
+    The tasks draw at most ``ROW_GRAMS`` n-grams of a text, two bytes each, so the driver holds a bounded number of bytes whatever the texts.
+    """
     own = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~F.coalesce(held_out(docs[id_col]), F.lit(False)))
     own = own.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
@@ -140,13 +159,19 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     share = max(1, rows // len(counts))
     table = own.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counts], "lang string, rate double")
     unit = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = own.join(F.broadcast(table), "lang").where(unit < F.col("rate"))
-    return drawn.orderBy(F.xxhash64("id", F.lit("language")), "id").limit(rows).orderBy("id", "lang", "text").collect()
+    drawn = own.join(F.broadcast(table), "lang").where(unit < F.col("rate")).select("id", "lang", F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = pa.array([drawn_grams(t.as_py()).tobytes() for t in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["lang"], grams], names=["id", "lang", "grams"])
+    small = drawn.mapInArrow(run, f"id {dict(drawn.dtypes)['id']}, lang {dict(drawn.dtypes)['lang']}, grams binary")
+    return small.orderBy(F.xxhash64("id", F.lit("language")), "id", "lang", "grams").limit(rows).orderBy("id", "lang", "grams").collect()
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel:
     sample = training_sample(docs, id_col, text_col, lang_col, rows)
-    return train([r.text for r in sample], [r.lang for r in sample])
+    return train([np.frombuffer(r.grams, np.uint16) for r in sample], [r.lang for r in sample])
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
