@@ -207,6 +207,55 @@ def test_language_of_held_out_documents(spark):
     assert np.array_equal(model.scores, again.scores) and model.temperature == again.temperature
 
 
+def plain_prediction(model, text):
+    """Language and score of a text, n-gram by n-gram in plain Python."""
+    if text is None or not regex.search(r"\p{L}", text):
+        return "und", 0.0
+    data = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()]
+    total, n = [0.0] * len(model.langs), 0
+    for width in (1, 2, 3, 4):
+        for i in range(len(data) - width + 1):
+            code = width
+            for c in data[i:i + width]:
+                code = (code * 0x01000193) % 2 ** 32 ^ c
+            row = model.scores[(code * 0x9E3779B1) % 2 ** 32 >> 16]
+            total, n = [t + float(v) for t, v in zip(total, row)], n + 1
+    z = [(t / n + b) / model.temperature for t, b in zip(total, model.bias)]
+    top = max(z)
+    p = [np.exp(v - top) for v in z]
+    return model.langs[int(np.argmax(z))], max(p) / sum(p)
+
+
+def test_language_equals_a_plain_computation(spark):
+    docs = spark.read.parquet(f"{SF_LABELLED}/documents.parquet")
+    model = L.fit_language_model(docs)
+    got = L.predict_language(docs.where("doc_id % 10 = 3"), model).join(docs, "doc_id").collect()
+    assert len(got) > 20
+    for r in got:
+        lang, score = plain_prediction(model, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-6
+
+
+def test_language_sample_is_bounded_in_bytes(spark, monkeypatch):
+    text = "Grüße an alle 世界 " * 5000
+    whole = L.drawn_grams(text, 1 << 30)
+    some = L.drawn_grams(text)
+    assert len(whole) > len(some) == L.ROW_GRAMS and set(some.tolist()) <= set(whole.tolist())
+    monkeypatch.setattr(L, "BLOCK", 1000)
+    assert len(L.drawn_grams(text)) == L.ROW_GRAMS
+    assert L.drawn_grams("").size == 0
+    docs = spark.createDataFrame([(1, "very long text " * 20000, "en"), (3, "kurz", "de"), (5, "", "de")] * 20, "doc_id long, text string, lang string")
+    sample = L.training_sample(docs, "doc_id", "text", "lang", 10)
+    assert 0 < len(sample) <= 10 and all(len(r.grams) <= 2 * L.ROW_GRAMS for r in sample)
+
+
+def test_labelled_ids_that_repeat_stay_within_the_sample(spark):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = [Q.training_rows(d, labels, "doc_id", "text", "quality", 50) for d in (docs, docs.repartition(5))]
+    assert len(got[0]) == 50 and got[0] == got[1]
+
+
 def test_language_edges(spark, docs, rows, none):
     model = L.LanguageModel(["en", "xx"], np.random.default_rng(0).normal(size=(L.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.6)
     got = L.predict_language(docs, model).collect()

@@ -96,11 +96,17 @@ def text_features(docs: DataFrame, text_col: str, carry: dict[str, Column]) -> D
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Classifier:
     """Fit on at most ``rows`` labelled documents, the first by hash of the id."""
+    sample = training_rows(docs, labels, id_col, text_col, label_col, rows)
+    return fit_logistic(np.array([r.features for r in sample]).reshape(-1, N_FEATURES), np.array([r.y for r in sample]))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> list:
+    """(id, y, features) of at most ``rows`` rows, also where many rows repeat a labelled id; only features reach the driver."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("double").alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
     own = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("text")).join(F.broadcast(known), "__id")   # at most ``rows`` narrow rows
-    sample = text_features(own, "text", {"id": own["__id"].cast("string"), "y": own["__y"]}).orderBy("id", "y", "features").collect()
-    return fit_logistic(np.array([r.features for r in sample]).reshape(-1, N_FEATURES), np.array([r.y for r in sample]))
+    sample = text_features(own, "text", {"id": own["__id"].cast("string"), "y": own["__y"]})
+    return sample.orderBy(F.xxhash64("id"), "id", "y", "features").limit(rows).orderBy("id", "y", "features").collect()
 
 
 def _strength(groups: DataFrame, centre: Column) -> float:
