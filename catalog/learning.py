@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from catalog.base import CAL, SCORED, TX, cal, query, rounded, s6, scored, table, tx, txd, u32, unit
 from txrisk.functions.scale import attach, hash_unit, keep, shared_folder
-from txrisk.operators import encoders as E, impute as I, metrics as V, models as M, outliers as O, resample as X, selection as S
+from txrisk.operators import encoders as E, impute as I, metrics as V, models as M, outliers as O, resample as X, selection as S, sparse as Z
 from txrisk.functions.rows import calendar_features
 from txrisk.operators.aggregates import client_profile
 from txrisk.schema import DAY_US, DEFAULT
@@ -102,6 +103,53 @@ query("similarity_encoder_strings")(lambda spark, d: (lambda x: encoded(
 query("one_hot", f"""WITH {TX} SELECT TRANSACTION_ID, """ + ", ".join(f"CAST(ProductCategory = '{v}' AS INT) AS ProductCategory_{v}" for v in VALUES)
       + " FROM tx")(lambda spark, d: (lambda x: encoded(E.one_hot(x, ["ProductCategory"]), [f"ProductCategory_{v}" for v in VALUES]))(tx(spark, d)))
 
+# ------------------------------------------------------------------ sparse vectors over a dictionary of values
+
+DICT = TX + """, dict AS (SELECT c AS "column", v AS category, row_number() OVER (PARTITION BY c ORDER BY substr(md5(v), 1, 3), v) - 1 AS number
+ FROM (SELECT DISTINCT c, v FROM (""" + " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v FROM tx" for c in CATS) + ") WHERE v IS NOT NULL))"
+
+
+def _spread(df, keys, vector, **more):
+    """Entries of a vector column as rows."""
+    return df.select(*keys, *[F.lit(v).alias(k) for k, v in more.items()], F.explode(Z.entries(vector)).alias("x")).select(*keys, *more, F.col("x.number").cast("long").alias("number"), F.col("x.value").alias("value"))
+
+
+query("category_dictionary", f"WITH {DICT} SELECT * FROM dict")(lambda spark, d: Z.category_dictionary(tx(spark, d), CATS).table)
+
+
+@query("one_hot_vectors", f"WITH {DICT} " + " UNION ALL ".join(
+    f"SELECT TRANSACTION_ID, '{c}' AS name, number, 1.0::DOUBLE AS value FROM tx JOIN dict ON \"column\" = '{c}' AND category = {c}" for c in CATS))
+def _(spark, d):
+    x = tx(spark, d)
+    out = Z.one_hot_vectors(x, CATS, Z.category_dictionary(x, CATS))
+    return reduce(lambda a, b: a.unionByName(b), [_spread(out, [ID], f"{c}_OneHot", name=c) for c in CATS])
+
+
+@query("client_count_vectors", f"WITH {DICT} " + " UNION ALL ".join(
+    f"SELECT CustomerUID, '{c}' AS name, number, count(*)::DOUBLE AS value FROM tx JOIN dict ON \"column\" = '{c}' AND category = {c} GROUP BY ALL" for c in CATS))
+def _(spark, d):
+    x = tx(spark, d)
+    out = Z.client_count_vectors(x, "CustomerUID", CATS, Z.category_dictionary(x, CATS))
+    return reduce(lambda a, b: a.unionByName(b), [_spread(out, ["CustomerUID"], f"{c}_perClient", name=c) for c in CATS])
+
+
+@query("rolling_category_vectors", f"WITH {DICT} " + " UNION ALL ".join(
+    f"""SELECT a.TRANSACTION_ID, '{n}d' AS name, number, count(*)::DOUBLE AS value FROM tx a JOIN tx b ON a.AccountId = b.AccountId AND b.us > a.us - {n * DAY_US} AND b.us <= a.us
+ JOIN dict ON "column" = 'BatchId' AND category = b.BatchId GROUP BY ALL""" for n in (1, 7)))
+def _(spark, d):
+    x = tx(spark, d)
+    out = Z.rolling_category_vectors(x, "AccountId", "BatchId", Z.category_dictionary(x, ["BatchId"]), (DAY_US, 7 * DAY_US))
+    return reduce(lambda a, b: a.unionByName(b), [_spread(out, [ID], f"BatchId_Counts_{n}d", name=f"{n}d") for n in (1, 7)])
+
+
+@query("similarity_vectors", f"""WITH {DICT}, v AS (SELECT 'PR' || (vec_id - 2) AS c, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ pairs AS (SELECT a.c AS category, b.c AS other, list_cosine_similarity(a.e, b.e) AS s FROM v a, v b WHERE b.c IN (SELECT ProductId FROM tx) AND a.c IN (SELECT ProductId FROM tx))
+ SELECT TRANSACTION_ID, number, {s6('s')} AS value FROM tx JOIN pairs ON category = ProductId JOIN dict ON "column" = 'ProductId' AND dict.category = other WHERE s > 0.1""")
+def _(spark, d):
+    x = tx(spark, d)
+    v = table(spark, d, "embeddings").select(F.concat(F.lit("PR"), (F.col("vec_id") - 2).cast("string")).alias("category"), F.col("embedding").alias("vector"))
+    return rounded(_spread(Z.similarity_vectors(x, "ProductId", Z.category_dictionary(x, CATS), v, 0.1), [ID], "ProductId_Similarity"))
+
 # ------------------------------------------------------------------ scalers and interactions
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

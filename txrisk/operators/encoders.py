@@ -213,8 +213,11 @@ def string_ratio(a: Column, b: Column) -> Column:
     return F.udf(ratio, "double")(a, b)
 
 
-def similarity_table(df: DataFrame, name: str, vectors: DataFrame | None = None) -> DataFrame:
-    """(category, other, v): similarity of every known category to every fitted one, joined block by block."""
+def similarity_table(df: DataFrame, name: str, vectors: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """(category, other, v): similarity of every known category to every fitted one, joined block by block.
+
+    With ``least`` string pairs whose lengths bound the ratio by it are left out before they are compared.
+    """
     cats = df.select(F.col(name).cast("string").alias("category")).where("category IS NOT NULL").distinct()
     if vectors is None:
         known = fitted = cats.withColumn("vector", F.lit(None).cast("array<double>"))
@@ -226,7 +229,11 @@ def similarity_table(df: DataFrame, name: str, vectors: DataFrame | None = None)
     left = known.select("category", "vector", block.alias("i"), every.alias("j"))
     right = fitted.select(F.col("category").alias("other"), F.col("vector").alias("w"), every.alias("i"), block.alias("j"))
     value = string_ratio(F.col("category"), F.col("other")) if vectors is None else F.coalesce(cosine(F.col("vector"), F.col("w")), F.lit(0.0))
-    return left.join(right, ["i", "j"]).select("category", "other", value.alias("v"))
+    pairs = left.join(right, ["i", "j"])
+    if vectors is None and least is not None:
+        a, b = F.length("category"), F.length("other")
+        pairs = pairs.where((a + b == 0) | (2.0 * F.least(a, b) > least * (a + b)))
+    return pairs.select("category", "other", value.alias("v"))
 
 
 def similarity_encoder(df: DataFrame, name: str, vectors: DataFrame | None = None) -> TableEncoder:
