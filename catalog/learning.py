@@ -382,6 +382,8 @@ def _late(make):
 for _n, _make in {
     "logistic": lambda: M.logistic(maxIter=30), "linear_svm": lambda: M.linear_svm(maxIter=20),
     "sgd_elasticnet": lambda: M.sgd_linear(penalty="elasticnet", maxIter=30), "perceptron": lambda: M.perceptron(5, (8,), maxIter=30),
+    "sgd_hinge_l1": lambda: M.sgd_linear(loss="hinge", penalty="l1", alpha=0.01, max_iter=60),
+    "sgd_hinge_elasticnet": lambda: M.sgd_linear(loss="hinge", penalty="elasticnet", alpha=0.01, max_iter=60),
     "decision_tree": lambda: M.decision_tree(), "random_forest": lambda: M.random_forest(numTrees=20), "gradient_boosting": lambda: M.gradient_boosting(maxIter=10),
     "undersampled_bags": lambda: M.UndersampledBags(M.decision_tree(maxDepth=4), 4), "boosted_rounds": lambda: M.BoostedRounds(M.decision_tree(maxDepth=2), 4),
     "boosted_undersampled_rounds": lambda: M.BoostedRounds(M.decision_tree(maxDepth=2), 4, ratio=0.5),

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from txrisk.functions.scale import checkpoint, cpu_threads, hash_unit, keep
 from txrisk.operators.encoders import count_encoder, standard_scaler
+from txrisk.operators.linear import ProximalHinge
 from txrisk.operators.metrics import best_f1_threshold
 from txrisk.operators.splits import class_sizes, random_undersample
 from txrisk.schema import DEFAULT, Columns
@@ -61,12 +62,10 @@ def linear_svm(cols: Columns = DEFAULT, **p) -> LinearSVC:
 
 
 def sgd_linear(cols: Columns = DEFAULT, loss: str = "log_loss", penalty: str = "l2", alpha: float = 1e-4, l1_ratio: float = 0.15, **p):
-    """Linear model by hinge or log loss with L1, L2 or elastic-net penalty (hinge supports L2)."""
-    if loss == "hinge":
-        if penalty != "l2":
-            raise ValueError("hinge loss supports the l2 penalty")
-        return linear_svm(cols, regParam=alpha, **p)
+    """Linear model by hinge or log loss with L1, L2 or elastic-net penalty."""
     mix = {"l2": 0.0, "l1": 1.0, "elasticnet": l1_ratio}[penalty]
+    if loss == "hinge":
+        return linear_svm(cols, regParam=alpha, **p) if penalty == "l2" else ProximalHinge(mix, alpha, cols=cols, weight=WEIGHT, **p)
     return LogisticRegression(**_std(cols), **{"regParam": alpha, "elasticNetParam": mix, "maxIter": 100, **p})
 
 
