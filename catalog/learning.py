@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from catalog.base import CAL, SCORED, TX, cal, query, rounded, s6, scored, table, tx, txd, u32, unit
+from catalog.base import CAL, SCORED, TX, cal, query, r6, rounded, s6, scored, table, tx, txd, u32, unit
 from txrisk.functions.scale import attach, hash_unit, keep, shared_folder
 from txrisk.operators import encoders as E, impute as I, metrics as V, models as M, outliers as O, resample as X, selection as S, sparse as Z
 from txrisk.functions.rows import calendar_features
@@ -389,6 +389,7 @@ for _n, _make in {
     "boosted_undersampled_rounds": lambda: M.BoostedRounds(M.decision_tree(maxDepth=2), 4, ratio=0.5),
     "bagging": lambda: M.Bagging(M.decision_tree(maxDepth=4), 5, 4), "soft_voting_models": lambda: M.SoftVoting([M.logistic(maxIter=20), M.decision_tree()]),
     "clusterwise": lambda: M.ClusterwiseClassifier(3),
+    "clusterwise_tree": lambda: M.ClusterwiseClassifier(3, method="tree"),
 }.items():
     query(f"classifier_{_n}")(_late(_make))
 
@@ -465,6 +466,29 @@ def _(spark, d):
     return M.client_clusters(p, "CustomerUID", ["cluster_TX_AMOUNT", "cluster_Value", "cluster_Hour"], ["cluster_ProductCategory"], 4)
 
 
+# Leaves of the feature tree hold all rows, sums and squares of the table, none of them wider than its threshold.
+_TREE = ["TX_AMOUNT", "Value", "Hour"]
+
+
+@query("feature_tree_leaves", f"""WITH {CAL} SELECT count(*)::BIGINT AS n, {", ".join(f"{s6(f'avg({c})')} AS mean_{c}" for c in _TREE)},
+ round({" + ".join(f"var_pop({c})" for c in _TREE)}, 4) AS variance, true AS within, true AS bounded FROM cal""")
+def _(spark, d):
+    from txrisk.operators.feature_tree import leaf_table
+    x = cal(spark, d)
+    leaves = leaf_table(x, F.array(*[F.col(c).cast("double") for c in _TREE]), 2.0, 200)
+    mean = [F.sum(F.col("n") * F.col("mean")[j]) / F.sum("n") for j in range(3)]
+    square = [F.sum(F.col("n") * F.col("mean")[j] * F.col("mean")[j]) / F.sum("n") for j in range(3)]
+    spread = sum(((q - m * m) for q, m in zip(square, mean)), F.sum("spread") / F.sum("n"))
+    return leaves.agg(F.sum("n").alias("n"), *[r6(m).alias(f"mean_{c}") for m, c in zip(mean, _TREE)], F.round(spread, 4).alias("variance"),
+                      (F.max(F.sqrt(F.col("spread") / F.col("n")) - F.col("threshold")) <= 1e-9).alias("within"), (F.count("*") <= 200).alias("bounded"))
+
+
+@query("client_clusters_tree")
+def _(spark, d):
+    p = client_profile(cal(spark, d), "CustomerUID", ["TX_AMOUNT", "Value", "IsNight"])
+    return M.client_clusters(p, "CustomerUID", ["cluster_TX_AMOUNT", "cluster_Value", "cluster_Hour"], ["cluster_ProductCategory"], 4, "tree")
+
+
 # ------------------------------------------------------------------ plans, search
 
 @query("feature_table")

@@ -36,7 +36,7 @@ def test_oracle(spark, con, name):
 # Fits, draws and searches whose numbers SQL cannot give.
 WITHOUT_SQL = set("""route_columns similarity_encoder_strings pca_scores nystroem group_lasso_selection recursive_elimination sequential_selection recursive_addition
 pca_then_select isolation_forest cblof mcd score_union adasyn_oversampling borderline_oversampling kmeans_oversampling svm_oversampling borderline_oversampling_kind_2 smote_enn
-smote_tomek sampler_chain calibration best_boosting_stage score_table fit_and_predict client_clusters feature_table prequential_grid_search time_series_cross_validation
+smote_tomek sampler_chain calibration best_boosting_stage score_table fit_and_predict client_clusters client_clusters_tree feature_table prequential_grid_search time_series_cross_validation
 stratified_kfold_report workflow_fit_score card_topk_remove_detected performance_assessment""".split())
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from txrisk.functions.scale import checkpoint, cpu_threads, hash_unit, keep
 from txrisk.operators.encoders import count_encoder, standard_scaler
+from txrisk.operators.feature_tree import FeatureTree
 from txrisk.operators.linear import ProximalHinge
 from txrisk.operators.metrics import best_f1_threshold
 from txrisk.operators.splits import class_sizes, random_undersample
@@ -128,9 +129,18 @@ def fit_and_predict(learner, train: DataFrame, test: DataFrame, features: list[s
 
 # ------------------------------------------------------------------ client clusters
 
+def _clusters(method: str, k: int, seed: int, name: str) -> Estimator:
+    if method == "tree":
+        return FeatureTree(k, predictionCol=name)
+    return {"bisecting": BisectingKMeans, "kmeans": KMeans}[method](k=k, seed=seed, featuresCol="features", predictionCol=name)
+
+
 def client_clusters(profiles: DataFrame, key: str, numeric: list[str], categorical: list[str] = (), k: int = 5,
                     method: str = "bisecting", seed: int = 0) -> DataFrame:
-    """(key, CustomerCluster): cluster of each client profile; categoricals are count-encoded."""
+    """(key, CustomerCluster): cluster of each client profile; categoricals are count-encoded.
+
+    ``method`` is bisecting (k-means), kmeans or tree (merged clustering features, then Ward).
+    """
     x = profiles
     names = list(numeric)
     if categorical:
@@ -139,7 +149,7 @@ def client_clusters(profiles: DataFrame, key: str, numeric: list[str], categoric
     x = x.na.fill(0.0, names)
     x = standard_scaler(x, names).transform(x)
     v = keep(assemble(x.select(key, *names), names))
-    learner = (BisectingKMeans if method == "bisecting" else KMeans)(k=k, seed=seed, featuresCol="features", predictionCol="CustomerCluster")
+    learner = _clusters(method, k, seed, "CustomerCluster")
     return learner.fit(v).transform(v).select(key, "CustomerCluster")
 
 
@@ -308,15 +318,16 @@ def stacked(fitted: list, df: DataFrame) -> DataFrame:
 
 
 class ClusterwiseClassifier(Estimator):
-    """K-means; per cluster the features kept by an elastic net feed a tree; rows are routed at scoring."""
+    """K-means or a feature tree (``method``); per cluster the features kept by an elastic net feed a tree; rows are routed at scoring."""
 
     def __init__(self, n_clusters: int = 3, reg: float = 0.01, mix: float = 0.5, tree: dict | None = None, seed: int = 0,
-                 cols: Columns = DEFAULT):
+                 cols: Columns = DEFAULT, method: str = "kmeans"):
         super().__init__()
         self.n_clusters, self.reg, self.mix, self.tree, self.seed, self.cols = n_clusters, reg, mix, tree or {}, seed, cols
+        self.method = method
 
     def _fit(self, df: DataFrame) -> "ClusterwiseModel":
-        km = KMeans(k=self.n_clusters, seed=self.seed, featuresCol="features", predictionCol="__cluster").fit(df)
+        km = _clusters(self.method, self.n_clusters, self.seed, "__cluster").fit(df)
         x = keep(km.transform(df))
         rate = x.groupBy("__cluster").agg(F.avg(F.col(self.cols.label).cast("double")).alias("r")).collect()   # one row per cluster
         members = {}
