@@ -13,6 +13,7 @@ from txrisk.functions.scale import attach, hash_unit, keep, shared_folder
 from txrisk.operators import encoders as E, impute as I, metrics as V, models as M, outliers as O, resample as X, selection as S, sparse as Z
 from txrisk.functions.rows import calendar_features
 from txrisk.operators.aggregates import client_profile
+from txrisk.operators.neighbor_information import neighbor_information
 from txrisk.schema import DAY_US, DEFAULT
 
 ID = "TRANSACTION_ID"
@@ -212,6 +213,25 @@ query("mutual_information", f"WITH {CAL}, m AS (" + " UNION ALL ".join(
     lambda spark, d: rounded(S.mutual_information(cal(spark, d), ["TX_AMOUNT", "Value", "ProductCategory"], "TX_FRAUD", 4, ["ProductCategory"])))
 
 
+def _psi(x: str) -> str:
+    """Digamma of a whole number: ten steps of the recurrence, then the series."""
+    y = f"(({x}) + 10.0)"
+    return (f"(ln({y}) - 0.5/{y} - 1/(12*{y}*{y}) + 1/(120*pow({y}, 4)) - 1/(252*pow({y}, 6)) + 1/(240*pow({y}, 8)) - "
+            + " - ".join(f"1/(({x}) + {i}.0)" for i in range(10)) + ")")
+
+
+# Rows side by side: distance to the third neighbour of the class, then the rows of both classes within it.
+query("neighbor_information", f"""WITH {CAL}, p AS (SELECT 'TX_AMOUNT' AS f, TX_AMOUNT AS v, TX_FRAUD AS y FROM cal UNION ALL SELECT 'Value', Value, TX_FRAUD FROM cal),
+ d AS (SELECT f, v, y, list_sort(list_filter([{", ".join(f"v - lag(v, {i}) OVER w, lead(v, {i}) OVER w - v" for i in (1, 2, 3))}], lambda x: x IS NOT NULL))[3] AS r,
+  count(*) OVER (PARTITION BY f, y) AS size, count(*) OVER (PARTITION BY f) AS total FROM p WINDOW w AS (PARTITION BY f, y ORDER BY v)),
+ q AS (SELECT f, v, y, any_value(r) AS r, any_value(size) AS size, any_value(total) AS total, count(*) AS c FROM d GROUP BY f, v, y),
+ u AS (SELECT f, v, count(*) AS c FROM p GROUP BY f, v),
+ m AS (SELECT q.f, q.v, q.y, any_value(q.size) AS size, any_value(q.total) AS total, any_value(q.c) AS c, sum(u.c) AS m FROM q JOIN u ON u.f = q.f
+  AND u.v >= q.v - q.r AND u.v <= q.v + q.r AND (q.r = 0 OR u.v > q.v - q.r AND u.v < q.v + q.r) GROUP BY q.f, q.v, q.y)
+ SELECT f AS feature, round(greatest(0, {_psi("any_value(total)")} + {_psi("3")} - sum(c * ({_psi("size")} + {_psi("m")})) / any_value(total)), 6) AS mi FROM m GROUP BY f""")(
+    lambda spark, d: neighbor_information(cal(spark, d), ["TX_AMOUNT", "Value"], "TX_FRAUD").select("feature", F.round("mi", 6).alias("mi")))
+
+
 def _anova(c: str) -> str:
     return f"""SELECT '{c}' AS feature, (sum(n*(m-g)*(m-g)) / (count(*)-1)) / (sum(n*s) / (sum(n)-count(*))) AS f FROM (SELECT TX_FRAUD, count(*) AS n, avg({c}) AS m, var_pop({c}) AS s,
  (SELECT avg({c}) FROM cal) AS g FROM cal GROUP BY 1)"""

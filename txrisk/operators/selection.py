@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from txrisk.functions.scale import attach, cpu_threads, exact_quantile_row, hash_u32, keep
 from txrisk.operators.encoders import standard_scaler
+from txrisk.operators.neighbor_information import neighbor_information
 from txrisk.operators.neighbors import vector
 from txrisk.operators.outliers import moments
 from txrisk.schema import DEFAULT, Columns
@@ -142,7 +143,7 @@ def label_correlation(df: DataFrame, features: list[str], label: str) -> DataFra
 
 def select_k_best(df: DataFrame, features: list[str], label: str, k: int, score: str = "mi", **params) -> list[str]:
     """Names of the k best features (ties by name); k is clipped to the number of columns."""
-    table = {"mi": mutual_information, "f": anova_f, "corr": label_correlation}[score](df, features, label, **params)
+    table = {"mi": mutual_information, "f": anova_f, "corr": label_correlation, "neighbors": neighbor_information}[score](df, features, label, **params)
     value = table.columns[1]
     rows = table.orderBy(F.col(value).desc_nulls_last(), "feature").limit(min(k, len(features))).collect()
     return [r["feature"] for r in rows]
