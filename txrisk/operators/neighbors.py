@@ -9,8 +9,8 @@ Neighbours are ordered by (distance, id). Two exact routes:
   distance to every ring, so a query only visits rings that can hold a neighbour (Lu et al., VLDB 2012;
   Jagadish et al., TODS 2005). Crowded rings and crowded query groups are split by hash.
 
-Copies cannot pile up: among rows with equal vectors only the smallest ids can be neighbours, and equal query
-vectors are searched once.
+Copies cannot pile up: distinct vectors are compared, a reference vector carries the smallest ids of its rows (no others
+can be neighbours), and equal query vectors are searched once.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from txrisk.functions.scale import attach, hash_u32, keep, num_partitions
 
 MAX_BROADCAST_REFS = 20_000
 MAX_BROADCAST_CELLS = 4_000_000   # rows x dimensions of a broadcast matrix
-RING_ROWS = 5_000                 # reference rows per ring
+RING_ROWS = 5_000                 # reference vectors per ring
 QUERY_ROWS = 5_000                # queries per task group
 MAX_PIVOTS = 1_024
 
@@ -47,7 +47,7 @@ def _distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.sqrt(out, out=out)
 
 
-def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def _smallest(d: np.ndarray, k: int) -> np.ndarray:
     """Column indices of the k smallest (distance, id) per row; columns must be in id order."""
     k = min(k, d.shape[1])
     if d.shape[1] <= 4 * k:
@@ -62,16 +62,33 @@ def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return picks
 
 
-def _pairs(q: np.ndarray, qvec: pd.Series, r: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    by_id = np.argsort(ids, kind="stable")
-    r, ids = r[by_id], ids[by_id]
-    step = max(1, 2_000_000 // max(1, len(r)))
+def _pairs(q: np.ndarray, qvec: pd.Series, r: np.ndarray, ids: list[np.ndarray], k: int) -> pd.DataFrame:
+    """The k nearest rows of every query; ``ids`` are the rows of each reference vector in order."""
+    by_id = sorted(range(len(ids)), key=lambda i: ids[i][0])
+    r, ids = r[by_id], [ids[i] for i in by_id]
+    # rows are numbered in id order; a vector's rows are one line of a table, filled up with a number beyond all
+    flat = np.concatenate(ids)
+    order = np.argsort(flat, kind="stable")
+    number = np.empty(len(flat), dtype=np.int64)
+    number[order] = np.arange(len(flat))
+    flat = flat[order]
+    widths = np.array([len(x) for x in ids])
+    rows = np.full((len(r), widths.max()), len(flat))
+    rows[np.arange(rows.shape[1]) < widths[:, None]] = number
+    # k nearest vectors hold the k nearest rows, and fewer vectors than that are all of them
+    n = min(k, len(flat))
+    step = max(1, 2_000_000 // max(len(r), n * rows.shape[1]))
     near_ids, near = [], []
     for a in range(0, len(q), step):
         d = _distances(q[a:a + step], r)
-        p = _smallest(d, ids, k)
-        near_ids += list(ids[p])
-        near += list(np.take_along_axis(d, p, axis=1))
+        p = _smallest(d, k)
+        got, dist = rows[p].reshape(len(p), -1), np.repeat(np.take_along_axis(d, p, axis=1), rows.shape[1], axis=1)
+        if rows.shape[1] > 1:
+            dist[got == len(flat)] = np.inf
+            best = np.lexsort((got, dist), axis=-1)[:, :n]
+            got, dist = np.take_along_axis(got, best, axis=1), np.take_along_axis(dist, best, axis=1)
+        near_ids += list(flat[got])
+        near += list(dist)
     return pd.DataFrame({"__v": qvec.to_numpy(dtype=object), "rid": near_ids, "distance": near})
 
 
@@ -85,7 +102,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str, rid: str, ve
     need = k + 1 if exclude_self else k
     r = refs.select(F.col(rid).alias("rid"), F.col(vec).alias("__v"))
     w = W.partitionBy("__v").orderBy("rid")
-    r = r.withColumn("__c", F.row_number().over(w)).where(F.col("__c") <= need).drop("__c")
+    r = r.withColumn("__c", F.row_number().over(w)).where(F.col("__c") <= need)
+    r = keep(r.groupBy("__v").agg(F.sort_array(F.collect_list("rid")).alias("ids")))   # at most k + 1 ids
     # an explicit count keeps the compute-heavy search spread out even when the rows are small
     q = queries.select(F.col(vec).alias("__v")).repartition(num_partitions(queries.sparkSession), "__v").distinct()
     head = r.limit(max_broadcast + 1).select(F.size("__v").alias("d")).agg(F.count("*"), F.max("d")).first()
@@ -109,12 +127,12 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str, rid: str, ve
 
 
 def _schema(r: DataFrame) -> str:
-    return f"__v array<double>, rid array<{r.schema['rid'].dataType.simpleString()}>, distance array<double>"
+    return f"__v array<double>, rid {r.schema['ids'].dataType.simpleString()}, distance array<double>"
 
 
 def _broadcast_search(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
-    rows = r.orderBy("rid").collect()   # number and size checked by the caller
-    ids = np.array([x["rid"] for x in rows])
+    rows = r.collect()   # number and size checked by the caller
+    ids = [np.array(x["ids"]) for x in rows]
     shared = q.sparkSession.sparkContext.broadcast((ids, np.array([x["__v"] for x in rows], dtype=float)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +148,7 @@ def _ring_search(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
     spark = q.sparkSession
     n = r.count()
     n_pivots = int(min(MAX_PIVOTS, max(8, n // RING_ROWS)))
-    picked = r.select("__v").distinct().orderBy(hash_u32(F.col("__v").cast("string"), 0)).limit(n_pivots).collect()
+    picked = r.select("__v").orderBy(hash_u32(F.col("__v").cast("string"), 0)).limit(n_pivots).collect()
     pivots = np.array([x["__v"] for x in picked], dtype=float)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,8 +158,7 @@ def _ring_search(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
                 cell = d.argmin(axis=1)
                 yield b.assign(cell=cell, pd=d[np.arange(len(d)), cell])
 
-    rid_type = r.schema["rid"].dataType.simpleString()
-    cells = keep(r.mapInPandas(assign, f"rid {rid_type}, __v array<double>, cell int, pd double"))
+    cells = keep(r.mapInPandas(assign, f"__v array<double>, ids {r.schema['ids'].dataType.simpleString()}, cell int, pd double"))
 
     # ring limits per cell; the driver holds one number per RING_ROWS reference rows
     sizes = {x["cell"]: x["count"] for x in cells.groupBy("cell").count().collect()}
@@ -191,20 +208,20 @@ def _ring_search(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
 
     seen = keep(q.mapInPandas(visits, "__v array<double>, cell int, ring int"))
     load = {(x["cell"], x["ring"]): x["count"] for x in seen.groupBy("cell", "ring").count().collect()}
-    plan = spark.createDataFrame(
-        [(c, g, m, int(max(1, -(-load.get((c, g), 0) // QUERY_ROWS)))) for (c, g), m in parts_of.items()],
-        "cell int, ring int, parts int, salts int")
+    # rings without queries stay where they are
+    plan = spark.createDataFrame([(*ring, parts_of[ring], int(-(-n // QUERY_ROWS))) for ring, n in load.items()],
+                                 "cell int, ring int, parts int, salts int")
     salt = F.pmod(F.xxhash64("__v"), F.col("salts")).cast("int")
     left = seen.join(F.broadcast(plan), ["cell", "ring"]).select(
         "__v", "cell", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt.alias("salt"))
-    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64(F.col("ids")[0]), F.col("parts")).cast("int")
     right = ringed.join(F.broadcast(plan), ["cell", "ring"]).select(
-        "rid", "__v", "cell", "ring", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        "ids", "__v", "cell", "ring", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     by = ["cell", "ring", "part", "salt"]
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"__v": [], "rid": [], "distance": []})
-        return _pairs(_matrix(a["__v"]), a["__v"], _matrix(b["__v"]), b["rid"].to_numpy(), k)
+            return pd.DataFrame({"__v": [], "rid": [], "distance": []}, dtype=object)   # Arrow makes no lists of empty numbers
+        return _pairs(_matrix(a["__v"]), a["__v"], _matrix(b["__v"]), list(b["ids"]), k)
 
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, _schema(r))

@@ -104,7 +104,7 @@ def _danger(df: DataFrame, features: list[str], m: int, cols: Columns) -> tuple[
     nn = knn_join(pos, pts, m, "id", "id", exclude_self=True)
     labelled = nn.join(pts.select(F.col("id").alias("neighbour"), F.col("y").alias("ny")), "neighbour")
     count = labelled.groupBy(F.col("qid").alias("id")).agg(F.sum((F.col("ny") == 0).cast("int")).alias("n_neg"), F.count("*").alias("m"))
-    return pts, pos, count
+    return pts, pos, keep(count)
 
 
 def adasyn_rows(df: DataFrame, features: list[str], ratio: float, k: int = 5, seed: int = 0, cols: Columns = DEFAULT) -> DataFrame:
