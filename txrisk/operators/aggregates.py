@@ -6,11 +6,12 @@ Everything aggregates with map-side partial results and joins the (much smaller)
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from txrisk.functions.scale import attach, exact_quantiles
+from txrisk.functions.scale import attach, exact_quantiles, keep, prefix_sums
 from txrisk.operators.windows import KeyStat, category_values, guarded_std, ratio
 from txrisk.schema import DAY_US, DEFAULT, HOUR_US, MINUTE_US, Columns, micros
 
@@ -266,13 +267,31 @@ def correlation_matrix(df: DataFrame, names: list[str], method: str = "pearson")
         return row.select(F.explode(F.array(*[
             F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("corr"))
             for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=names, outputCol="__v").transform(df.select(*[F.col(c).cast("double") for c in names]))
-    m = Correlation.corr(vec, "__v", method).first()[0].toArray()   # p x p
-    index = {c: i for i, c in enumerate(names)}
-    rows = [(a, b, float(m[index[a], index[b]])) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, "x string, y string, corr double")
+    return df.sparkSession.createDataFrame([(a, b, c) for (a, b), c in zip(pairs, _spearman(df, names, pairs))], "x string, y string, corr double")
+
+
+def _spearman(df: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> list[float]:
+    """Correlations of the mean ranks.
+
+    Equal rows are counted first. Ranks belong to distinct values and come from running counts, so that neither the copies
+    of a row nor the ties of a value are sorted or shuffled one by one.
+    """
+    cells = keep(df.select(*[F.col(c).cast("double").alias(c) for c in names]).groupBy(*names).agg(F.count("*").alias("__n")))
+    unknown = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in names])
+    n, bad = cells.agg(F.sum("__n"), F.sum(F.when(unknown, F.col("__n")))).first()
+    if bad:
+        raise ValueError(f"{bad} rows have a null or NaN in {names}")
+    ranked = cells
+    for i, c in enumerate(names):
+        counts = cells.groupBy(c).agg(F.sum("__n").alias("__m"))
+        # the mean of all ranks is taken off here, so that the products do not cancel
+        rank = F.col("cum___m") - (F.col("__m") - 1) / 2 - ((n or 0) + 1) / 2
+        ranked = attach(ranked, prefix_sums(counts, c, ["__m"]).select(c, rank.alias(f"__r{i}")), c)
+    at = {c: F.col(f"__r{i}") for i, c in enumerate(names)}
+    sums = ranked.agg(*[F.sum(F.col("__n") * at[a] * at[b]) for a, b in [*pairs, *[(c, c) for c in names]]]).first()
+    cells.unpersist()
+    square = dict(zip(names, sums[len(pairs):]))
+    return [s / (square[a] * square[b]) ** 0.5 if square[a] and square[b] else float("nan") for s, (a, b) in zip(sums, pairs)]
 
 
 def histogram(df: DataFrame, names: list[str], bins: int = 20) -> DataFrame:
