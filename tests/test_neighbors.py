@@ -37,3 +37,19 @@ def test_text_ids(spark, monkeypatch):
     refs = spark.createDataFrame(list(points.items()), "id string, vec array<double>")
     got = N.knn_join(refs.where("id < 'r005'"), refs, 4, "id", "id", exclude_self=True, max_broadcast=10)
     assert _found(got) == _plain(points, sorted(points)[:5], 4)
+
+
+def test_copies_are_scored_once(spark, monkeypatch):
+    """Scores of a table in itself: every copy as a search of all rows finds it, from one query a vector."""
+    from txrisk.operators import outliers as O
+    rng = np.random.default_rng(1)
+    different = rng.integers(0, 9, (60, 2)).astype(float).tolist()
+    rows = [(i, *different[i % 60]) for i in range(150)] + [(i, 1.0, 1.0) for i in range(150, 170)]
+    df = spark.createDataFrame(rows, "TRANSACTION_ID long, a double, b double")
+    asked, plain = [], N.knn_join
+    monkeypatch.setattr(O, "knn_join", lambda q, *args, **more: asked.append(q.count()) or plain(q, *args, **more))
+    for score, name in ((O.knn_distance, "knn"), (O.abod, "abod")):
+        got, want = ({r["TRANSACTION_ID"]: r[name] for r in score(df, ["a", "b"], 5, refs=refs).collect()} for refs in (None, df))
+        assert len(want) == 170 and got == {i: pytest.approx(x, abs=1e-12) for i, x in want.items()}
+    few = len({r[1:] for r in rows})
+    assert asked == [few, 170, few, 170]

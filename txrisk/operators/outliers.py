@@ -228,17 +228,27 @@ def knn_distance(df: DataFrame, features: list[str], k: int = 5, method: str = "
                  cols: Columns = DEFAULT, **search) -> DataFrame:
     """(id, knn): distance to the k-th nearest row, or the mean or median over the k nearest."""
     pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
-    ref = pts if refs is None else refs.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
-    nn = knn_join(pts, ref, k, "id", "id", exclude_self=True, **search)
     fn = {"largest": F.max("distance"), "mean": F.avg("distance"), "median": F.median("distance")}[method]
-    return nn.groupBy(F.col("qid").alias(cols.id)).agg(fn.alias("knn"))
+    if refs is not None:
+        nn = knn_join(pts, refs.select(F.col(cols.id).alias("id"), vector(features).alias("vec")), k, "id", "id", exclude_self=True, **search)
+        return nn.groupBy(F.col("qid").alias(cols.id)).agg(fn.alias("knn"))
+    one = _first_rows(pts)
+    score = knn_join(one, pts, k, "id", "id", exclude_self=True, **search).groupBy(F.col("qid").alias("id")).agg(fn.alias("knn"))
+    return attach(pts, attach(one, score, "id", "inner").drop("id"), "vec", "inner").select(F.col("id").alias(cols.id), "knn")
+
+
+def _first_rows(pts: DataFrame) -> DataFrame:
+    """One row per vector. In a search of a table in itself it scores for all its copies: each of them leaves out one row at
+    distance 0 (itself, or one more copy), so the distances and vectors of its neighbours are the same."""
+    return keep(pts.groupBy("vec").agg(F.min("id").alias("id")))
 
 
 def abod(df: DataFrame, features: list[str], k: int = 10, cols: Columns = DEFAULT, refs: DataFrame | None = None) -> DataFrame:
     """(id, abod): minus the variance of the distance-weighted angles between pairs of the k nearest other rows (of ``refs``)."""
     pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
     ref = pts if refs is None else refs.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
-    nn = knn_join(pts, ref, k, "id", "id", exclude_self=True)
+    asked = _first_rows(pts) if refs is None else pts
+    nn = knn_join(asked, ref, k, "id", "id", exclude_self=True)
     vecs = nn.join(ref.select(F.col("id").alias("neighbour"), F.col("vec").alias("nv")), "neighbour")
     near = vecs.groupBy("qid").agg(F.collect_list("nv").alias("ns"))   # k vectors
 
@@ -259,8 +269,10 @@ def abod(df: DataFrame, features: list[str], k: int = 10, cols: Columns = DEFAUL
             out[own.index] = -np.where(w, (angle - mean[:, None]) ** 2, 0.0).sum(axis=1) / pairs
         return out
 
-    j = attach(pts, near.withColumnRenamed("qid", "id"), "id")
-    return j.select(F.col("id").alias(cols.id), angle_variance("vec", "ns").alias("abod"))
+    scored = attach(asked, near.withColumnRenamed("qid", "id"), "id").select("id", "vec", angle_variance("vec", "ns").alias("abod"))
+    if refs is None:
+        scored = attach(pts, scored.drop("id"), "vec")
+    return scored.select(F.col("id").alias(cols.id), "abod")
 
 
 # ------------------------------------------------------------------ clusters and covariance
