@@ -14,13 +14,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from txrisk.functions.scale import attach, heavy_keys, split_hot, time_offsets
 from txrisk.schema import DAY_US, DEFAULT, HOUR_US, MINUTE_US, Columns, micros
 
-FRAME_SLICES = 16  # time slices per frame of the sliced route
+FRAME_SLICES = 16  # time slices per shortest frame of the sliced route
+MAX_FRAME_SLICES = 1024  # time slices per longest frame that shares them
 SLICE_US = HOUR_US  # slice length of hot keys
 BLOCK_ROWS = 8192  # rows per block of the row-frame route
 
@@ -41,7 +43,7 @@ class Running:
 
 @dataclass(frozen=True)
 class Rolling:
-    """``fn`` in count, sum, avg, std over ``(t - lag - width, t - lag]``."""
+    """``fn`` in count, sum, avg, std, size (sum of absolute values) over ``(t - lag - width, t - lag]``."""
     name: str
     fn: str
     width_us: int
@@ -60,13 +62,13 @@ class LastRows:
 
 @dataclass(frozen=True)
 class KeyStat:
-    """``fn`` in count, sum, avg, std, min, max over all rows of the key."""
+    """``fn`` in count, sum, avg, std, min, max, size over all rows of the key."""
     name: str
     fn: str
     col: str | None = None
 
 
-AGG = {"sum": F.sum, "avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+AGG = {"sum": F.sum, "avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "size": lambda c: F.sum(F.abs(c))}
 
 
 def _agg(fn: str, col: str | None) -> Column:
@@ -159,61 +161,109 @@ def _time_slice(t: Column, size: int) -> Column:
 
 
 def _frames(df: DataFrame, key: str, features: list[Rolling]) -> DataFrame:
-    """Rolling aggregates from partial sums of time slices (see the module text)."""
-    spread = sorted({f.col for f in features if f.fn == "std"})
+    """Rolling aggregates from partial sums of time slices (see the module text).
+
+    A frame depends on nothing but the key and the time, so only these and the measured numbers are moved; rows get their results by one join.
+    """
+    number = {c: f"__x{i}" for i, c in enumerate(sorted({f.col for f in features if f.col}))}
+    spread = [number[c] for c in sorted({f.col for f in features if f.fn == "std"})]
+    base = df.select(F.col(key).alias("__key"), "__us", *[F.col(c).cast("double").alias(x) for c, x in number.items()])
     if spread:
         # squares are taken around the key's mean, so that they do not cancel
-        clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        df = attach(df, df.groupBy(key).agg(*[F.coalesce(F.avg(clean(c)), F.lit(0.0)).alias(f"__centre_{c}") for c in spread]), key)
-    for width, lag in sorted({(f.width_us, f.lag_us) for f in features}):
-        df = _frame(df, key, width, lag, [f for f in features if (f.width_us, f.lag_us) == (width, lag)])
-    return df.drop(*[f"__centre_{c}" for c in spread])
-
-
-def _frame(df: DataFrame, key: str, width: int, lag: int, features: list[Rolling]) -> DataFrame:
-    """One frame ``(x, y]``: the end of x's slice, whole slices between, the begin of y's slice. Nothing is subtracted."""
-    parts = FRAME_SLICES if width % FRAME_SLICES == 0 else 1
-    size = width // parts
-    number = lambda c: F.col(c).cast("double")
-    measures: dict[str, Column] = {"__n": F.lit(1).cast("long")}
-    for f in features:
-        if f.col:
-            measures |= {f"__k_{f.col}": F.col(f.col).isNotNull().cast("long"), f"__v_{f.col}": number(f.col)}
-        if f.fn == "std":
-            away = number(f.col) - F.col(f"__centre_{f.col}")
-            measures |= {f"__e_{f.col}": away, f"__q_{f.col}": away * away, f"__lo_{f.col}": number(f.col), f"__hi_{f.col}": number(f.col)}
-    # how partial values of a measure are made and put together
-    kind = lambda m: (F.min, F.least) if m.startswith("__lo_") else (F.max, F.greatest) if m.startswith("__hi_") else (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-    y = F.col("__us") - lag
-    values = df.select(key, _time_slice(F.col("__us"), size).alias("__s"), F.col("__us").alias("__t"), *[e.alias(m) for m, e in measures.items()])
-    rows = df.select(key, _time_slice(y, size).alias("__s"), y.alias("__t"), F.struct(*df.columns).alias("__row"))
-    begin = values.unionByName(rows, allowMissingColumns=True)
-    inside = W.partitionBy(key, "__s").orderBy("__t")
-    began = begin.select(key, "__s", "__row", *[kind(m)[0](m).over(inside.rangeBetween(W.unboundedPreceding, 0)).alias(f"{m}_y") for m in measures]).where("__row IS NOT NULL")
-    if parts > 1:
-        between = W.partitionBy(key).orderBy("__s").rangeBetween(-(parts - 1), -1)   # one row per (hot key, slice)
-        slices = begin.groupBy(key, "__s").agg(*[kind(m)[0](m).alias(m) for m in measures])
-        began = attach(began, slices.select(key, "__s", *[kind(m)[0](m).over(between).alias(f"{m}_w") for m in measures]), [key, "__s"])
-    known = [(kind(m)[1](F.col(f"{m}_y"), F.col(f"{m}_w")) if parts > 1 else F.col(f"{m}_y")).alias(f"{m}_known") for m in measures]
-    x = F.col("__row.__us") - lag - width
-    # what comes after x, as a growing frame in falling time
-    after = W.partitionBy(key, "__s").orderBy(-F.col("__t")).rangeBetween(W.unboundedPreceding, -1)
-    ended = values.unionByName(began.select(key, _time_slice(x, size).alias("__s"), x.alias("__t"), "__row", *known), allowMissingColumns=True)
-    ended = ended.select("__row", *[kind(m)[1](F.col(f"{m}_known"), kind(m)[0](m).over(after)).alias(m) for m in measures])
-    exprs = []
+        clean = lambda x: F.when(~F.isnan(x), F.col(x))
+        base = attach(base, base.groupBy("__key").agg(*[F.coalesce(F.avg(clean(x)), F.lit(0.0)).alias(f"__centre{x}") for x in spread]), "__key")
+    measures: dict[str, Column] = {}
     for f in features:
+        x = number.get(f.col)
         if f.fn == "count":
-            e = F.col("__n")
+            measures["__n"] = F.lit(1).cast("long")
+        elif f.fn == "size":
+            measures[f"__a{x}"] = F.abs(x)
         else:
-            k, v = F.col(f"__k_{f.col}"), F.col(f"__v_{f.col}")
-            if f.fn == "std":
-                lo, hi, e, q = (F.col(f"{m}{f.col}") for m in ("__lo_", "__hi_", "__e_", "__q_"))
-                spread = F.sqrt(F.greatest(q - e * e / k, F.lit(0.0)) / (k - 1))
-                e = F.when(k > 1, F.when((lo == hi) & ~F.isnan(hi), F.lit(0.0)).otherwise(spread))
-            else:
-                e = F.when(k > 0, v if f.fn == "sum" else v / k)
-        exprs.append(e.alias(f.name))
-    return ended.where("__row IS NOT NULL").select("__row.*", *exprs)
+            measures |= {f"__k{x}": F.col(x).isNotNull().cast("long"), f"__v{x}": F.col(x)}
+        if f.fn == "std":
+            away = F.col(x) - F.col(f"__centre{x}")
+            measures |= {f"__e{x}": away, f"__q{x}": away * away, f"__lo{x}": F.col(x), f"__hi{x}": F.col(x)}
+    points = base.groupBy("__key", "__us").agg(*[_merge(m)(e).alias(m) for m, e in measures.items()])
+    found = None
+    for lag in sorted({f.lag_us for f in features}):
+        for widths in _width_groups(sorted({f.width_us for f in features if f.lag_us == lag})):
+            part = _frame(points, list(measures), widths, lag)
+            part = part.select("__key", "__us", *[_value(f, number.get(f.col), widths.index(f.width_us)).alias(f.name)
+                                                  for f in features if f.lag_us == lag and f.width_us in widths])
+            found = part if found is None else attach(found, part, ["__key", "__us"])
+    return attach(df, found.withColumnRenamed("__key", key), [key, "__us"])
+
+
+def _merge(measure: str):
+    """How partial values of a measure are put together."""
+    return F.min if measure.startswith("__lo") else F.max if measure.startswith("__hi") else F.sum
+
+
+def _width_groups(widths: list[int]) -> list[list[int]]:
+    """Widths that share slices: a slice length that divides them all and cuts the longest into at most ``MAX_FRAME_SLICES``."""
+    groups: list[list[int]] = []
+    for w in widths:
+        for g in groups:
+            if max(w, *g) // gcd(w, *g) * FRAME_SLICES <= MAX_FRAME_SLICES:
+                g.append(w)
+                break
+        else:
+            groups.append([w])
+    return groups
+
+
+def _frame(points: DataFrame, measures: list[str], widths: list[int], lag: int) -> DataFrame:
+    """(key, time, measures of each width): a frame ``(x, y]`` is the end of x's slice, whole slices between, the begin of y's slice. Nothing is subtracted."""
+    base = gcd(*widths)
+    size = base // FRAME_SLICES if base % FRAME_SLICES == 0 else base
+    types = dict(points.dtypes)
+    y = F.col("__us") - lag
+    none = [F.lit(None).cast(types[m]).alias(m) for m in measures]
+    at = lambda w, t, values: F.struct(F.lit(w).alias("__w"), t.alias("__t"), *values)
+    # -2: values only, -1: a frame's end y, 0 and up: its begin x for that width
+    places = [at(i, y - w, none) for i, w in enumerate(widths)]
+    places += [at(-1, y, [F.col(m) for m in measures])] if lag == 0 else [at(-1, y, none), at(-2, F.col("__us"), [F.col(m) for m in measures])]
+    records = points.select("__key", "__us", F.explode(F.array(*places)).alias("p")).select("__key", "__us", "p.*")
+    records = records.withColumn("__s", _time_slice(F.col("__t"), size))
+    slices = records.where("__w < 0 AND __s IS NOT NULL").groupBy("__key", "__s").agg(*[_merge(m)(m).alias(m) for m in measures])
+    by_slice = W.partitionBy("__key").orderBy("__s")   # one row per (hot key, slice)
+    whole = lambda m, w: _merge(m)(m).over(by_slice.rangeBetween(1 - w // size, -1)) if w > size else F.lit(None).cast(types[m])
+    between = slices.select("__key", "__s", F.struct(*[whole(m, w).alias(f"{m}_{i}") for i, w in enumerate(widths) for m in measures]).alias("__b"))
+    group = W.partitionBy("__key", "__s")
+    begin = group.orderBy("__t").rangeBetween(W.unboundedPreceding, 0)
+    after = group.orderBy(-F.col("__t")).rangeBetween(W.unboundedPreceding, -1)   # a growing frame in falling time
+    side = records.unionByName(between, allowMissingColumns=True).select(
+        "__key", "__us", "__w", "__t", F.first("__b", ignorenulls=True).over(group).alias("__b"),
+        *[_merge(m)(m).over(begin).alias(f"{m}_y") for m in measures], *[_merge(m)(m).over(after).alias(f"{m}_x") for m in measures])
+    # rows without a time are peers of each other and have no frame before them
+    end = lambda m: F.when(F.col("__t").isNotNull(), F.col(f"{m}_x"))
+    mine = lambda i: F.col("__w") == i
+    parts = side.where("__w >= -1").select("__key", "__us", "__w", *[
+        F.when(mine(-1), F.col(f"{m}_y")).otherwise(end(m)).alias(m) for m in measures], *[
+        F.when(mine(-1), F.col(f"__b.{m}_{i}")).alias(f"{m}_{i}") for i in range(len(widths)) for m in measures])
+
+    def total(m: str, i: int) -> Column:
+        edges, inner = _merge(m)(F.when(mine(-1) | mine(i), F.col(m))), _merge(m)(f"{m}_{i}")
+        both = {F.min: F.least, F.max: F.greatest}.get(_merge(m), lambda a, b: F.coalesce(a + b, a, b))
+        return both(edges, inner).alias(f"{m}_{i}")
+
+    return parts.groupBy("__key", "__us").agg(*[total(m, i) for i in range(len(widths)) for m in measures])
+
+
+def _value(f: Rolling, x: str | None, i: int) -> Column:
+    """The feature from the measures of the ``i``-th width."""
+    get = lambda m: F.col(f"__{m}{x}_{i}")
+    if f.fn == "count":
+        return F.coalesce(F.col(f"__n_{i}"), F.lit(0))
+    if f.fn == "size":
+        return get("a")
+    k, v = get("k"), get("v")
+    if f.fn == "std":
+        lo, hi, e, q = get("lo"), get("hi"), get("e"), get("q")
+        spread = F.sqrt(F.greatest(q - e * e / k, F.lit(0.0)) / (k - 1))
+        return F.when(k > 1, F.when((lo == hi) & ~F.isnan(hi), F.lit(0.0)).otherwise(spread))
+    return F.when(k > 0, v if f.fn == "sum" else v / k)
 
 
 def _row_blocks(df: DataFrame, key: str, features: list[LastRows]) -> DataFrame:
