@@ -12,31 +12,32 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from txrisk.functions.scale import attach, exact_quantiles, keep, prefix_sums
-from txrisk.operators.windows import KeyStat, category_values, guarded_std, ratio
+from txrisk.operators.windows import KeyStat, category_values, guarded_std, ratio, settled
 from txrisk.schema import DAY_US, DEFAULT, HOUR_US, MINUTE_US, Columns, micros
 
 
 # ------------------------------------------------------------------ per-entity statistics
 
 def amount_stats_features(key: str, value: str) -> list[KeyStat]:
-    return [KeyStat(f"{key}_{value}_Mean", "avg", value), KeyStat(f"{key}_{value}_Std", "std", value)]
+    return [KeyStat(f"{key}_{value}_Mean", "avg", value), KeyStat(f"{key}_{value}_Std", "std", value), KeyStat(f"__size_{key}_{value}", "size", value)]
 
 
 def amount_stats_columns(key: str, value: str) -> list[Column]:
     m, s, v = F.col(f"{key}_{value}_Mean"), guarded_std(F.col(f"{key}_{value}_Std")), F.col(value)
-    return [s.alias(f"{key}_{value}_Std"), ((v - m) / s).alias(f"{key}_{value}_Z"), ratio(v, m).alias(f"{key}_{value}_Ratio")]
+    return [s.alias(f"{key}_{value}_Std"), ((v - m) / s).alias(f"{key}_{value}_Z"),
+            ratio(v, settled(m, F.col(f"__size_{key}_{value}"))).alias(f"{key}_{value}_Ratio")]
 
 
 def entity_amount_stats(df: DataFrame, key: str, values: list[str] | None = None, fit_on: DataFrame | None = None,
                         cols: Columns = DEFAULT) -> DataFrame:
-    """Mean, sample std (null or 0 becomes 1), z-score and ratio to the mean, per entity.
+    """Mean, sample std (null or 0 becomes 1), z-score and ratio to the mean (0 where amounts cancel), per entity.
 
     Statistics come from ``df`` itself, or from ``fit_on`` so that scored rows use training statistics.
     """
     values = values or [cols.amount, cols.value]
     source = df if fit_on is None else fit_on
     stats = source.groupBy(key).agg(*[e for v in values for e in (
-        F.avg(v).alias(f"{key}_{v}_Mean"), F.stddev_samp(v).alias(f"{key}_{v}_Std"))])
+        F.avg(v).alias(f"{key}_{v}_Mean"), F.stddev_samp(v).alias(f"{key}_{v}_Std"), F.sum(F.abs(v)).alias(f"__size_{key}_{v}"))])
     out = attach(df, stats, key)
     return out.select(*df.columns, *[c for v in values for c in (
         F.col(f"{key}_{v}_Mean"), *amount_stats_columns(key, v))])

@@ -25,6 +25,7 @@ FRAME_SLICES = 16  # time slices per shortest frame of the sliced route
 MAX_FRAME_SLICES = 1024  # time slices per longest frame that shares them
 SLICE_US = HOUR_US  # slice length of hot keys
 BLOCK_ROWS = 8192  # rows per block of the row-frame route
+ROUNDING = 2.0 ** -52  # a sum of n doubles is off by at most (n - 1) / 2 of this times the sum of their sizes
 
 
 @dataclass(frozen=True)
@@ -318,15 +319,23 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def settled(mean: Column, size: Column) -> Column:
+    """The mean, or 0 where it is below the rounding error of its own sum (``size``: the sum of absolute values).
+
+    Amounts that cancel leave a rest that depends on the order of the sum; a ratio to it would be noise.
+    """
+    return F.when(F.abs(mean) < ROUNDING * size, F.lit(0.0)).otherwise(mean)
+
+
 def drift_features(key: str, value: str, days: tuple[int, ...]) -> list[Rolling]:
-    return [Rolling(f"__{fn}_{value}_{d}", fn, d * DAY_US, value) for d in days for fn in ("avg", "std")]
+    return [Rolling(f"__{fn}_{value}_{d}", fn, d * DAY_US, value) for d in days for fn in ("avg", "std", "size")]
 
 
 def drift_columns(key: str, value: str, days: tuple[int, ...]) -> list[Column]:
     out = []
     for d in days:
         m, s, v = F.col(f"__avg_{value}_{d}"), F.col(f"__std_{value}_{d}"), F.col(value)
-        out += [ratio(v, m).alias(f"{key}_{value}_RatioToMean_{d}d"),
+        out += [ratio(v, settled(m, F.col(f"__size_{value}_{d}"))).alias(f"{key}_{value}_RatioToMean_{d}d"),
                 ((v - m) / guarded_std(s)).alias(f"{key}_{value}_Z_{d}d")]
     return out
 
@@ -341,10 +350,11 @@ def behavioral_drift(df: DataFrame, key: str, value: str | None = None, days: tu
 
 def moving_average(df: DataFrame, key: str, n: int = 5, cols: Columns = DEFAULT, hot_rows: int | None = None) -> DataFrame:
     """Mean of the last ``n`` amounts, long-term mean, and their relative difference."""
-    feats = [LastRows(f"{key}_MovingAvg_{n}", "avg", n, cols.amount), KeyStat(f"{key}_LongTermAvg", "avg", cols.amount)]
+    feats = [LastRows(f"{key}_MovingAvg_{n}", "avg", n, cols.amount), KeyStat(f"{key}_LongTermAvg", "avg", cols.amount),
+             KeyStat("__size", "size", cols.amount)]
     out = over_key(df, key, feats, cols, hot_rows=hot_rows)
     m, l = F.col(f"{key}_MovingAvg_{n}"), F.col(f"{key}_LongTermAvg")
-    return out.withColumn(f"{key}_PctChangeFromAvg", ratio(m - l, l))
+    return out.withColumn(f"{key}_PctChangeFromAvg", ratio(m - l, settled(l, F.col("__size")))).drop("__size")
 
 
 def cumulative(df: DataFrame, key: str, cols: Columns = DEFAULT, hot_rows: int | None = None) -> DataFrame:

@@ -84,7 +84,7 @@ def add_key_block(df: DataFrame, key: str, o: FeatureOptions, cols: Columns, hot
     keep = [F.col(f.name) for f in feats if not f.name.startswith("__") and not f.name.endswith("_Std")]
     mean, moving = F.col(f"{key}_{cols.amount}_Mean"), F.col(f"{key}_MovingAvg_{o.moving_rows}")
     new = [F.coalesce((F.col("__now") - F.col(f"__prev_{key}")) / MINUTE_US, F.lit(0.0)).alias(f"{key}_TimeSinceLast"),
-           Wn.ratio(moving - mean, mean).alias(f"{key}_PctChangeFromAvg")]
+           Wn.ratio(moving - mean, Wn.settled(mean, F.col(f"__size_{key}_{cols.amount}"))).alias(f"{key}_PctChangeFromAvg")]
     for v in (cols.value, cols.amount):
         new += A.amount_stats_columns(key, v) + Wn.drift_columns(key, v, o.drift_days)
     if o.cumulative:
