@@ -53,3 +53,31 @@ def test_copies_are_scored_once(spark, monkeypatch):
         assert len(want) == 170 and got == {i: pytest.approx(x, abs=1e-12) for i, x in want.items()}
     few = len({r[1:] for r in rows})
     assert asked == [few, 170, few, 170]
+
+
+def test_few_rings_are_visited(spark, monkeypatch):
+    """The k-th distance in the nearest ring leaves few other rings to a query."""
+    monkeypatch.setattr(N, "RING_ROWS", 50)
+    rng = np.random.default_rng(3)
+    points = {i: v for i, v in enumerate(rng.random((4000, 2)).tolist())}
+    refs = spark.createDataFrame(list(points.items()), "id long, vec array<double>")
+    visits, plain = [], N._search_rings
+    monkeypatch.setattr(N, "_search_rings", lambda seen, *more: visits.append(seen.count()) or plain(seen, *more))
+    got = N.knn_join(refs, refs, 5, "id", "id", exclude_self=True, max_broadcast=10)
+    assert sorted(x for x in _found(got) if x[0] < 50) == _plain(points, range(50), 5)
+    assert visits[0] == 4000 and visits[1] < 3 * 4000   # of 80 rings a query
+
+
+def test_neighbour_scores_share_one_search(spark, monkeypatch):
+    from txrisk.operators import outliers as O
+    rng = np.random.default_rng(2)
+    rows = [(i, *v) for i, v in enumerate(rng.integers(0, 12, (300, 2)).astype(float).tolist())]
+    df = spark.createDataFrame(rows, "TRANSACTION_ID long, a double, b double")
+    scores = lambda d, name: {r["TRANSACTION_ID"]: r[name] for r in d.collect()}
+    want = {"knn": scores(O.knn_distance(df, ["a", "b"], 5), "knn"), "abod": scores(O.abod(df, ["a", "b"], 10), "abod")}
+    searches, plain = [], O.knn_join
+    monkeypatch.setattr(O, "knn_join", lambda *args, **more: searches.append(1) or plain(*args, **more))
+    both = O.add_scores(df, ["a", "b"], ["knn", "abod"])
+    assert len(searches) == 1
+    for name in want:
+        assert scores(both, name) == {i: pytest.approx(x, abs=1e-12) for i, x in want[name].items()}

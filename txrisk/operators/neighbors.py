@@ -5,8 +5,8 @@ Neighbours are ordered by (distance, id). Two exact routes:
 * few reference rows (their number is checked): the reference matrix is broadcast and every query batch is
   compared with it;
 * otherwise reference rows are grouped around pivots and, inside a pivot's cell, into rings of similar
-  distance to the pivot. The distances to the pivots bound the k-th neighbour distance of a query and the
-  distance to every ring, so a query only visits rings that can hold a neighbour (Lu et al., VLDB 2012;
+  distance to the pivot. A query searches the nearest ring of its own cell first. The k-th distance found there bounds
+  its neighbours, the distances to the pivots bound every ring, so it only visits the other rings that can hold a neighbour (Lu et al., VLDB 2012;
   Jagadish et al., TODS 2005). Crowded rings and crowded query groups are split by hash.
 
 Copies cannot pile up: distinct vectors are compared, a reference vector carries the smallest ids of its rows (no others
@@ -25,7 +25,7 @@ from txrisk.functions.scale import attach, hash_u32, keep, num_partitions
 
 MAX_BROADCAST_REFS = 20_000
 MAX_BROADCAST_CELLS = 4_000_000   # rows x dimensions of a broadcast matrix
-RING_ROWS = 5_000                 # reference vectors per ring
+RING_ROWS = 2_000                 # reference vectors per ring
 QUERY_ROWS = 5_000                # queries per task group
 MAX_PIVOTS = 1_024
 
@@ -186,27 +186,52 @@ def _ring_search(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
     near_c, near_d = np.array(near_c), np.array(near_d)
     gaps = _distances(pivots, pivots)
 
+    def lower_bounds(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances to the pivots, what no row of a ring is nearer than, and the ring to begin with: the nearest of the own cell."""
+        d = _distances(_matrix(part["__v"]), pivots)
+        own = d.argmin(axis=1)
+        to_pivot = d[:, r_cell]
+        lower = np.maximum(to_pivot - r_max[None, :], r_min[None, :] - to_pivot)
+        home = np.where(r_cell[None, :] == own[:, None], lower, np.inf).argmin(axis=1)
+        # rows of another cell lie beyond the hyperplane between the two pivots
+        gap = gaps[own][:, r_cell]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (to_pivot ** 2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * gap)
+        return d, np.maximum(lower, np.where(gap > 0, plane, 0.0)), home
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for a in range(0, len(b), 2000):
+                part = b.iloc[a:a + 2000]
+                home = lower_bounds(part)[2]
+                yield pd.DataFrame({"__v": part["__v"].to_numpy(dtype=object), "cell": r_cell[home], "ring": r_ring[home]})
+
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for a in range(0, len(b), 2000):
                 part = b.iloc[a:a + 2000]
-                d = _distances(_matrix(part["__v"]), pivots)
-                upper = d[:, near_c] + near_d[None, :]
-                kth = min(k, upper.shape[1]) - 1
-                bound = np.partition(upper, kth, axis=1)[:, kth]
-                own = d.argmin(axis=1)
-                to_pivot = d[:, r_cell]
-                lower = np.maximum(to_pivot - r_max[None, :], r_min[None, :] - to_pivot)
-                # rows of another cell lie beyond the hyperplane between the two pivots
-                gap = gaps[own][:, r_cell]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (to_pivot ** 2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * gap)
-                lower = np.maximum(lower, np.where(gap > 0, plane, 0.0))
+                d, lower, home = lower_bounds(part)
+                bound = part["bound"].to_numpy(dtype=float, na_value=np.nan).copy()
+                open_ = np.flatnonzero(np.isnan(bound))   # fewer than k rows at home
+                if len(open_):
+                    upper = d[open_][:, near_c] + near_d[None, :]
+                    kth = min(k, upper.shape[1]) - 1
+                    bound[open_] = np.partition(upper, kth, axis=1)[:, kth]
+                lower[np.arange(len(part)), home] = np.inf   # searched already
                 slack = 1e-9 * (1.0 + np.abs(bound))
                 i, j = np.nonzero(lower <= (bound + slack)[:, None])
                 yield pd.DataFrame({"__v": np.asarray(part["__v"], dtype=object)[i], "cell": r_cell[j], "ring": r_ring[j]})
 
-    seen = keep(q.mapInPandas(visits, "__v array<double>, cell int, ring int"))
+    visit = "__v array<double>, cell int, ring int"
+    at_home = keep(_search_rings(keep(q.mapInPandas(homes, visit)), ringed, parts_of, k, _schema(r)))
+    # the k-th distance at home is far below what the pivots tell, so few other rings are left
+    bounds = at_home.groupBy("__v").agg(F.min(F.when(F.size("distance") >= k, F.element_at("distance", k))).alias("bound"))
+    return at_home.unionByName(_search_rings(keep(bounds.mapInPandas(visits, visit)), ringed, parts_of, k, _schema(r)))
+
+
+def _search_rings(seen: DataFrame, ringed: DataFrame, parts_of: dict[tuple[int, int], int], k: int, schema: str) -> DataFrame:
+    """The k nearest rows of every (query, ring) in ``seen``; crowded rings and query groups are split."""
+    spark = seen.sparkSession
     load = {(x["cell"], x["ring"]): x["count"] for x in seen.groupBy("cell", "ring").count().collect()}
     # rings without queries stay where they are
     plan = spark.createDataFrame([(*ring, parts_of[ring], int(-(-n // QUERY_ROWS))) for ring, n in load.items()],
@@ -224,4 +249,4 @@ def _ring_search(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
             return pd.DataFrame({"__v": [], "rid": [], "distance": []}, dtype=object)   # Arrow makes no lists of empty numbers
         return _pairs(_matrix(a["__v"]), a["__v"], _matrix(b["__v"]), list(b["ids"]), k)
 
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, _schema(r))
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, schema)

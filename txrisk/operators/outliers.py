@@ -225,15 +225,19 @@ def loda(df: DataFrame, features: list[str], bins: int = 10, n_projections: int
 # ------------------------------------------------------------------ neighbours
 
 def knn_distance(df: DataFrame, features: list[str], k: int = 5, method: str = "largest", refs: DataFrame | None = None,
-                 cols: Columns = DEFAULT, **search) -> DataFrame:
-    """(id, knn): distance to the k-th nearest row, or the mean or median over the k nearest."""
+                 cols: Columns = DEFAULT, found: DataFrame | None = None, **search) -> DataFrame:
+    """(id, knn): distance to the k-th nearest row, or the mean or median over the k nearest.
+
+    ``found`` is what ``_own_neighbours`` of the table gave for at least ``k``.
+    """
     pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
     fn = {"largest": F.max("distance"), "mean": F.avg("distance"), "median": F.median("distance")}[method]
     if refs is not None:
         nn = knn_join(pts, refs.select(F.col(cols.id).alias("id"), vector(features).alias("vec")), k, "id", "id", exclude_self=True, **search)
         return nn.groupBy(F.col("qid").alias(cols.id)).agg(fn.alias("knn"))
     one = _first_rows(pts)
-    score = knn_join(one, pts, k, "id", "id", exclude_self=True, **search).groupBy(F.col("qid").alias("id")).agg(fn.alias("knn"))
+    nn = knn_join(one, pts, k, "id", "id", exclude_self=True, **search) if found is None else found.where(F.col("rank") <= k)
+    score = nn.groupBy(F.col("qid").alias("id")).agg(fn.alias("knn"))
     return attach(pts, attach(one, score, "id", "inner").drop("id"), "vec", "inner").select(F.col("id").alias(cols.id), "knn")
 
 
@@ -243,12 +247,19 @@ def _first_rows(pts: DataFrame) -> DataFrame:
     return keep(pts.groupBy("vec").agg(F.min("id").alias("id")))
 
 
-def abod(df: DataFrame, features: list[str], k: int = 10, cols: Columns = DEFAULT, refs: DataFrame | None = None) -> DataFrame:
+def _own_neighbours(df: DataFrame, features: list[str], k: int, cols: Columns = DEFAULT) -> DataFrame:
+    """The k nearest other rows of the first row of every vector, for all scores that ask for them."""
+    pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
+    return keep(knn_join(_first_rows(pts), pts, k, "id", "id", exclude_self=True))
+
+
+def abod(df: DataFrame, features: list[str], k: int = 10, cols: Columns = DEFAULT, refs: DataFrame | None = None,
+         found: DataFrame | None = None) -> DataFrame:
     """(id, abod): minus the variance of the distance-weighted angles between pairs of the k nearest other rows (of ``refs``)."""
     pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
     ref = pts if refs is None else refs.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
     asked = _first_rows(pts) if refs is None else pts
-    nn = knn_join(asked, ref, k, "id", "id", exclude_self=True)
+    nn = knn_join(asked, ref, k, "id", "id", exclude_self=True) if found is None else found.where(F.col("rank") <= k)
     vecs = nn.join(ref.select(F.col("id").alias("neighbour"), F.col("vec").alias("nv")), "neighbour")
     near = vecs.groupBy("qid").agg(F.collect_list("nv").alias("ns"))   # k vectors
 
@@ -417,12 +428,15 @@ def add_scores(df: DataFrame, features: list[str], detectors: list[str], params:
     params = params or {}
     fit = df if fit_on is None else fit_on
     out = df
+    found = None
+    if fit_on is None and {"knn", "abod"} <= set(detectors) and not {"max_broadcast"} & set(params.get("knn", {})):
+        found = _own_neighbours(df, features, max(params.get("knn", {}).get("k", 5), params.get("abod", {}).get("k", 10)), cols)   # one search for both
     for name in detectors:
         p = params.get(name, {})
         if name == "knn":
-            out = attach(out, knn_distance(df, features, refs=fit_on, cols=cols, **p), cols.id)
+            out = attach(out, knn_distance(df, features, refs=fit_on, cols=cols, found=found, **p), cols.id)
         elif name == "abod":
-            out = attach(out, abod(df, features, cols=cols, **p), cols.id)
+            out = attach(out, abod(df, features, cols=cols, found=found, **p), cols.id)
         elif name in DETECTORS:
             out = fit_detector(fit, features, name, cols, **p).transform(out, name)
         else:
