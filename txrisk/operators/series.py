@@ -16,12 +16,13 @@ from txrisk.schema import DEFAULT, HOUR_US, Columns, micros
 
 def resample_daily(df: DataFrame, key: str, values: list[str], cols: Columns = DEFAULT) -> DataFrame:
     """(key, day, i, n, sums): every day from the key's first to its last one; empty days are 0."""
-    sums = df.groupBy(key, F.to_date(cols.ts).alias("day")).agg(*[F.sum(v).alias(v) for v in values])
-    span = sums.groupBy(key).agg(F.min("day").alias("__a"), F.max("day").alias("__b"))
-    grid = span.select(key, "__a", "__b", F.explode(F.sequence("__a", "__b")).alias("day"))
-    out = attach(grid, sums, [key, "day"])
+    sums = df.groupBy(key, F.to_date(cols.ts).alias("__day")).agg(*[F.sum(v).alias(v) for v in values]).where("__day IS NOT NULL")
+    whole = W.partitionBy(key)
+    # a day with rows brings the empty days up to the next one along, so that the series of a key stays where its days are
+    spans = sums.select("*", F.lead("__day").over(whole.orderBy("__day")).alias("__next"), F.min("__day").over(whole).alias("__a"), F.max("__day").over(whole).alias("__b"))
+    out = spans.select("*", F.explode(F.sequence("__day", F.coalesce(F.date_sub("__next", 1), "__day"))).alias("day"))
     return out.select(key, "day", F.datediff("day", "__a").alias("i"), (F.datediff("__b", "__a") + 1).alias("n"),
-                      *[F.coalesce(F.col(v), F.lit(0.0)).alias(v) for v in values])
+                      *[F.when(F.col("day") == F.col("__day"), F.coalesce(F.col(v), F.lit(0.0))).otherwise(0.0).alias(v) for v in values])
 
 
 def seasonal_table(df: DataFrame, key: str, value: str | None = None, period: int = 7, cols: Columns = DEFAULT) -> DataFrame:
@@ -35,10 +36,10 @@ def seasonal_table(df: DataFrame, key: str, value: str | None = None, period: in
     full = (F.col("i") >= half) & (F.col("i") < F.col("n") - half)
     d = d.withColumn("trend", F.when(full, F.avg("y").over(near))).withColumn("phase", F.pmod("i", F.lit(period)))
     d = d.withColumn("p", F.avg(F.col("y") - F.col("trend")).over(W.partitionBy(key, "phase")))
-    # every phase weighs the same in the centring mean
-    phases = d.groupBy(key, "phase").agg(F.first("p").alias("p")).groupBy(key).agg(
-        F.avg("p").alias("centre"), (F.max("p") - F.min("p")).alias("seasonal_amplitude"))
-    d = attach(d, phases, key)
+    # every phase weighs the same in the centring mean; the first days of a series hold each phase once
+    whole = W.partitionBy(key)
+    d = d.withColumns({"centre": F.avg(F.when(F.col("i") < period, F.col("p"))).over(whole),
+                       "seasonal_amplitude": F.max("p").over(whole) - F.min("p").over(whole)})
     resid = F.col("y") - F.col("trend") - (F.col("p") - F.col("centre"))
     return d.groupBy(key).agg(F.regr_slope("trend", "i").alias("trend_slope"),
                               F.first("seasonal_amplitude").alias("seasonal_amplitude"),

@@ -92,10 +92,38 @@ def over_key(df: DataFrame, key: str, features: list, cols: Columns = DEFAULT, *
     return out.select(*df.columns, *names)
 
 
-def _native(df: DataFrame, key: str, features: list, cols: Columns) -> DataFrame:
-    by_row = W.partitionBy(key).orderBy("__us", cols.id)
-    by_time = W.partitionBy(key).orderBy("__us")
-    whole = W.partitionBy(key)
+def one_outer(df: DataFrame, key: str, outer: str) -> bool:
+    """Whether no value of ``key`` stands with two values of ``outer``, null being a value."""
+    return df.select(key, outer).distinct().groupBy(key).count().where("count > 1").isEmpty()
+
+
+def over_nested_keys(df: DataFrame, blocks: list, cols: Columns = DEFAULT, *, hot_rows: int | None = None,
+                     source: DataFrame | None = None) -> DataFrame:
+    """Several keys whose groups lie inside those of the first: one shuffle by the first key serves all of them.
+
+    ``blocks`` are (key, features, finish, apart): ``finish`` turns a frame with the features into one with the columns to keep, ``apart`` adds
+    the whole block in the ordinary way, for rows of hot keys. That the groups are nested is the caller's to check (``one_outer``).
+    """
+    outer = blocks[0][0]
+    rows = df if source is None else source
+    heavy = heavy_keys(rows, [outer], hot_rows)
+    parts = split_hot(df, [outer], heavy)
+    out = parts.cold
+    for key, features, finish, _ in blocks:
+        raw = _native(out.withColumns({"__us": micros(cols.ts), "__now": micros(cols.ts)}), key, features, cols, None if key == outer else outer)
+        out = finish(raw, out.columns)
+    if parts.hot is not None:
+        hot, narrow = parts.hot, split_hot(rows, [outer], heavy).hot
+        for *_, apart in blocks:
+            hot = apart(hot, narrow)
+        out = out.unionByName(hot.select(out.columns))
+    return out
+
+
+def _native(df: DataFrame, key: str, features: list, cols: Columns, outer: str | None = None) -> DataFrame:
+    """Native frames; with ``outer``, a key that holds whole groups of ``key``, rows dealt by ``outer`` are not dealt again."""
+    whole = W.partitionBy(*([] if outer is None else [outer]), key)
+    by_row, by_time = whole.orderBy("__us", cols.id), whole.orderBy("__us")
     exprs = []
     for f in features:
         if isinstance(f, Prev):

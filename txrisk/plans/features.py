@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from txrisk.functions import rows as R
-from txrisk.functions.scale import attach, checkpoint
+from txrisk.functions.scale import MAX_BROADCAST_KEYS, attach, checkpoint
 from txrisk.operators import aggregates as A, series as S, windows as Wn
 from txrisk.schema import DAY_US, DEFAULT, HOUR_US, MINUTE_US, Columns, micros
 
@@ -75,13 +75,9 @@ def key_features(key: str, o: FeatureOptions, cols: Columns) -> list:
     return out
 
 
-def add_key_block(df: DataFrame, key: str, o: FeatureOptions, cols: Columns, hot_rows: int | None = None,
-                  source: DataFrame | None = None) -> DataFrame:
-    """All windows of one key: one shuffle for ordinary keys."""
-    feats = key_features(key, o, cols)
-    raw = Wn.over_key(df.withColumn("__now", micros(cols.ts)), key, feats, cols, hot_rows=hot_rows,
-                      source=df if source is None else source)
-    keep = [F.col(f.name) for f in feats if not f.name.startswith("__") and not f.name.endswith("_Std")]
+def _finish_block(raw: DataFrame, names: list[str], key: str, o: FeatureOptions, cols: Columns) -> DataFrame:
+    """The columns ``names`` and the block's final columns from evaluated ``key_features``."""
+    keep = [F.col(f.name) for f in key_features(key, o, cols) if not f.name.startswith("__") and not f.name.endswith("_Std")]
     mean, moving = F.col(f"{key}_{cols.amount}_Mean"), F.col(f"{key}_MovingAvg_{o.moving_rows}")
     new = [F.coalesce((F.col("__now") - F.col(f"__prev_{key}")) / MINUTE_US, F.lit(0.0)).alias(f"{key}_TimeSinceLast"),
            Wn.ratio(moving - mean, Wn.settled(mean, F.col(f"__size_{key}_{cols.amount}"))).alias(f"{key}_PctChangeFromAvg")]
@@ -91,7 +87,26 @@ def add_key_block(df: DataFrame, key: str, o: FeatureOptions, cols: Columns, hot
         new += [((F.col("__now") - F.col("__first")) / HOUR_US).alias(f"{key}_CumHours"),
                 F.coalesce(F.col(cols.amount) - F.col("__pa"), F.lit(0.0)).alias(f"{key}_AmountDelta"),
                 F.coalesce(F.col(cols.value) - F.col("__pv"), F.lit(0.0)).alias(f"{key}_ValueDelta")]
-    return raw.select(*df.columns, *keep, *new)
+    return raw.select(*names, *keep, *new)
+
+
+def add_key_block(df: DataFrame, key: str, o: FeatureOptions, cols: Columns, hot_rows: int | None = None,
+                  source: DataFrame | None = None) -> DataFrame:
+    """All windows of one key: one shuffle for ordinary keys."""
+    raw = Wn.over_key(df.withColumn("__now", micros(cols.ts)), key, key_features(key, o, cols), cols, hot_rows=hot_rows,
+                      source=df if source is None else source)
+    return _finish_block(raw, df.columns, key, o, cols)
+
+
+def _add_counted_block(df: DataFrame, key: str, o: FeatureOptions, cols: Columns, hot_rows: int | None, source: DataFrame) -> DataFrame:
+    return A.daily_count(add_key_block(df, key, o, cols, hot_rows, source), key, cols=cols, source=source)
+
+
+def _nested_block(key: str, outer: str, o: FeatureOptions, cols: Columns, hot_rows: int | None) -> tuple:
+    """A block of ``over_nested_keys``: windows and daily count of a key inside ``outer``."""
+    day = W.partitionBy(*dict.fromkeys((outer, key)), F.to_date(cols.ts))
+    finish = lambda raw, names: _finish_block(raw, names, key, o, cols).select("*", F.count(F.lit(1)).over(day).alias(f"Daily_{key}_TxnCount"))
+    return key, key_features(key, o, cols), finish, lambda rows, source: _add_counted_block(rows, key, o, cols, hot_rows, source)
 
 
 def build_features(df: DataFrame, state: FeatureState, o: FeatureOptions = FeatureOptions(), cols: Columns = DEFAULT,
@@ -101,15 +116,13 @@ def build_features(df: DataFrame, state: FeatureState, o: FeatureOptions = Featu
     group_key = cols.client if o.use_client else cols.account
     # tables of statistics are computed from the narrow source, never from the growing feature table
     source = R.add_client_key(df, cols) if o.use_client else df
-    out = R.calendar_features(source, cols)
-    for key in keys:
-        out = add_key_block(out, key, o, cols, hot_rows, source)
-        if key != cols.customer:
-            out = A.daily_count(out, key, cols=cols, source=source)
-    out = A.batch_features(out, cols, source)
+    # statistics are joined and windows run on rows that are as narrow as they can be; what a row tells by itself is added last and never moved
+    out = A.batch_features(source, cols, source)
+    batch = out.columns[len(source.columns):]
+    sizes = {r["column"]: r["count"] for r in state.rates.groupBy("column").count().collect()} if o.rate_columns else {}
     for c in o.rate_columns:
         table = state.rates.where(F.col("column") == c).select(F.col("category").alias(c), F.col("rate").alias(f"{c}_FraudRate"))
-        out = A.lookup_with_fallback(out, table, c, source)
+        out = A.lookup_with_fallback(out, F.broadcast(table) if sizes.get(c, 0) <= MAX_BROADCAST_KEYS else table, c, source)
     if o.seasonal:
         out = S.seasonal_features(out, group_key, cols=cols, source=source)
     if o.fft:
@@ -120,6 +133,24 @@ def build_features(df: DataFrame, state: FeatureState, o: FeatureOptions = Featu
         out = Wn.sessionize(out, group_key, o.session_gap_minutes, cols, hot_rows, source)
         sessions = A.session_stats(Wn.sessionize(source, group_key, o.session_gap_minutes, cols, hot_rows), group_key, cols=cols)
         out = attach(out, sessions, [group_key, "SessionId"])
+    joined = out.columns[len(source.columns) + len(batch):]
+    # the block that is moved again first, then those that one shuffle serves
+    before = out.columns
+    out = add_key_block(out, cols.customer, o, cols, hot_rows, source)
+    blocks = {cols.customer: out.columns[len(before):]}
+    groups = [k for k in keys if k != cols.customer]
+    before = out.columns
+    if all(Wn.one_outer(source, k, groups[0]) for k in groups[1:]):
+        out = Wn.over_nested_keys(out, [_nested_block(k, groups[0], o, cols, hot_rows) for k in groups], cols, hot_rows=hot_rows, source=source)
+    else:
+        for key in groups:
+            out = _add_counted_block(out, key, o, cols, hot_rows, source)
+    added = out.columns[len(before):]
+    ends = [added.index(f"Daily_{k}_TxnCount") + 1 for k in groups]
+    blocks |= {k: added[a:b] for k, a, b in zip(groups, [0, *ends], ends)}
+    out = R.calendar_features(out, cols)
+    calendar = [c for c in out.columns if c not in {*source.columns, *batch, *joined, *(c for k in keys for c in blocks[k])}]
+    out = out.select(*source.columns, *calendar, *[c for k in keys for c in blocks[k]], *batch, *joined)
     if o.crosses:
         out = R.temporal_identity_crosses(R.cross_features(out, cols=cols), cols)
     if o.cycles:
