@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from txrisk.functions.scale import attach, checkpoint
 from txrisk.operators.aggregates import unpivot_counts
 from txrisk.operators.encoders import similarity_table
-from txrisk.operators.windows import label_us, rolling_category_counts
+from txrisk.operators.windows import counts_in_frames, label_us
 from txrisk.schema import DAY_US, DEFAULT, HOUR_US, Columns
 
 # Hex digits of the digest by which values are dealt before they are numbered: at most 4,096 counts per column are summed up.
@@ -68,7 +68,7 @@ def sparse(size: int, items: Column) -> Column:
     Spark has no expression from columns to sparse vectors other than a Python UDF; the JSON reader knows the type and stays in the JVM.
     """
     kind = "array<struct<number:int,value:double>>"
-    got = F.array_sort(F.coalesce(items.cast(kind), F.array().cast(kind)))
+    got = F.sort_array(F.coalesce(items.cast(kind), F.array().cast(kind)))
     parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), got["number"].alias("indices"), got["value"].alias("values"))
     return F.from_json(F.to_json(F.struct(parts.alias("v"))), _BOXED)["v"]
 
@@ -103,12 +103,11 @@ def client_count_vectors(df: DataFrame, key: str, names: list[str], dictionary:
 def rolling_category_vectors(df: DataFrame, key: str, category: str, dictionary: CategoryDictionary,
                              widths_us: tuple[int, ...] = (HOUR_US, DAY_US, 3 * DAY_US, 7 * DAY_US), cols: Columns = DEFAULT, hot_rows: int | None = None) -> DataFrame:
     """``<category>_Counts_<window>``: how often each value stands in the key's (t - w, t], own row included."""
-    long = rolling_category_counts(df, key, category, widths_us, cols, hot_rows)
-    coded = attach(long.withColumn("__cat", F.col("Value").cast("string")), dictionary.of(category, "__cat"), "__cat")
-    labels = [label_us(w) for w in widths_us]
-    found = coded.groupBy(cols.id).agg(*[F.collect_list(F.when(F.col("Window") == n, _item(F.col("Count")))).alias(f"__counts_{n}") for n in labels])
-    out = attach(df, found, cols.id)
-    return out.select(*df.columns, *[sparse(dictionary.sizes[category], F.col(f"__counts_{n}")).alias(f"{category}_Counts_{n}") for n in labels])
+    # values become numbers once a row, before the windows
+    coded = attach(df.withColumn("__cat", F.col(category).cast("string")), dictionary.of(category, "__cat"), "__cat").drop("__cat")
+    out = counts_in_frames(coded, key, "__number", widths_us, cols, hot_rows)
+    item = lambda x: F.struct(x["value"].alias("number"), x["count"].alias("value"))
+    return out.select(*df.columns, *[sparse(dictionary.sizes[category], F.transform(f"__counts_{n}", item)).alias(f"{category}_Counts_{n}") for n in map(label_us, widths_us)])
 
 
 def similarity_vectors(df: DataFrame, name: str, dictionary: CategoryDictionary, vectors: DataFrame | None = None, least: float = 0.0) -> DataFrame:

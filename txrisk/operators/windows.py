@@ -18,7 +18,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from txrisk.functions.scale import attach, heavy_keys, split_hot, time_offsets
+from txrisk.functions.scale import attach, heavy_keys, num_partitions, split_hot, time_offsets
 from txrisk.schema import DAY_US, DEFAULT, HOUR_US, MINUTE_US, Columns, micros
 
 FRAME_SLICES = 16  # time slices per shortest frame of the sliced route
@@ -459,10 +459,47 @@ def category_values(df: DataFrame, category: str) -> list[str]:
     return values
 
 
+def counts_in_frames(df: DataFrame, key: str, value: str, widths_us: tuple[int, ...], cols: Columns = DEFAULT, hot_rows: int | None = None) -> DataFrame:
+    """``df`` with ``__counts_<window>`` per width: (value, count) of the values that the key's (t - w, t] holds, in the order of the values.
+
+    A frame of an ordinary key is collected, sorted and counted by its runs, which costs what the frame holds; rows of hot keys are counted value by value.
+    """
+    heavy = heavy_keys(df, [key], hot_rows)
+    parts = split_hot(df, [key], heavy)
+    names = {w: f"__counts_{label_us(w)}" for w in widths_us}
+    by_time = W.partitionBy(key).orderBy("__us")
+    # an explicit count keeps the frames spread out even when the rows are small
+    cold = parts.cold.repartition(num_partitions(df.sparkSession), key)
+    frames = cold.withColumn("__us", micros(cols.ts)).select("*", *[F.collect_list(value).over(by_time.rangeBetween(1 - w, 0)).alias(n) for w, n in names.items()])
+    # one step a select: Spark does not fold in what the next one reads more than once
+    frames = frames.select(*df.columns, *[F.sort_array(n).alias(n) for n in names.values()])
+    first = lambda n: F.array_compact(F.transform(n, lambda x, i: F.when((i == 0) | (x != F.get(n, i - 1)), i)))
+    frames = frames.select("*", *[first(n).alias(f"__first{n}") for n in names.values()])
+    until = lambda n, j: F.coalesce(F.get(f"__first{n}", j + 1), F.size(n))
+    counted = lambda n: F.transform(f"__first{n}", lambda i, j: F.struct(F.get(n, i).alias("value"), (until(n, j) - i).cast("long").alias("count")))
+    out = frames.select(*df.columns, *[counted(n).alias(n) for n in names.values()])
+    if parts.hot is not None:
+        long = _counts_by_value(parts.hot, key, value, widths_us, cols, hot_rows)
+        found = long.groupBy(cols.id).agg(*[F.sort_array(F.collect_list(F.when(F.col("Window") == label_us(w), F.struct(F.col("Value").alias("value"), F.col("Count").alias("count")))))
+                                            .alias(n) for w, n in names.items()])
+        none = F.array().cast(dict(found.dtypes)[names[widths_us[0]]])
+        out = out.unionByName(attach(parts.hot, found, cols.id).withColumns({n: F.coalesce(n, none) for n in names.values()}))
+    return out
+
+
 def rolling_category_counts(df: DataFrame, key: str, category: str,
                             widths_us: tuple[int, ...] = (HOUR_US, DAY_US, 3 * DAY_US, 7 * DAY_US),
                             cols: Columns = DEFAULT, hot_rows: int | None = None) -> DataFrame:
-    """(id, Window, Value, Count): one row per transaction, window and value that the window holds, for any number of values.
+    """(id, Window, Value, Count): one row per transaction, window and value that the window holds, for any number of values."""
+    d = df.select(cols.id, cols.ts, F.col(key).alias("__key"), F.col(category).alias("__value"))
+    found = counts_in_frames(d, "__key", "__value", widths_us, cols, hot_rows)
+    item = lambda n: lambda x: F.struct(F.lit(n).alias("Window"), x["value"].alias("Value"), x["count"].alias("Count"))
+    items = F.flatten(F.array(*[F.transform(f"__counts_{n}", item(n)) for n in map(label_us, widths_us)]))
+    return found.select(cols.id, F.explode(items).alias("__x")).select(cols.id, "__x.*")
+
+
+def _counts_by_value(df: DataFrame, key: str, category: str, widths_us: tuple[int, ...], cols: Columns, hot_rows: int | None) -> DataFrame:
+    """(id, Window, Value, Count) without collecting a frame.
 
     The values of a key are numbered and dealt in chunks; a row goes once to every chunk of its key, where one rolling sum per value counts.
     """
@@ -484,18 +521,12 @@ def rolling_category_counts(df: DataFrame, key: str, category: str,
 
 def _many_category_stats(df: DataFrame, key: str, category: str, widths_us: tuple[int, ...], cols: Columns, hot_rows: int | None) -> DataFrame:
     """The same statistics from long counts; the counts per value are a map."""
-    long = rolling_category_counts(df, key, category, widths_us, cols, hot_rows)
-    here = lambda n, e: F.when(F.col("Window") == n, e)
-    stats = long.groupBy(cols.id).agg(*[e for n in map(label_us, widths_us) for e in (
-        F.count(here(n, F.lit(1))).cast("int").alias(f"__distinct_{n}"),
-        F.min(here(n, F.struct(-F.col("Count"), F.col("Value").alias("v")))).alias(f"__mode_{n}"),
-        F.map_from_entries(F.sort_array(F.collect_list(here(n, F.struct("Value", "Count"))))).alias(f"__counts_{n}"))])
     feats = [Rolling(f"__n_{w}", "count", w) for w in widths_us]
-    out = attach(over_key(df, key, feats, cols, hot_rows=hot_rows), stats, cols.id)
-    none = F.create_map().cast(dict(stats.dtypes)[f"__counts_{label_us(widths_us[0])}"])
+    out = counts_in_frames(over_key(df, key, feats, cols, hot_rows=hot_rows), key, category, widths_us, cols, hot_rows)
+    mode = lambda c: F.array_min(F.transform(c, lambda x: F.struct((-x["count"]).alias("n"), x["value"].alias("v"))))["v"]
     return out.select(*df.columns, *[e for w in widths_us for n in [label_us(w)] for e in (
-        F.col(f"__n_{w}").alias(f"{category}_Count_{n}"), F.coalesce(F.col(f"__distinct_{n}"), F.lit(0)).alias(f"{category}_Distinct_{n}"),
-        F.col(f"__mode_{n}.v").alias(f"{category}_Mode_{n}"), F.coalesce(F.col(f"__counts_{n}"), none).alias(f"{category}_Counts_{n}"))])
+        F.col(f"__n_{w}").alias(f"{category}_Count_{n}"), F.size(f"__counts_{n}").alias(f"{category}_Distinct_{n}"),
+        mode(f"__counts_{n}").alias(f"{category}_Mode_{n}"), F.map_from_entries(f"__counts_{n}").alias(f"{category}_Counts_{n}"))])
 
 
 def rolling_category_stats(df: DataFrame, key: str, category: str,
