@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from txrisk.operators.windows import rolling_count, rolling_mean
 from txrisk.schema import DAY_US, HOUR_US
-from txrisk.streaming.velocity import Window, run_available, streaming_exact_velocity
+from txrisk.streaming.velocity import CHUNK_ROWS, Window, packed, run_available, streaming_exact_velocity, unpacked
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "TRANSACTION_ID long, AccountId string, TX_DATETIME timestamp, TX_AMOUNT double"
@@ -85,3 +85,11 @@ def test_window_drops_without_subtracting():
             assert abs(mean - sum(known) / len(known)) < 1e-12
     w.drop(at)
     assert w.count_and_mean() == (0, None) and not w.new and not w.old
+
+
+def test_state_holds_chunks_of_rows():
+    nan = float("nan")
+    rows = [(i, None if i % 5 == 0 else f"r{i}", [None, 0.1, -1e300, nan][i % 4]) for i in range(2 * CHUNK_ROWS + 3)]
+    chunks = packed(rows)
+    assert len(chunks) == 3 and all(isinstance(c, bytes) for c, in chunks) and packed([]) == []
+    assert str(unpacked(iter(chunks))) == str(rows) and unpacked(iter([])) == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, functions as F
@@ -52,8 +53,20 @@ class Window:
         return n, total / known if known else None
 
 
+# Rows of a key that make one entry of its state: entries are written and read one by one, which costs more than what they hold.
+CHUNK_ROWS = 4096
+
+
+def packed(rows: list[tuple]) -> list[tuple[bytes]]:
+    return [(pickle.dumps(tuple(zip(*rows[a:a + CHUNK_ROWS])), 4),) for a in range(0, len(rows), CHUNK_ROWS)]
+
+
+def unpacked(chunks: Iterator[tuple[bytes]]) -> list[tuple]:
+    return [row for chunk, in chunks for row in zip(*pickle.loads(chunk))]
+
+
 class ExactVelocity(StatefulProcessor):
-    """State of a key: rows that wait for the watermark, and released rows that later windows still reach."""
+    """State of a key: rows that wait for the watermark, and released rows that later windows still reach, both in chunks."""
 
     def __init__(self, key: str, counts: tuple[int, ...], means: tuple[int, ...]):
         self.key, self.counts, self.means = key, counts, means
@@ -61,25 +74,25 @@ class ExactVelocity(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, id string, amount double")
-        self.released = handle.getListState("released", "us long, id string, amount double")
+        self.waiting = handle.getListState("waiting", "chunk binary")
+        self.released = handle.getListState("released", "chunk binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new = [(r["us"], r["id"], r["amount"]) for r in rows]
-        self.waiting.appendList(new)
+        self.waiting.appendList(packed(new))
         self.handle.registerTimer(min(us for us, _, _ in new) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         closed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        reach = [tuple(r) for r in self.released.get()] if self.released.exists() else []
+        waiting, reach = unpacked(self.waiting.get()), unpacked(self.released.get())
         ready = sorted((r for r in waiting if r[0] <= closed), key=lambda r: (r[0], r[1] or ""))
         later = [r for r in waiting if r[0] > closed]
         windows = {w: Window() for w in self.widths}
         for us, _, amount in reach:
             for w in windows.values():
                 w.push(us, amount)
+        result = Row(self.key, "id", "us", *(f"n{w}" for w in self.counts), *(f"m{w}" for w in self.means))
         out, i = [], 0
         while i < len(ready):
             us, j = ready[i][0], i
@@ -91,12 +104,14 @@ class ExactVelocity(StatefulProcessor):
             for width, w in windows.items():
                 w.drop(us - width)
                 found[width] = w.count_and_mean()
-            out += [Row(**{self.key: key[0]}, id=r[1], us=us, **{f"n{w}": found[w][0] for w in self.counts}, **{f"m{w}": found[w][1] for w in self.means}) for r in ready[i:j]]
+            numbers = [*(found[w][0] for w in self.counts), *(found[w][1] for w in self.means)]
+            out += [result(key[0], r[1], us, *numbers) for r in ready[i:j]]
             i = j
         # a later row lies beyond the watermark, so its windows reach back no further than this
         left = [r for r in [*reach, *ready] if r[0] > closed - self.widths[-1]]
-        for state, rows in ((self.waiting, later), (self.released, left)):
-            state.put(rows) if rows else state.clear()
+        for state, rows, before in ((self.waiting, later, waiting), (self.released, left, reach)):
+            if rows != before:
+                state.put(packed(rows)) if rows else state.clear()
         if later:
             self.handle.registerTimer(min(us for us, _, _ in later) // 1000)
         if left:   # an idle key forgets its rows
