@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +19,9 @@ from txrisk.operators.aggregates import equal_width_bin
 from txrisk.operators.neighbors import knn_join, vector
 from txrisk.schema import DEFAULT, Columns
 
+# From so many columns on, covariances are matrix products: hundreds of aggregates in one make code that Java does not compile.
+WIDE = 8
+
 
 # ------------------------------------------------------------------ isolation forest
 
@@ -355,16 +359,42 @@ def mahalanobis(features: list[str], mean: np.ndarray, precision: np.ndarray) ->
 
 
 def moments(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, population covariance, rows): p x p numbers from one aggregate."""
+    """(mean, population covariance, rows): p x p numbers from one aggregate, or from two when they are many."""
     p = len(features)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     c = [F.col(f).cast("double") for f in features]
+    wide = p >= WIDE
     r = df.agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(c)],
-               *[F.covar_pop(c[i], c[j]).alias(f"v{i}_{j}") for i, j in pairs]).first()
+               *[F.covar_pop(c[i], c[j]).alias(f"v{i}_{j}") for i, j in ([] if wide else pairs)]).first()
     cov = np.zeros((p, p))
-    for i, j in pairs:
+    for i, j in [] if wide else pairs:
         cov[i, j] = cov[j, i] = r[f"v{i}_{j}"] or 0.0
-    return np.array([r[f"m{i}"] or 0.0 for i in range(p)]), cov, r["n"]
+    mean = np.array([r[f"m{i}"] or 0.0 for i in range(p)])
+    return mean, _covariance(df, c, np.where(np.isfinite(mean), mean, 0.0)) if wide else cov, r["n"]
+
+
+def _covariance(df: DataFrame, values: list[Column], centre: np.ndarray) -> np.ndarray:
+    """Population covariances of rows where both values are there, around ``centre``; one matrix product a batch. NaN and infinity spoil their pairs."""
+    p = len(values)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, p, p))
+        for b in batches:
+            if b.num_rows:
+                x = b["x"].flatten()
+                there = ~x.is_null().to_numpy(zero_copy_only=False).reshape(b.num_rows, p)
+                x = x.to_numpy(zero_copy_only=False).reshape(b.num_rows, p) - centre
+                odd = there & ~np.isfinite(x)
+                x, m, q = np.where(there & ~odd, x, 0.0), there.astype(float), odd.astype(float)
+                total += np.stack([m.T @ m, x.T @ m, x.T @ x, q.T @ m + m.T @ q])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["j", "v"])
+
+    total = np.zeros(4 * p * p)
+    for r in df.select(F.array(*values).alias("x")).mapInArrow(products, "j int, v double").groupBy("j").agg(F.sum("v").alias("v")).collect():
+        total[r["j"]] = r["v"]
+    n, s, xy, odd = total.reshape(4, p, p)
+    some = np.maximum(n, 1.0)
+    return np.where(odd > 0, np.nan, xy / some - (s / some) * (s / some).T)
 
 
 def mcd(df: DataFrame, features: list[str], support: float | None = None, max_steps: int = 10) -> McdModel:

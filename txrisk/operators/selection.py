@@ -194,8 +194,8 @@ def group_lasso_selection(df: DataFrame, numeric: list[str], categorical: list[s
     from txrisk.operators.encoders import md5_mod
     scaled = standard_scaler(df, numeric).transform(df.select(label, *numeric, *categorical)) if numeric else df
     slots = {c: [f"{c}__{j}" for j in range(n_hash)] for c in categorical}
-    x = scaled.withColumns({s: (md5_mod(F.coalesce(F.col(c).cast("string"), F.lit("nan")), n_hash) == j).cast("double")
-                            for c in categorical for j, s in enumerate(slots[c])})
+    x = scaled.withColumns({f"__slot_{c}": md5_mod(F.coalesce(F.col(c).cast("string"), F.lit("nan")), n_hash) for c in categorical})
+    x = x.withColumns({s: (F.col(f"__slot_{c}") == j).cast("double") for c in categorical for j, s in enumerate(slots[c])})
     names = [*numeric, *[s for c in categorical for s in slots[c]]]
     _, cov, _ = moments(x.withColumn("__y", F.col(label).cast("double")), [*names, "__y"])
     gram, target = cov[:-1, :-1], cov[:-1, -1]
