@@ -66,3 +66,13 @@ def test_empty_table_gives_the_zero_model(spark):
     out = ProximalHinge().fit(df.limit(0)).transform(df)
     assert [r.prediction for r in out.collect()] == [0.0] * 10
     assert ProximalHinge().fit(df.withColumn("weight", F.lit(0.0))).intercept == 0.0
+
+
+def test_rounds_read_blocks_of_rows(spark):
+    from txrisk.operators import linear as L
+    n = 2 * L.BLOCK_ROWS + 5
+    rows = spark.range(0, n, 1, 2).select(F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0).alias("y"), F.lit(2.0).alias("w"), F.array(F.col("id").cast("double"), F.lit(0.5)).alias("x"))
+    blocks = L._blocks(rows)
+    assert 3 <= blocks.count() <= 6 and blocks.first()["p"] == 2
+    got = L._sums(blocks, lambda y, w, x: np.concatenate([[len(y), w.sum(), y.sum()], w @ x]), 5)
+    assert got.tolist() == [n, 2 * n, sum(1 if i % 3 == 0 else -1 for i in range(n)), n * (n - 1), n]

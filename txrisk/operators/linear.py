@@ -19,6 +19,7 @@ from txrisk.schema import DEFAULT, Columns
 
 # Widths of the rounded corner; the loss is off by at most half the last one.
 WIDTHS = (0.5, 0.07, 0.01)
+BLOCK_ROWS = 4096
 
 
 class HingeModel(Model):
@@ -49,14 +50,15 @@ class ProximalHinge(Estimator):
 
     def _fit(self, df: DataFrame) -> HingeModel:
         w = F.col(self.weight).cast("double") if self.weight in df.columns else F.lit(1.0)
-        rows = keep(df.select(F.when(F.col(self.cols.label) == 1, 1.0).otherwise(-1.0).alias("y"), w.alias("w"), vector_to_array("features").alias("x")))
+        rows = df.select(F.when(F.col(self.cols.label) == 1, 1.0).otherwise(-1.0).alias("y"), w.alias("w"), vector_to_array("features").alias("x"))
+        blocks = keep(_blocks(rows))
         try:
-            return self._solve(rows)
+            return self._solve(blocks)
         finally:
-            rows.unpersist()
+            blocks.unpersist()
 
     def _solve(self, rows: DataFrame) -> HingeModel:
-        first = rows.select(F.size("x").alias("p")).first()
+        first = rows.select("p").first()
         if first is None:
             return HingeModel(np.zeros(0), 0.0, [])
         p = first.p
@@ -100,16 +102,28 @@ class ProximalHinge(Estimator):
         return self.alpha * (self.l1_ratio * np.abs(b).sum() + (1 - self.l1_ratio) / 2 * (b @ b))
 
 
-def _sums(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(p, block): at most ``BLOCK_ROWS`` rows of label, weight and p features as one run of bytes, so that a round reads numbers and converts no rows."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                whole = np.column_stack([b["y"].to_numpy(zero_copy_only=False), b["w"].to_numpy(zero_copy_only=False), x])
+                for a in range(0, len(whole), BLOCK_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([whole[a:a + BLOCK_ROWS].tobytes()], pa.binary())], names=["p", "block"])
+    return rows.mapInArrow(pack, "p int, block binary")
+
+
+def _sums(blocks: DataFrame, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """Sum of ``part`` (labels, weights, features) over all rows: every task sends one number per place, summed by place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
-            if b.num_rows:
-                x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                total += part(b["y"].to_numpy(zero_copy_only=False), b["w"].to_numpy(zero_copy_only=False), x)
+            for p, block in zip(b["p"].to_pylist(), b["block"]):
+                m = np.frombuffer(block.as_buffer(), dtype=float).reshape(-1, p + 2)
+                total += part(m[:, 0], m[:, 1], m[:, 2:])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["j", "v"])
     out = np.zeros(size)
-    for r in rows.mapInArrow(run, "j int, v double").groupBy("j").agg(F.sum("v").alias("v")).collect():
+    for r in blocks.mapInArrow(run, "j int, v double").groupBy("j").agg(F.sum("v").alias("v")).collect():
         out[r["j"]] = r["v"]
     return out
