@@ -81,3 +81,39 @@ def test_neighbour_scores_share_one_search(spark, monkeypatch):
     assert len(searches) == 1
     for name in want:
         assert scores(both, name) == {i: pytest.approx(x, abs=1e-12) for i, x in want[name].items()}
+
+
+@pytest.mark.parametrize("step", [1.0, 0.01])
+def test_numbers_are_searched_in_order(spark, monkeypatch, step):
+    """One number a vector: buckets of the order, no rings; the values of a bucket need not be many, queries may lie outside."""
+    monkeypatch.setattr(N, "BUCKET_VALUES", 20)
+    monkeypatch.setattr(N, "_ring_search", lambda *a: pytest.fail("searched rings"))
+    rng = np.random.default_rng(5)
+    points = {i: [float(round(v / step) * step)] for i, v in enumerate(rng.normal(0, 20, 500) ** 2)}
+    points |= {500: [-1e6], 501: [-0.0], 502: [0.0], 503: [1e6]}
+    refs = spark.createDataFrame(list(points.items()), "id long, vec array<double>")
+    got = N.knn_join(refs, refs, 4, "id", "id", exclude_self=True, max_broadcast=10)
+    assert _found(got) == _plain(points, points, 4)
+    far = spark.createDataFrame([(1, [5e6]), (2, [-5e6]), (3, [77.7])], "id long, vec array<double>")
+    few = {i: p for i, p in points.items() if i % 20 == 0 or i > 499}
+    got = N.knn_join(far, refs.where(F.col("id").isin(list(few))), 3, "id", "id", max_broadcast=10)
+    want = [(q, r + 1, j, round(d, 9)) for q, x in ((1, 5e6), (2, -5e6), (3, 77.7)) for r, (d, j) in enumerate(sorted((abs(p[0] - x), i) for i, p in few.items())[:3])]
+    assert _found(got) == want
+
+
+def test_scores_of_distinct_vectors_reach_their_rows_by_one_join(spark):
+    from txrisk.operators import outliers as O
+    rows = [(i, float(i % 40), 0.0 if i % 2 else -0.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "TRANSACTION_ID long, a double, b double")
+    names = ["hbos", "loda", "knn", "abod"]
+    got = O.add_scores(df, ["a", "b"], names)
+    assert got.columns == [*df.columns, *names]
+    scored = {r["TRANSACTION_ID"]: r for r in got.collect()}
+    assert len(scored) == 400 and all(x[n] is not None for x in scored.values() for n in names)
+    for n, fit in (("hbos", O.hbos), ("loda", O.loda)):
+        want = {r["TRANSACTION_ID"]: r[n] for r in fit(df, ["a", "b"]).transform(df, n).collect()}
+        assert {i: r[n] for i, r in scored.items()} == {i: pytest.approx(x, abs=1e-12) for i, x in want.items()}
+    asked = got._jdf.queryExecution().executedPlan().toString()
+    assert asked.count("PythonUDF") + asked.count("ArrowEvalPython") > 0 and "TRANSACTION_ID" in asked
+    # the id of a row is no join key: scores come by the vector
+    assert not [line for line in asked.splitlines() if "Join" in line and "TRANSACTION_ID" in line.split("Join", 1)[1].split("]")[0]]

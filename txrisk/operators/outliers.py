@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from txrisk.functions.scale import attach, hash_u32, keep, num_partitions, top_share_cut
 from txrisk.operators.aggregates import equal_width_bin
-from txrisk.operators.neighbors import knn_join, vector
+from txrisk.operators.neighbors import attach_vectors, knn_join, vector
 from txrisk.schema import DEFAULT, Columns
 
 # From so many columns on, covariances are matrix products: hundreds of aggregates in one make code that Java does not compile.
@@ -199,28 +199,32 @@ def loda(df: DataFrame, features: list[str], bins: int = 10, n_projections: int
     weights = loda_weights(len(features), n_projections, seed)
     x = df.select(vector(features).alias("v"))
 
-    def limits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def projected(b: pa.RecordBatch) -> np.ndarray:
+        return b["v"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(features)) @ weights
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                z = np.stack([np.asarray(a, dtype=float) for a in b["v"]]) @ weights
-                yield pd.DataFrame({"i": range(z.shape[1]), "a": z.min(axis=0), "b": z.max(axis=0), "n": len(z)})
+            if b.num_rows:
+                z = projected(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(z.shape[1], dtype=np.int32)), pa.array(z.min(axis=0)), pa.array(z.max(axis=0)),
+                                                  pa.array(np.full(z.shape[1], len(z)))], names=["i", "a", "b", "n"])
 
-    r = x.mapInPandas(limits, "i int, a double, b double, n long").groupBy("i").agg(
+    r = x.mapInArrow(limits, "i int, a double, b double, n long").groupBy("i").agg(
         F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).orderBy("i").collect()
     low = np.array([q["a"] for q in r])
     width = np.array([(q["b"] - q["a"]) / bins or 1.0 for q in r])
     n = r[0]["n"]
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                z = np.stack([np.asarray(a, dtype=float) for a in b["v"]]) @ weights
+            if b.num_rows:
+                z = projected(b)
                 k = _bin_index(z, low, width, bins) + bins * np.arange(z.shape[1])[None, :]
                 c = np.bincount(k.ravel(), minlength=bins * z.shape[1])
-                yield pd.DataFrame({"k": range(len(c)), "c": c})
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c), dtype=np.int32)), pa.array(c)], names=["k", "c"])
 
     c = np.zeros(bins * n_projections)
-    for q in x.mapInPandas(counts, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
+    for q in x.mapInArrow(counts, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
         c[q["k"]] = q["c"]
     density = c.reshape(n_projections, bins) / (n * width[:, None])
     return LodaModel(features, weights, low, width, -np.log2(density + alpha))
@@ -229,20 +233,25 @@ def loda(df: DataFrame, features: list[str], bins: int = 10, n_projections: int
 # ------------------------------------------------------------------ neighbours
 
 def knn_distance(df: DataFrame, features: list[str], k: int = 5, method: str = "largest", refs: DataFrame | None = None,
-                 cols: Columns = DEFAULT, found: DataFrame | None = None, **search) -> DataFrame:
-    """(id, knn): distance to the k-th nearest row, or the mean or median over the k nearest.
-
-    ``found`` is what ``_own_neighbours`` of the table gave for at least ``k``.
-    """
+                 cols: Columns = DEFAULT, **search) -> DataFrame:
+    """(id, knn): distance to the k-th nearest row, or the mean or median over the k nearest."""
     pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
-    fn = {"largest": F.max("distance"), "mean": F.avg("distance"), "median": F.median("distance")}[method]
     if refs is not None:
+        fn = {"largest": F.max("distance"), "mean": F.avg("distance"), "median": F.median("distance")}[method]
         nn = knn_join(pts, refs.select(F.col(cols.id).alias("id"), vector(features).alias("vec")), k, "id", "id", exclude_self=True, **search)
         return nn.groupBy(F.col("qid").alias(cols.id)).agg(fn.alias("knn"))
-    one = _first_rows(pts)
-    nn = knn_join(one, pts, k, "id", "id", exclude_self=True, **search) if found is None else found.where(F.col("rank") <= k)
-    score = nn.groupBy(F.col("qid").alias("id")).agg(fn.alias("knn"))
-    return attach(pts, attach(one, score, "id", "inner").drop("id"), "vec", "inner").select(F.col("id").alias(cols.id), "knn")
+    found = knn_join(_first_rows(pts), pts, k, "id", "id", exclude_self=True, lists=True, **search)
+    score = found.select("vec", _list_score(k, method).alias("knn")).where("knn IS NOT NULL")
+    return attach_vectors(pts, score, "vec", "inner").select(F.col("id").alias(cols.id), "knn")
+
+
+def _list_score(k: int, method: str) -> Column:
+    """Largest, mean or median of the k smallest distances of a list of neighbours; null for an empty list."""
+    d = F.transform(F.slice("near", 1, k), lambda x: x["distance"])
+    n = F.size(d)
+    score = {"largest": F.get(d, n - 1), "mean": F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / n,
+             "median": (F.get(d, F.floor((n - 1) / 2).cast("int")) + F.get(d, F.floor(n / 2).cast("int"))) / 2}[method]
+    return F.when(n > 0, score)
 
 
 def _first_rows(pts: DataFrame) -> DataFrame:
@@ -251,21 +260,22 @@ def _first_rows(pts: DataFrame) -> DataFrame:
     return keep(pts.groupBy("vec").agg(F.min("id").alias("id")))
 
 
-def _own_neighbours(df: DataFrame, features: list[str], k: int, cols: Columns = DEFAULT) -> DataFrame:
-    """The k nearest other rows of the first row of every vector, for all scores that ask for them."""
-    pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
-    return keep(knn_join(_first_rows(pts), pts, k, "id", "id", exclude_self=True))
-
-
-def abod(df: DataFrame, features: list[str], k: int = 10, cols: Columns = DEFAULT, refs: DataFrame | None = None,
-         found: DataFrame | None = None) -> DataFrame:
+def abod(df: DataFrame, features: list[str], k: int = 10, cols: Columns = DEFAULT, refs: DataFrame | None = None) -> DataFrame:
     """(id, abod): minus the variance of the distance-weighted angles between pairs of the k nearest other rows (of ``refs``)."""
     pts = df.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
     ref = pts if refs is None else refs.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
     asked = _first_rows(pts) if refs is None else pts
-    nn = knn_join(asked, ref, k, "id", "id", exclude_self=True) if found is None else found.where(F.col("rank") <= k)
+    scored = _angle_scores(knn_join(asked, ref, k, "id", "id", exclude_self=True, lists=True), ref, k)
+    if refs is None:
+        scored = attach_vectors(pts, scored.drop("id"), "vec")
+    return scored.select(F.col("id").alias(cols.id), "abod")
+
+
+def _angle_scores(found: DataFrame, ref: DataFrame, k: int) -> DataFrame:
+    """(id, vec, abod) of rows with the list of their neighbours in ``ref``."""
+    nn = found.select("id", F.explode(F.slice("near", 1, k)).alias("x")).select("id", F.col("x.rid").alias("neighbour"))
     vecs = nn.join(ref.select(F.col("id").alias("neighbour"), F.col("vec").alias("nv")), "neighbour")
-    near = vecs.groupBy("qid").agg(F.collect_list("nv").alias("ns"))   # k vectors
+    near = vecs.groupBy("id").agg(F.collect_list("nv").alias("ns"))   # k vectors
 
     @F.pandas_udf("double")
     def angle_variance(v: pd.Series, ns: pd.Series) -> pd.Series:
@@ -284,10 +294,7 @@ def abod(df: DataFrame, features: list[str], k: int = 10, cols: Columns = DEFAUL
             out[own.index] = -np.where(w, (angle - mean[:, None]) ** 2, 0.0).sum(axis=1) / pairs
         return out
 
-    scored = attach(asked, near.withColumnRenamed("qid", "id"), "id").select("id", "vec", angle_variance("vec", "ns").alias("abod"))
-    if refs is None:
-        scored = attach(pts, scored.drop("id"), "vec")
-    return scored.select(F.col("id").alias(cols.id), "abod")
+    return attach(found.select("id", "vec"), near, "id").select("id", "vec", angle_variance("vec", "ns").alias("abod"))
 
 
 # ------------------------------------------------------------------ clusters and covariance
@@ -456,24 +463,35 @@ def add_scores(df: DataFrame, features: list[str], detectors: list[str], params:
                fit_on: DataFrame | None = None, cols: Columns = DEFAULT) -> DataFrame:
     """Append one score column per detector, learnt on ``fit_on`` (default: the table itself)."""
     params = params or {}
+    if unknown := [n for n in detectors if n not in DETECTORS]:
+        raise ValueError(f"unknown detector {unknown[0]}; known are {DETECTORS}")
+    if fit_on is None and {"knn", "abod"} & set(detectors):
+        return _own_scores(df, features, detectors, params, cols)
     fit = df if fit_on is None else fit_on
     out = df
-    found = None
-    if fit_on is None and {"knn", "abod"} <= set(detectors) and not {"max_broadcast"} & set(params.get("knn", {})):
-        found = _own_neighbours(df, features, max(params.get("knn", {}).get("k", 5), params.get("abod", {}).get("k", 10)), cols)   # one search for both
     for name in detectors:
-        p = params.get(name, {})
-        if name == "knn":
-            out = attach(out, knn_distance(df, features, refs=fit_on, cols=cols, found=found, **p), cols.id)
-        elif name == "abod":
-            out = attach(out, abod(df, features, cols=cols, found=found, **p), cols.id)
-        elif name in DETECTORS:
-            out = fit_detector(fit, features, name, cols, **p).transform(out, name)
-        else:
-            raise ValueError(f"unknown detector {name}; known are {DETECTORS}")
+        out = fit_detector(fit, features, name, cols, **params.get(name, {})).transform(out, name)
     return out
 
 
+def _own_scores(df: DataFrame, features: list[str], detectors: list[str], params: dict[str, dict], cols: Columns) -> DataFrame:
+    """Scores of a table learnt on itself. They depend on the vector alone, so every distinct vector is scored once, with one
+    neighbour search for all scores that ask for one, and one join brings all scores to the rows."""
+    rows = keep(df.select(F.col(cols.id), *features))
+    pts = rows.select(F.col(cols.id).alias("id"), vector(features).alias("vec"))
+    search = {n: {"k": k, **params.get(n, {})} for n, k in (("knn", 5), ("abod", 10)) if n in detectors}
+    route = {n: v for p in search.values() for n, v in p.items() if n not in ("k", "method")}
+    found = keep(knn_join(_first_rows(pts), pts, max(p["k"] for p in search.values()), "id", "id", exclude_self=True, lists=True, **route))
+    scores = found.select("id", "vec", *[_list_score(p["k"], p.get("method", "largest")).alias("knn") for n, p in search.items() if n == "knn"])
+    if "abod" in search:
+        scores = attach(scores, _angle_scores(found, pts, search["abod"]["k"]).drop("vec"), "id")
+    scores = scores.select("*", *[F.col("vec")[i].alias(f) for i, f in enumerate(features)])
+    for name in detectors:
+        if name not in search:
+            scores = fit_detector(rows, features, name, cols, **params.get(name, {})).transform(scores, name)
+    return attach_vectors(df.withColumn("vec", vector(features)), scores.select("vec", *detectors), "vec").drop("vec").select(*df.columns, *detectors)
+
+
 _STATES = {c.__name__: c for c in (IsolationForest, HistogramScore, LodaModel, CblofModel, McdModel)}
 
 
