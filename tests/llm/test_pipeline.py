@@ -67,6 +67,17 @@ def test_near_stage(steps):
     assert sorted(map(str, after)) == sorted(map(str, want))
 
 
+def test_near_stage_broadcasts_no_exploded_table(spark, monkeypatch):
+    from txrisk.llm import simhash
+    seen = []
+    monkeypatch.setattr(simhash, "links", lambda *a, keep=simhash.links: seen.append(keep(*a)) or seen[-1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(50)]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate([*texts, *texts[:5]])]   # a copy is a near copy as well
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
+    assert sorted(r.doc_id for r in got) == list(range(50)) and len(seen) == 1
+    assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixing_stage(steps):
     before, after = steps[0][3:5]
     size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))

@@ -76,7 +76,8 @@ def links(distinct: DataFrame, radius: int = 4, piece: int = PIECE) -> DataFrame
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(radius))]))
     rows = distinct.select("fp", table.alias("e")).select(F.col("e.t").alias("t"), F.col("e.k").alias("k"), "fp")
     counts = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(counts, ["t", "k"]).withColumn("pieces", F.ceil(F.col("n") / piece).cast("int"))
+    # sorted and merged at every size: Spark takes an explode for one row a row, so it would broadcast tables many times its threshold
+    rows = rows.join(counts.hint("merge"), ["t", "k"]).withColumn("pieces", F.ceil(F.col("n") / piece).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
     dealt = rows.select("t", "k", "fp", F.explode(pair).alias("p"))
