@@ -105,6 +105,13 @@ def test_large_buckets_are_compared_piece_by_piece(spark):
         assert len(edges) < 31 * 500
 
 
+def test_links_broadcast_nothing(spark):
+    """Spark sizes the exploded tables as if a fingerprint had one row in them, so these would be broadcast at many times the threshold."""
+    edges = S.links(spark.range(300).select(F.col("id").alias("fp")))
+    assert set(roots(range(300), edges.collect()).values()) == {0}
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 300)] + [(rng.randrange(1000, 2000), rng.randrange(1000, 2000)) for _ in range(600)] + [(5000, i) for i in range(5001, 5100)]
